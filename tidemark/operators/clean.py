@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timefn import coerce_numeric, parse_timestamp, whole_days_between
-from ..plans.ordered import row_position
+from ..plans.ordered import materialize, row_position
 from ..session import IDX, PRICE, SERIES, TS
 from .fill import fill_time_linear, value_columns
 from .quantiles import exact_quantiles
@@ -161,9 +161,9 @@ def preprocess(
     """
     cols = value_columns(df)
     base = df.select(*keys, ts, *cols).filter(F.col(ts).isNotNull())
-    filled = fill_time_linear(base, cols, keys, ts)
+    filled = materialize(fill_time_linear(base, cols, keys, ts))
     regular = resample(filled, step_seconds, cols, keys, ts)
-    regular = fill_time_linear(regular, cols, keys, ts)
+    regular = materialize(fill_time_linear(regular, cols, keys, ts))
     return repair_outliers(regular, k, PRICE, keys, ts)
 
 

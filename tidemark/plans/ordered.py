@@ -168,3 +168,17 @@ def carry_present(
         out = out.withColumn(f"_n_{c}", F.coalesce(F.col(f"_nin_{c}"), F.col(f"_cn_{c}")))
         out = out.drop(f"_pin_{c}", f"_nin_{c}", f"_cp_{c}", f"_cn_{c}")
     return out.drop(BUCKET)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a multi-step composition with a reliable checkpoint.
+
+    Operators use their input more than once (carry tables, bounds, ranks);
+    without a cut, a chain of them recomputes its first steps many times over.
+    The data are written to the shared folder named by ``spark.checkpoint.dir``
+    (so a lost executor does not lose them), never to a machine-local one.
+    """
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 
 # Values that end exactly on a 5 past the kept digits (common for means of
-# two-decimal prices) would round by float noise; a fixed nudge on both sides
-# moves them off the tie.
-NUDGE = 1e-9
+# two-decimal prices) would round by float noise; a nudge on both sides, far
+# above the noise (relative 1e-15) and far below the kept digits, moves them
+# off the tie: x * (1 + 1e-11) + 1e-11.
+NUDGE = 1e-11
 
 
 @dataclass
@@ -33,7 +34,7 @@ class Query:
     def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.fn(spark, sf_dir)
         for c in self.doubles:
-            df = df.withColumn(c, F.round(F.col(c) + F.lit(NUDGE), self.digits) + F.lit(0.0))
+            df = df.withColumn(c, F.round(F.col(c) * F.lit(1.0 + NUDGE) + F.lit(NUDGE), self.digits) + F.lit(0.0))
         return df
 
     def oracle(self) -> str | None:
@@ -41,7 +42,10 @@ class Query:
             return None
         if not self.doubles:
             return self.sql
-        rep = ", ".join(f"round({c} + {NUDGE}, {self.digits}) + 0.0 AS {c}" for c in self.doubles)
+        rep = ", ".join(
+            f"round({c} * CAST({1.0 + NUDGE!r} AS DOUBLE) + CAST({NUDGE!r} AS DOUBLE), {self.digits}) + 0.0 AS {c}"
+            for c in self.doubles
+        )
         return f"SELECT * REPLACE ({rep}) FROM (\n{self.sql}\n) _q"
 
 

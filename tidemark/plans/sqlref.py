@@ -90,3 +90,109 @@ RAW = """raw AS (SELECT event_id, event_type AS series_id,
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip().rstrip(",") for c in ctes) + "\n"
+
+
+# ---------------------------------------------------------------- feature SQL
+
+TWO_PI = "6.283185307179586::DOUBLE"
+CAL_INT = ["hour", "day", "day_of_week", "month", "quarter", "year", "is_weekend", "is_business_hour"]
+CAL_DBL = ["hour_sin", "hour_cos", "day_of_week_sin", "day_of_week_cos", "month_sin", "month_cos"]
+
+
+def temporal_sql(ts: str = "ts") -> str:
+    hour = f"CAST(hour({ts}) AS BIGINT)"
+    dow = f"CAST(isodow({ts}) - 1 AS BIGINT)"
+    month = f"CAST(month({ts}) AS BIGINT)"
+    wk = f"({dow} IN (5, 6))"
+    return ", ".join(
+        [
+            f"{hour} AS hour",
+            f"CAST(day({ts}) AS BIGINT) AS day",
+            f"{dow} AS day_of_week",
+            f"{month} AS month",
+            f"CAST(quarter({ts}) AS BIGINT) AS quarter",
+            f"CAST(year({ts}) AS BIGINT) AS year",
+            f"sin({TWO_PI} * {hour} / 24) AS hour_sin",
+            f"cos({TWO_PI} * {hour} / 24) AS hour_cos",
+            f"sin({TWO_PI} * {dow} / 7) AS day_of_week_sin",
+            f"cos({TWO_PI} * {dow} / 7) AS day_of_week_cos",
+            f"sin({TWO_PI} * {month} / 12) AS month_sin",
+            f"cos({TWO_PI} * {month} / 12) AS month_cos",
+            f"CAST({wk} AS BIGINT) AS is_weekend",
+            f"CAST(({hour} BETWEEN 8 AND 18) AND NOT {wk} AS BIGINT) AS is_business_hour",
+        ]
+    )
+
+
+def lag_list(per_hour: int, per_day: int, col: str = "price") -> list[tuple[str, int]]:
+    out = [(f"{col}_lag_{h}h", h * per_hour) for h in (1, 3, 6, 12, 24) if h * per_hour >= 1]
+    out += [(f"{col}_lag_{d}d", d * per_day) for d in (7, 14, 30)]
+    return out
+
+
+def lags_sql(lags: list[tuple[str, int]], col: str = "price", part: str = "series_id") -> str:
+    return ", ".join(f"lag({col}, {k}) OVER (PARTITION BY {part} ORDER BY idx) AS {name}" for name, k in lags)
+
+
+def roll_sql(col: str, k: int, names: dict, part: str = "series_id") -> str:
+    w = f"OVER (PARTITION BY {part} ORDER BY idx ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+    fn = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+    return ", ".join(f"{fn[s]}({col}) {w} AS {n}" for s, n in names.items())
+
+
+def rolling_list(per_day: int, col: str = "price") -> list[tuple[int, dict]]:
+    return [
+        (d * per_day, {s: f"{col}_rolling_{s}_{d}d" for s in ("mean", "std", "min", "max")}) for d in (1, 7, 30)
+    ]
+
+
+def rolls_sql(per_day: int, col: str = "price", part: str = "series_id") -> str:
+    return ", ".join(roll_sql(col, k, names, part) for k, names in rolling_list(per_day, col))
+
+
+def ranges_sql(col: str = "price") -> str:
+    return ", ".join(
+        f"{col}_rolling_max_{d}d - {col}_rolling_min_{d}d AS {col}_rolling_range_{d}d" for d in (1, 7, 30)
+    )
+
+
+def rolling_names(col: str = "price") -> list[str]:
+    return [f"{col}_rolling_{s}_{d}d" for d in (1, 7, 30) for s in ("mean", "std", "min", "max")] + [
+        f"{col}_rolling_range_{d}d" for d in (1, 7, 30)
+    ]
+
+
+def decompose_cte(name: str, src: str, p: int, col: str = "price") -> str:
+    h = p // 2
+    return f"""
+{name}_n AS (SELECT series_id, ts, idx, {col}, count(*) OVER (PARTITION BY series_id) AS n FROM {src}),
+{name}_m AS (SELECT *, CASE WHEN idx >= {h} AND idx < n - {h} THEN
+    (sum({col}) OVER wc - 0.5 * (lag({col}, {h}) OVER w0 + lead({col}, {h}) OVER w0)) / {p} END AS tmid
+  FROM {name}_n WHERE n >= {2 * p}
+  WINDOW wc AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING),
+         w0 AS (PARTITION BY series_id ORDER BY idx)),
+{name}_l AS (SELECT series_id,
+  regr_slope(tmid, idx) FILTER (WHERE idx >= {h} AND idx < least({h + p}, n - {h} - 1)) AS bl,
+  regr_intercept(tmid, idx) FILTER (WHERE idx >= {h} AND idx < least({h + p}, n - {h} - 1)) AS al,
+  regr_slope(tmid, idx) FILTER (WHERE idx >= greatest({h}, n - {h} - 1 - {p}) AND idx < n - {h} - 1) AS br,
+  regr_intercept(tmid, idx) FILTER (WHERE idx >= greatest({h}, n - {h} - 1 - {p}) AND idx < n - {h} - 1) AS ar
+  FROM {name}_m GROUP BY series_id),
+{name}_t AS (SELECT m.*, CASE WHEN tmid IS NOT NULL THEN tmid WHEN idx < {h} THEN al + bl * idx ELSE ar + br * idx END AS trend
+  FROM {name}_m m JOIN {name}_l USING (series_id)),
+{name}_p AS (SELECT series_id, idx % {p} AS ph, avg({col} - trend) AS pm FROM {name}_t GROUP BY ALL),
+{name}_s AS (SELECT series_id, ph, pm - avg(pm) OVER (PARTITION BY series_id) AS seasonal FROM {name}_p),
+{name} AS (SELECT t.series_id, t.ts, t.idx, t.{col}, t.trend, s.seasonal, t.{col} - t.trend - s.seasonal AS residual
+  FROM {name}_t t JOIN {name}_s s ON t.series_id = s.series_id AND t.idx % {p} = s.ph)"""
+
+
+def decomp_features_sql(dec: str) -> str:
+    return (
+        f"{dec}.trend, {dec}.seasonal, {dec}.residual, "
+        + ", ".join(
+            f"coalesce(CASE WHEN {dec}.price = 0 THEN NULL ELSE {dec}.{c} / {dec}.price END, 0) AS {c}_pct"
+            for c in ("trend", "seasonal", "residual")
+        )
+    )
+
+
+DECOMP_NAMES = ["trend", "seasonal", "residual", "trend_pct", "seasonal_pct", "residual_pct"]
