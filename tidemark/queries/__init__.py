@@ -1,3 +1,3 @@
 """Registered queries (Spark) with their SQL oracles; importing fills the registry."""
 
-from . import cleaning, features  # noqa: F401
+from . import cleaning, features, forecasting  # noqa: F401
