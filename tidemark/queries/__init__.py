@@ -1,3 +1,3 @@
 """Registered queries (Spark) with their SQL oracles; importing fills the registry."""
 
-from . import cleaning, features, forecasting, presentation  # noqa: F401
+from . import catalog, cleaning, features, forecasting, presentation  # noqa: F401
