@@ -142,3 +142,33 @@ dh0 AS (SELECT g.series_id, g.ts, d.price FROM dh_g g LEFT JOIN d ON g.series_id
 def q_engineer_features(spark, sf_dir):
     feats, _ = fe.engineer_features(d_hourly(spark, sf_dir), 3600)
     return feats.select(SERIES, TS, PRICE, *_LAG_NAMES, *_ROLL_NAMES, *S.CAL_DBL, *S.CAL_INT, *fe.DECOMP_COLS)
+
+
+_UF = S.U + "," + S.fill_cte("uf", "u", ["price"])
+_U_COLS = ["price_lag_1h", "price_lag_24h", "price_lag_7d"] + [
+    f"price_rolling_{s}_{d}d" for d in (1, 7) for s in ("mean", "std", "min", "max")
+]
+
+
+@register(
+    "many_series_features",
+    S.with_(_UF)
+    + "SELECT series_id, ts, price, "
+    + "lag(price, 1) OVER w0 AS price_lag_1h, lag(price, 24) OVER w0 AS price_lag_24h, lag(price, 168) OVER w0 AS price_lag_7d, "
+    + S.roll_sql("price", 24, {s: f"price_rolling_{s}_1d" for s in ("mean", "std", "min", "max")})
+    + ", "
+    + S.roll_sql("price", 168, {s: f"price_rolling_{s}_7d" for s in ("mean", "std", "min", "max")})
+    + " FROM uf WINDOW w0 AS (PARTITION BY series_id ORDER BY idx)",
+    doubles=("price", *_U_COLS),
+)
+def q_many_series_features(spark, sf_dir):
+    """Every user's hourly series: fill, then lags and 1/7-day rolling statistics in one bucketed pass."""
+    from ..plans.rolling import Lag, Roll, ordered_features
+
+    uf = fill_time_linear(fx.fixture_u(spark, sf_dir)).select(SERIES, TS, IDX, PRICE)
+    rolls = [
+        Roll(PRICE, 24, tuple((s, f"price_rolling_{s}_1d") for s in ("mean", "std", "min", "max"))),
+        Roll(PRICE, 168, tuple((s, f"price_rolling_{s}_7d") for s in ("mean", "std", "min", "max"))),
+    ]
+    lags = [Lag("price_lag_1h", PRICE, 1), Lag("price_lag_24h", PRICE, 24), Lag("price_lag_7d", PRICE, 168)]
+    return ordered_features(uf, lags=lags, rolls=rolls).select(SERIES, TS, PRICE, *_U_COLS)
