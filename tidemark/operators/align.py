@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import row_position
+from ..plans.ordered import time_position
 from ..session import IDX, PRICE, SERIES, TS
 
 
@@ -30,8 +30,8 @@ def align_to(
         return features.select(*keys, ts).join(prices.select(*keys, ts, col), [*keys, ts], "left")
     if how == "pad":
         fx = features.select(*keys, ts) if IDX not in features.columns else features.select(*keys, ts, IDX)
-        fx = fx if IDX in fx.columns else row_position(fx, [ts], keys, IDX)
-        px = row_position(prices.select(*keys, F.col(ts).alias("_pts"), col), ["_pts"], keys, "_pos")
+        fx = fx if IDX in fx.columns else time_position(fx, ts, keys, IDX)
+        px = time_position(prices.select(*keys, F.col(ts).alias("_pts"), col), "_pts", keys, "_pos")
         last = px.groupBy(*keys).agg(F.max_by(F.col(col), F.col("_pos")).alias("_last"))
         out = fx.join(px.select(*keys, F.col("_pos").alias(IDX), col), [*keys, IDX], "left").join(last, list(keys), "left")
         return out.select(*keys, ts, F.coalesce(F.col(col), F.col("_last")).alias(col))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timefn import coerce_numeric, parse_timestamp, whole_days_between
-from ..plans.ordered import materialize, row_position
+from ..plans.ordered import materialize, time_position
 from ..session import IDX, PRICE, SERIES, TS
 from .fill import fill_time_linear, value_columns
 from .quantiles import exact_quantiles
@@ -98,7 +98,7 @@ def series_overview(df: DataFrame, keys: Sequence[str] = (SERIES,), ts: str = TS
 
 def preview(df: DataFrame, n: int = 5, keys: Sequence[str] = (SERIES,), ts: str = TS) -> DataFrame:
     """The first ``n`` rows of each series by time."""
-    d = df if IDX in df.columns else row_position(df, [ts], keys, IDX)
+    d = df if IDX in df.columns else time_position(df, ts, keys, IDX)
     out = d.filter(F.col(IDX) < n)
     return out if IDX in df.columns else out.drop(IDX)
 
@@ -168,7 +168,7 @@ def preprocess(
 
 
 def _sized(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    d = df if IDX in df.columns else row_position(df, [ts], keys, IDX)
+    d = df if IDX in df.columns else time_position(df, ts, keys, IDX)
     n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return d.join(n, list(keys))
 

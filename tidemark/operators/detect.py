@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import row_position
+from ..plans.ordered import time_position
 from ..plans.rolling import Roll, ordered_features
 from ..session import IDX, SERIES, TS
 
@@ -16,7 +16,7 @@ def rolling_band(
     df: DataFrame, col: str = "predicted", rows: int = 24, keys: Sequence[str] = (SERIES,), ts: str = TS, idx: str = IDX
 ) -> DataFrame:
     """Add ``band_mean`` and ``band_std``: mean and sample std of ``col`` over the last ``rows`` rows."""
-    d = df if idx in df.columns else row_position(df, [ts], keys, idx)
+    d = df if idx in df.columns else time_position(df, ts, keys, idx)
     d = ordered_features(d, rolls=[Roll(col, rows, (("mean", "band_mean"), ("std", "band_std")))], keys=keys, idx=idx)
     return d if idx in df.columns else d.drop(idx)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import row_position
+from ..plans.ordered import time_position
 from ..plans.rolling import Lag, ordered_features
 from ..session import IDX, SERIES, TS
 
@@ -17,7 +17,7 @@ EPS = 2.220446049250313e-16
 
 def naive_forecast(df: DataFrame, col: str = "actual", keys: Sequence[str] = (SERIES,), ts: str = TS) -> DataFrame:
     """Add ``naive``: previous row's ``col``; the first row takes its own value."""
-    d = df if IDX in df.columns else row_position(df, [ts], keys, IDX)
+    d = df if IDX in df.columns else time_position(df, ts, keys, IDX)
     d = ordered_features(d, lags=[Lag("_prev", col, 1)], keys=keys)
     d = d.withColumn("naive", F.coalesce(F.col("_prev"), F.col(col))).drop("_prev")
     return d if IDX in df.columns else d.drop(IDX)

@@ -129,14 +129,15 @@ def engineer_features(
     (the reference leaves those columns out for such a series).
     """
     base = df.select(*keys, ts, idx, *[c for c in [PRICE, *DRIVERS] if c in df.columns])
+    if checkpoint:
+        # read twice below (feature pass, decomposition): cut the upstream once
+        base = materialize(base)
     lags = lag_specs(step_seconds)
     rolls = roll_specs(step_seconds)
     dl, dr = driver_specs(base, step_seconds)
     feats = ordered_features(base, lags=lags + dl, rolls=rolls + dr, keys=keys, idx=idx)
     feats = _with_ranges(temporal_features(feats, ts))
     dec = decompose(base, step_seconds, keys, ts, idx)
-    if checkpoint:
-        dec = materialize(dec)
     feats = add_decomposition_features(feats, dec, keys, idx)
     required = [c for c in feats.columns if c not in DECOMP_COLS]
     feats = feats.dropna("any", subset=required)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timefn import epoch_micros
-from ..plans.ordered import carry_present, row_position
+from ..plans.ordered import DEFAULT_CARRY_ROWS, carry_present, with_time_buckets
 from ..session import DRIVERS, IDX, PRICE, SERIES, TS
 
 
@@ -32,8 +32,12 @@ def fill_time_linear(
     cols = list(cols) if cols is not None else value_columns(df)
     if not cols:
         return df
-    d = df if idx in df.columns else row_position(df, [ts], keys, idx)
-    d = carry_present(d, cols, ts, keys, idx)
+    if idx in df.columns:
+        d = carry_present(df, cols, ts, keys, idx)
+    else:
+        # only a bucket monotone in time is needed, not a dense position
+        d = with_time_buckets(df, ts, keys, DEFAULT_CARRY_ROWS, "_fb")
+        d = carry_present(d, cols, ts, keys, "_fb", bucket_rows=1).drop("_fb")
     t = epoch_micros(ts)
     for c in cols:
         p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
@@ -48,8 +52,6 @@ def fill_time_linear(
             .otherwise(blend)
         )
         d = d.withColumn(c, filled).drop(f"_p_{c}", f"_n_{c}")
-    if idx not in df.columns:
-        d = d.drop(idx)
     return d
 
 

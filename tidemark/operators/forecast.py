@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import BUCKET, drop_halo, materialize, row_position, with_halo
+from ..plans.ordered import BUCKET, drop_halo, materialize, time_position, with_halo
 from ..session import IDX, PRICE, SERIES, TS
 from ..sources.grids import future_grid
 from .decompose import decompose
@@ -57,7 +57,7 @@ def future_features(
     of the last 100 history rows.  ``carry_cols`` take the last history value.
     """
     per_hour, per_day = periods(step_seconds)
-    hist = history if idx in history.columns else row_position(history, [ts], keys, idx)
+    hist = history if idx in history.columns else time_position(history, ts, keys, idx)
     n = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(idx).alias("_last"))
     grid = future_grid(hist, horizon_days, step_seconds, keys, ts).join(n, list(keys))
     out = temporal_features(grid, ts)

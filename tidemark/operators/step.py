@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefn import epoch_micros
-from ..plans.ordered import BUCKET, drop_halo, row_position, with_halo
+from ..plans.ordered import BUCKET, drop_halo, time_position, with_halo
 from ..session import IDX, SERIES, TS
 
 
 def row_deltas(df: DataFrame, keys: Sequence[str] = (SERIES,), ts: str = TS, idx: str = IDX) -> DataFrame:
     """Add ``delta_seconds``: seconds since the previous row of the series (NULL on the first)."""
-    d = df if idx in df.columns else row_position(df, [ts], keys, idx)
+    d = df if idx in df.columns else time_position(df, ts, keys, idx)
     d = with_halo(d, 1, 0, 1 << 16, idx)
     w = Window.partitionBy(*keys, BUCKET).orderBy(idx)
     d = d.withColumn(

@@ -182,3 +182,52 @@ def materialize(df: DataFrame) -> DataFrame:
 
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+TIME_BUCKET = "_tb"
+
+
+def with_time_buckets(
+    df: DataFrame, ts: str, keys: Sequence[str] = (SERIES,), rows_per_bucket: int = DEFAULT_BUCKET_ROWS, name: str = TIME_BUCKET
+) -> DataFrame:
+    """Add ``name``: a bucket of consecutive time per series, sized from the
+    series' own density to hold about ``rows_per_bucket`` rows
+    (``width = span * rows_per_bucket / rows``).  Monotone in time, so
+    per-bucket work plus a small carry table covers a whole series; a long
+    series spreads over many buckets (and tasks).
+    """
+    from ..functions.timefn import epoch_micros
+
+    stats = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_tn"), F.min(ts).alias("_t0"), F.max(ts).alias("_t1")
+    )
+    span = epoch_micros("_t1") - epoch_micros("_t0")
+    width = F.greatest(F.lit(1.0), span.cast("double") * F.lit(float(rows_per_bucket)) / F.col("_tn"))
+    stats = stats.select(*keys, "_t0", width.alias("_tw"))
+    out = df.join(stats, list(keys))
+    return out.withColumn(name, F.floor((epoch_micros(ts) - epoch_micros("_t0")).cast("double") / F.col("_tw")).cast("long")).drop("_t0", "_tw")
+
+
+def time_position(
+    df: DataFrame,
+    ts: str,
+    keys: Sequence[str] = (SERIES,),
+    name: str = IDX,
+    tie: Sequence[str] = (),
+    rows_per_bucket: int = DEFAULT_BUCKET_ROWS,
+) -> DataFrame:
+    """``row_number() - 1`` over ``(keys) order by ts`` without a whole-series window.
+
+    Rows are numbered inside density-sized time buckets and shifted by the
+    row count of the earlier buckets (a table with one row per bucket).
+    Deterministic: nothing depends on how the input happens to be ordered.
+    """
+    d = with_time_buckets(df, ts, keys, rows_per_bucket)
+    counts = d.groupBy(*keys, TIME_BUCKET).agg(F.count(F.lit(1)).alias("_bn"))
+    wb = Window.partitionBy(*keys).orderBy(TIME_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_boff", F.coalesce(F.sum("_bn").over(wb), F.lit(0))).drop("_bn")
+    w = Window.partitionBy(*keys, TIME_BUCKET).orderBy(F.col(ts), *[F.col(c) for c in tie])
+    d = d.withColumn("_rn", F.row_number().over(w))
+    return d.join(counts, [*keys, TIME_BUCKET]).withColumn(name, (F.col("_boff") + F.col("_rn") - 1).cast("long")).drop(
+        "_boff", "_rn", TIME_BUCKET
+    )

@@ -8,7 +8,7 @@ from ..functions import timefn as tf
 from ..operators import detect, evaluate as ev, forecast as fc
 from ..operators.rollup import aggregate_daily
 from ..plans import sqlref as S
-from ..plans.ordered import row_position
+from ..plans.ordered import time_position
 from ..plans.registry import register
 from ..plans.rolling import Lag, ordered_features
 from ..session import IDX, PRICE, SERIES, TS
@@ -101,7 +101,7 @@ def q_aggregate_daily(spark, sf_dir):
     doubles=("predicted", "pct_change"),
 )
 def q_pct_change(spark, sf_dir):
-    f = row_position(fx.fixture_f(spark, sf_dir), [TS])
+    f = time_position(fx.fixture_f(spark, sf_dir), TS)
     f = ordered_features(f, lags=[Lag("_prev", "predicted", 1)])
     return f.select(SERIES, TS, "predicted", tf.pct_change("predicted", "_prev").alias("pct_change"))
 
