@@ -151,10 +151,21 @@ def carry_present(
         d = d.withColumn(f"_pin_{c}", F.last(present, True).over(w_up))
         d = d.withColumn(f"_nin_{c}", F.last(present, True).over(w_dn))
         key_i = F.when(F.col(c).isNotNull(), F.col(time_col))
-        aggs.append(F.max_by(present, key_i).alias(f"_bl_{c}"))
-        aggs.append(F.min_by(present, key_i).alias(f"_bf_{c}"))
+        # fixed-width buffers (no struct) keep this a hash aggregation
+        aggs += [
+            F.max(key_i).alias(f"_blt_{c}"),
+            F.max_by(F.col(c), key_i).alias(f"_blv_{c}"),
+            F.min(key_i).alias(f"_bft_{c}"),
+            F.min_by(F.col(c), key_i).alias(f"_bfv_{c}"),
+        ]
         sel.append(c)
     per_bucket = df.withColumn(BUCKET, b).groupBy(*keys, BUCKET).agg(*aggs)
+    for c in cols:
+        per_bucket = per_bucket.select(
+            "*",
+            F.when(F.col(f"_blt_{c}").isNotNull(), F.struct(F.col(f"_blt_{c}").alias("t"), F.col(f"_blv_{c}").alias("v"))).alias(f"_bl_{c}"),
+            F.when(F.col(f"_bft_{c}").isNotNull(), F.struct(F.col(f"_bft_{c}").alias("t"), F.col(f"_bfv_{c}").alias("v"))).alias(f"_bf_{c}"),
+        ).drop(f"_blt_{c}", f"_blv_{c}", f"_bft_{c}", f"_bfv_{c}")
     wb_up = Window.partitionBy(*keys).orderBy(F.col(BUCKET).asc()).rowsBetween(Window.unboundedPreceding, -1)
     wb_dn = Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = []

@@ -74,7 +74,7 @@ Z_REF = 1.96  # fixed value: the reference's band multiplier
 
 
 def forecast_from_filled(hf: DataFrame, lag_rows: int = 24, z: float = Z_REF) -> DataFrame:
-    """F: a forecast table over filled series.
+    """F: a forecast table over filled series (keeps the grid position ``idx``).
 
     History part: ``actual = price``, ``predicted`` = price ``lag_rows`` rows
     before (rows without it dropped), bands ``predicted -/+ z * stddev_pop(error)``.
@@ -83,12 +83,13 @@ def forecast_from_filled(hf: DataFrame, lag_rows: int = 24, z: float = Z_REF) ->
     """
     lagged = ordered_features(hf.select(SERIES, TS, IDX, PRICE), lags=[Lag("predicted", PRICE, lag_rows)])
     hist = lagged.filter(F.col("predicted").isNotNull()).select(
-        SERIES, TS, F.col(PRICE).alias("actual"), "predicted"
+        SERIES, TS, IDX, F.col(PRICE).alias("actual"), "predicted"
     )
     sd = hist.groupBy(SERIES).agg(F.stddev_pop(F.col("actual") - F.col("predicted")).alias("_sd"))
     hist = hist.join(sd, SERIES).select(
         SERIES,
         TS,
+        IDX,
         "actual",
         "predicted",
         (F.col("predicted") - z * F.col("_sd")).alias("lower"),
@@ -101,6 +102,8 @@ def forecast_from_filled(hf: DataFrame, lag_rows: int = 24, z: float = Z_REF) ->
         .select(
             SERIES,
             F.timestamp_add("DAY", F.lit(1), F.col(TS)).alias(TS),
+            # the grid continues: one day on is lag_rows rows on for the hourly fixture
+            (F.col(IDX) + lag_rows).alias(IDX),
             F.lit(None).cast("double").alias("actual"),
             F.col(PRICE).alias("predicted"),
         )
