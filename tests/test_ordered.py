@@ -71,3 +71,24 @@ def test_carry_present_equals_plain_window(spark):
     dn = Window.partitionBy("series_id").orderBy("ts").rowsBetween(0, Window.unboundedFollowing)
     want = df.select("series_id", "idx", F.last("price", True).over(up).alias("p"), F.first("price", True).over(dn).alias("n"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_time_position_many_buckets_matches_row_number(spark):
+    from tidemark.plans.ordered import time_position
+
+    df = _random_series(spark, n_series=2, n=700).drop("idx")
+    got = time_position(df, "ts", rows_per_bucket=50).select("series_id", "ts", "idx")
+    w = Window.partitionBy("series_id").orderBy("ts")
+    want = df.select("series_id", "ts", (F.row_number().over(w) - 1).alias("idx"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_hot_series_spreads_over_buckets(spark):
+    """One series with most rows is cut into many (series, bucket) groups."""
+    from tidemark.plans.ordered import BUCKET, HALO, with_halo
+
+    df = _random_series(spark, n_series=1, n=2000)
+    placed = with_halo(df, 24, 0, 100)
+    assert placed.filter(~F.col(HALO)).select(BUCKET).distinct().count() == 20
+    # halo copies are bounded by the frame: at most 24 extra rows per bucket
+    assert placed.count() <= 2000 + 24 * 20

@@ -278,3 +278,23 @@ def q_split_chronological(spark, sf_dir):
 )
 def q_split_xy(spark, sf_dir):
     return clean.split_xy(fx.fixture_h_filled(spark, sf_dir)).select(SERIES, TS, "y", "part")
+
+
+@register(
+    "fill_constant",
+    S.with_(S.HX) + "SELECT series_id, ts, coalesce(price, 0.0) AS price, coalesce(load, 0.0) AS load, coalesce(temperature, 0.0) AS temperature FROM hx",
+    doubles=("price", "load", "temperature"),
+)
+def q_fill_constant(spark, sf_dir):
+    hx = fx.fixture_hx(spark, sf_dir).select(SERIES, TS, PRICE, "load", "temperature")
+    return fill.fill_constant(hx, 0.0, [PRICE, "load", "temperature"])
+
+
+@register(
+    "drop_incomplete",
+    S.with_(S.HX) + "SELECT series_id, ts, price, load, temperature FROM hx WHERE price IS NOT NULL AND load IS NOT NULL AND temperature IS NOT NULL",
+    doubles=("price", "load", "temperature"),
+)
+def q_drop_incomplete(spark, sf_dir):
+    hx = fx.fixture_hx(spark, sf_dir).select(SERIES, TS, PRICE, "load", "temperature")
+    return fill.drop_incomplete(hx)
