@@ -137,3 +137,31 @@ def test_splits(spark):
     a = clean.split_chronological(df).filter(F.col("part") == "train").count()
     b = clean.split_xy(df).filter(F.col("part") == "train").count()
     assert a == 8 and b == 8  # floor(11*0.8) = 8; 11 - ceil(2.2) = 8
+
+
+@pytest.mark.parametrize("method,accuracy", [("bracket", 100), ("bracket", 100_000), ("rank", 0)])
+def test_quantiles_exact_in_sketch_error_regime(spark, method, accuracy):
+    """A coarse sketch (rank error n/100) must still give exact quartiles, ties included."""
+    rng = np.random.default_rng(11)
+    n = 20_000
+    vals = np.concatenate([np.round(rng.normal(0, 3, n // 2)), rng.exponential(2.0, n // 2)])
+    pdf = pd.DataFrame({"series_id": np.where(np.arange(n) % 5 == 0, "small", "big"), "price": vals})
+    df = spark.createDataFrame(pdf)
+    kw = {"method": method} if method == "rank" else {"method": method, "accuracy": accuracy}
+    got = {r.series_id: r for r in exact_quantiles(df, "price", [0.25, 0.5, 0.75], **kw).collect()}
+    for sid, g in pdf.groupby("series_id"):
+        for p, col in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75")):
+            assert getattr(got[sid], col) == pytest.approx(g.price.quantile(p), rel=1e-12, abs=1e-12), (sid, p)
+
+
+def test_quantiles_short_series_and_nulls(spark):
+    rows = []
+    for n in (1, 2, 3, 7, 678):
+        for i in range(n):
+            rows.append((f"n{n}", float((i * 37) % 11) if i % 9 else None))
+    pdf = pd.DataFrame(rows, columns=["series_id", "price"])
+    got = {r.series_id: r for r in exact_quantiles(spark.createDataFrame(pdf.astype({"price": "float64"})), "price", [0.25, 0.75]).collect()}
+    for sid, g in pdf.groupby("series_id"):
+        if g.price.notna().any():
+            assert got[sid].q25 == pytest.approx(g.price.quantile(0.25))
+            assert got[sid].q75 == pytest.approx(g.price.quantile(0.75))
