@@ -129,3 +129,19 @@ def test_seasonal_naive_repeats_last_season(spark):
     fut = out.filter(F.col("actual").isNull()).orderBy("ts").toPandas()
     assert list(fut["predicted"][:5]) == [0.0, 1.0, 2.0, 3.0, 4.0]
     assert metrics.first().MAE == 0.0
+
+
+def test_daily_rollup_one_groupby_equals_join_of_two(spark):
+    """The reference joins two daily aggregates on the date; one group-by gives the same."""
+    from tidemark.operators.rollup import aggregate_daily, day_start
+
+    vals = [float(i % 13) for i in range(72)]
+    df = _hourly(spark, vals).withColumnRenamed("price", "predicted").withColumn("actual", F.col("predicted") * 2)
+    df = df.withColumn("lower", F.col("predicted") - 1).withColumn("upper", F.col("predicted") + 1)
+    one = aggregate_daily(df)
+    a = df.groupBy("series_id", day_start().alias("ts")).agg(F.avg("predicted").alias("predicted"), F.avg("actual").alias("actual"))
+    b = df.groupBy("series_id", day_start().alias("ts")).agg(F.avg("lower").alias("lower"), F.avg("upper").alias("upper"))
+    two = a.join(b, ["series_id", "ts"], "inner")
+    cols = ["series_id", "ts", "predicted", "actual", "lower", "upper"]
+    assert one.select(*cols).exceptAll(two.select(*cols)).count() == 0
+    assert one.count() == 3

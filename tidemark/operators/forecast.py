@@ -63,7 +63,11 @@ def future_features(
     out = temporal_features(grid, ts)
     lags = [(f"price_lag_{h}h", h * per_hour) for h in LAG_HOURS if h * per_hour >= 1]
     lags += [(f"price_lag_{d}d", d * per_day) for d in LAG_DAYS]
-    vals = hist.select(*keys, F.col(idx).alias("_pos"), F.col(PRICE).alias("_v"))
+    # only the history tail the longest lag reaches (and row 0, the clamp
+    # target) is ever looked up: the joins below never touch the whole history
+    kmax = max(k for _, k in lags)
+    tail = hist.join(n, list(keys)).filter((F.col(idx) >= F.col("_n") - kmax) | (F.col(idx) == 0))
+    vals = tail.select(*keys, F.col(idx).alias("_pos"), F.col(PRICE).alias("_v"))
     for name, k in lags:
         pos = F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.col("_n") + F.col("h") - k))
         out = out.withColumn("_pos", pos).join(vals, [*keys, "_pos"], "left").withColumnRenamed("_v", name).drop("_pos")
@@ -167,7 +171,9 @@ def forecast_seasonal_naive(
     p = 7 * per_day
     hist = series.select(*keys, ts, idx, PRICE)
     sp = _split_point(hist, test_size, keys).filter(F.col("_n") >= p)
-    vals = hist.select(*keys, F.col(idx).alias("_src"), F.col(PRICE).alias("predicted"))
+    # look-ups reach back at most one season before the test part
+    vals = hist.join(sp, list(keys)).filter(F.col(idx) >= F.col("_m") - p)
+    vals = vals.select(*keys, F.col(idx).alias("_src"), F.col(PRICE).alias("predicted"))
     test = hist.join(sp, list(keys)).filter(F.col(idx) >= F.col("_m")).withColumn("_src", F.col(idx) - p)
     test = test.join(vals, [*keys, "_src"]).select(*keys, ts, F.col(PRICE).alias("actual"), "predicted")
     grid = future_grid(hist, horizon_days, step_seconds, keys, ts).join(sp, list(keys))

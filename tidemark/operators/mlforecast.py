@@ -63,7 +63,9 @@ def future_frame(series: DataFrame, horizon_days: int, step_seconds: int = 3600,
     """Inputs for the future rows: clamped history lags, last-100-row rolling values."""
     n = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(idx).alias("_last"))
     grid = future_grid(series, horizon_days, step_seconds, keys, ts).join(n, list(keys))
-    vals = series.select(*keys, F.col(idx).alias("_pos"), F.col(PRICE).alias("_v"))
+    kmax = max(k for _, k in _lag_list(step_seconds))
+    tail = series.join(n, list(keys)).filter((F.col(idx) >= F.col("_n") - kmax) | (F.col(idx) == 0))
+    vals = tail.select(*keys, F.col(idx).alias("_pos"), F.col(PRICE).alias("_v"))
     out = grid
     for name, k in _lag_list(step_seconds):
         pos = F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.col("_n") + F.col("h") - k))

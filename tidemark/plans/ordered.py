@@ -225,7 +225,7 @@ def time_position(
     keys: Sequence[str] = (SERIES,),
     name: str = IDX,
     tie: Sequence[str] = (),
-    rows_per_bucket: int = DEFAULT_BUCKET_ROWS,
+    rows_per_bucket: int = DEFAULT_CARRY_ROWS,
 ) -> DataFrame:
     """``row_number() - 1`` over ``(keys) order by ts`` without a whole-series window.
 
