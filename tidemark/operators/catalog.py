@@ -104,10 +104,16 @@ class Catalog:
         return f"{self.root}/{table}"
 
     def _exists(self, table: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return fs.exists(p)
+        try:
+            jvm = self.spark._jvm
+            p = jvm.org.apache.hadoop.fs.Path(self.path(table))
+            return bool(p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p))
+        except Exception:  # noqa: BLE001 - no JVM gateway (Spark Connect): probe by reading
+            try:
+                self._read(table).limit(0).collect()
+                return True
+            except Exception:  # noqa: BLE001
+                return False
 
     def initialize(self) -> bool:
         """Create each table (empty, fixed schema) where absent."""
