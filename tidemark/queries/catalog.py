@@ -20,10 +20,11 @@ def catalog_scenario(spark, sf_dir):
     (its forecast goes with it) and a delete of an absent id is refused."""
     cat = Catalog(spark, shared_path(spark, "catalog", uuid.uuid4().hex))
     cat.initialize()
-    hf = fx.fixture_h_filled(spark, sf_dir).select(SERIES, TS, PRICE)
+    hf_full = fx.fixture_h_filled(spark, sf_dir)
+    hf = hf_full.select(SERIES, TS, PRICE)
     d1 = cat.save_dataset(hf, "events hourly", "hourly mean value per event type")
     d2 = cat.save_dataset(fx.fixture_d(spark, sf_dir), "orders daily")
-    f = fx.fixture_f(spark, sf_dir)
+    f = fx.fixture_f(spark, sf_dir, hf_full)
     m = forecast_metrics(f).withColumn("model", F.lit("lag24"))
     f1 = cat.save_forecast(d1, f, m, None, "lag24 forecast", 1, 90, ["lag24"])
     cat.save_forecast(d2, f, m, None, "orphan", 1, 80, ["lag24"])

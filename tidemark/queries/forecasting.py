@@ -186,7 +186,7 @@ def q_future_features(spark, sf_dir):
 )
 def q_extend_history(spark, sf_dir):
     hf = fx.fixture_h_filled(spark, sf_dir)
-    return fc.extend_history(hf, fx.fixture_f(spark, sf_dir))
+    return fc.extend_history(hf, fx.fixture_f(spark, sf_dir, hf))
 
 
 @register(

@@ -31,9 +31,11 @@ UNION ALL SELECT 'pad', hf.series_id, hf.ts, coalesce(p.price, l.lastp) FROM hf
     doubles=("price",),
 )
 def q_align_to(spark, sf_dir):
-    h = fx.fixture_h(spark, sf_dir).select(SERIES, TS, PRICE)
-    hf = fx.fixture_h_filled(spark, sf_dir).select(SERIES, TS, IDX, PRICE)
-    fh = fx.fixture_f(spark, sf_dir).filter(F.col("actual").isNotNull()).select(SERIES, TS, F.col("actual").alias(PRICE))
+    h_full = fx.fixture_h(spark, sf_dir)
+    hf_full = fx.fixture_h_filled(spark, sf_dir, h_full)
+    h = h_full.select(SERIES, TS, PRICE)
+    hf = hf_full.select(SERIES, TS, IDX, PRICE)
+    fh = fx.fixture_f(spark, sf_dir, hf_full).filter(F.col("actual").isNotNull()).select(SERIES, TS, F.col("actual").alias(PRICE))
     semi = align_to(h, fh, "semi").select(F.lit("semi").alias("mode"), SERIES, TS, PRICE)
     left = align_to(h, fh, "left").select(F.lit("left").alias("mode"), SERIES, TS, PRICE)
     pad = align_to(fh, hf, "pad").select(F.lit("pad").alias("mode"), SERIES, TS, PRICE)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.fill import fill_time_linear
 from ..operators.resample import floor_to_step, on_grid, resample_mean
+from ..plans.ordered import materialize
 from ..plans.rolling import Lag, ordered_features
 from ..session import IDX, PRICE, SERIES, TS
 
@@ -28,13 +29,18 @@ def events_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixture_h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H: hourly mean of ``value`` per event type on the dense hourly grid (gaps NULL)."""
-    return resample_mean(events_series(spark, sf_dir), HOUR)
+    """H: hourly mean of ``value`` per event type on the dense hourly grid (gaps NULL).
+
+    Each fixture is a series table a user would keep: it is written once to
+    the shared checkpoint folder, so the operators downstream (which read
+    their input more than once) never re-derive it from the raw events.
+    """
+    return materialize(resample_mean(events_series(spark, sf_dir), HOUR))
 
 
-def fixture_h_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fixture_h_filled(spark: SparkSession, sf_dir: str, h: DataFrame | None = None) -> DataFrame:
     """H after the time-linear fill."""
-    return fill_time_linear(fixture_h(spark, sf_dir))
+    return materialize(fill_time_linear(h if h is not None else fixture_h(spark, sf_dir)))
 
 
 def fixture_hx(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,21 +51,23 @@ def fixture_hx(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).cast("double").alias("load"),
         F.avg(F.get_json_object("props", "$.k").try_cast("double")).alias("temperature"),
     )
-    return on_grid(agg, HOUR)
+    return materialize(on_grid(agg, HOUR))
 
 
 def fixture_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D: daily total order price per order priority (irregular: days without orders are absent)."""
     o = table(spark, sf_dir, "orders")
-    return o.groupBy(F.col("o_orderpriority").alias(SERIES), F.col("o_orderdate").cast("timestamp_ntz").alias(TS)).agg(
-        F.sum("o_totalprice").alias(PRICE)
+    return materialize(
+        o.groupBy(F.col("o_orderpriority").alias(SERIES), F.col("o_orderdate").cast("timestamp_ntz").alias(TS)).agg(
+            F.sum("o_totalprice").alias(PRICE)
+        )
     )
 
 
 def fixture_m5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5: all events as one series, 5-minute mean on the dense grid."""
     ev = table(spark, sf_dir, "events").select(F.lit("all").alias(SERIES), "ts", F.col("value").alias(PRICE))
-    return resample_mean(ev, 300)
+    return materialize(resample_mean(ev, 300))
 
 
 def fixture_u(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +75,7 @@ def fixture_u(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias(SERIES), "ts", F.col("value").alias(PRICE)
     )
-    return resample_mean(ev, HOUR)
+    return materialize(resample_mean(ev, HOUR))
 
 
 Z_REF = 1.96  # fixed value: the reference's band multiplier
@@ -114,8 +122,8 @@ def forecast_from_filled(hf: DataFrame, lag_rows: int = 24, z: float = Z_REF) ->
     return hist.unionByName(fut)
 
 
-def fixture_f(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forecast_from_filled(fixture_h_filled(spark, sf_dir))
+def fixture_f(spark: SparkSession, sf_dir: str, hf: DataFrame | None = None) -> DataFrame:
+    return materialize(forecast_from_filled(hf if hf is not None else fixture_h_filled(spark, sf_dir)))
 
 
 def fixture_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
