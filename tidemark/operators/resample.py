@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timefn import epoch_micros
+from ..plans.ordered import materialize
 from ..sources.grids import dense_grid
 from ..session import IDX, SERIES, TS
 from .fill import fill_time_linear, value_columns
@@ -99,13 +100,21 @@ def resample(
     """
     cols = list(cols) if cols is not None else value_columns(df)
     steps = steps if steps is not None else detect_step(df, keys, ts)
-    tagged = df.join(steps.select(*keys, "step_seconds"), list(keys), "left")
+    steps = materialize(steps.select(*keys, "step_seconds"))  # one row per series
     coarse = F.coalesce(F.col("step_seconds"), F.lit(0.0)) > float(step_seconds)
-    fine_part = tagged.filter(~coarse).drop("step_seconds")
-    coarse_part = tagged.filter(coarse).drop("step_seconds")
-    a = resample_mean(fine_part, step_seconds, cols, keys, ts)
-    b = resample_interpolate(coarse_part, step_seconds, cols, keys, ts)
-    return a.unionByName(b)
+    # which paths are needed at all: two booleans reach the driver
+    kinds = steps.agg(F.max(coarse.cast("int")).alias("c"), F.min(coarse.cast("int")).alias("f")).first()
+    any_coarse, any_fine = bool(kinds["c"]), not bool(kinds["f"]) if kinds["f"] is not None else True
+    tagged = df.join(steps, list(keys), "left")
+    parts = []
+    if any_fine:
+        parts.append(resample_mean(tagged.filter(~coarse).drop("step_seconds"), step_seconds, cols, keys, ts))
+    if any_coarse:
+        parts.append(resample_interpolate(tagged.filter(coarse).drop("step_seconds"), step_seconds, cols, keys, ts))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def resample_to_hourly(df: DataFrame, cols: Sequence[str] | None = None, keys: Sequence[str] = (SERIES,), ts: str = TS) -> DataFrame:
