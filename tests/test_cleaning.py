@@ -165,3 +165,8 @@ def test_quantiles_short_series_and_nulls(spark):
         if g.price.notna().any():
             assert got[sid].q25 == pytest.approx(g.price.quantile(0.25))
             assert got[sid].q75 == pytest.approx(g.price.quantile(0.75))
+
+
+def test_validate_empty_input(spark):
+    raw = spark.createDataFrame([], "series_id string, timestamp string, price string")
+    assert clean.validate_series(raw).first().message == clean.MSG_EMPTY

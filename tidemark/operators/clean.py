@@ -42,6 +42,11 @@ def validate_series(raw: DataFrame, min_days: int = 30, keys: Sequence[str] = (S
             [(None, 0, 0, 0, None, False, MSG_MISSING.format(missing[0]))],
             f"{keys[0]} string, n_rows long, n_bad_ts long, n_bad_price long, span_days long, is_valid boolean, message string",
         )
+    if raw.limit(1).count() == 0:  # one bounded probe: is there any row at all
+        return raw.sparkSession.createDataFrame(
+            [(None, 0, 0, 0, None, False, MSG_EMPTY)],
+            f"{keys[0]} string, n_rows long, n_bad_ts long, n_bad_price long, span_days long, is_valid boolean, message string",
+        )
     ts = parse_timestamp("timestamp")
     bad_ts = F.col("timestamp").isNotNull() & (F.trim(F.col("timestamp").cast("string")) != "") & ts.isNull()
     bad_price = (

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..plans.rolling import Lag, Roll, ordered_features
 from ..session import IDX, PRICE, SERIES, TS
+from .clean import flag_extreme
 from .evaluate import forecast_metrics, future_bands, historical_bands
 from .features import periods, temporal_features
 from .forecast import RECENT_ROWS, combine_forecast
@@ -113,6 +114,9 @@ class MLForecaster:
         return frame.join(n, self.keys).withColumn("_m", F.col("_n") - F.ceil(F.col("_n") * self.test_size))
 
     def fit(self, series: DataFrame) -> MLForecaster:
+        # series with |price| > 1e10 are flagged and left out of the fit (never replaced by invented values)
+        extreme = flag_extreme(series, keys=self.keys).filter(F.col("is_extreme")).select(*self.keys)
+        series = series.join(extreme, self.keys, "left_anti")
         frame = self._split(history_frame(series, self.step_seconds, self.keys))
         train = frame.filter(F.col(IDX) < F.col("_m")).dropna(subset=self.inputs)
         if self.backend == "gbt":
