@@ -68,7 +68,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         import tempfile
 
         d = tempfile.mkdtemp(prefix="tidemark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - some sessions refuse core settings at run time
+            pass
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
