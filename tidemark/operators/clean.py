@@ -153,7 +153,8 @@ def repair_outliers(df: DataFrame, k: float = 3.0, col: str = PRICE, keys: Seque
     flagged = flag_outliers(df, k, col, keys)
     cleared = flagged.withColumn(col, F.when(F.col("is_outlier"), F.lit(None).cast("double")).otherwise(F.col(col)))
     cleared = cleared.drop("q25", "q75", "lower_fence", "upper_fence", "is_outlier")
-    return fill_time_linear(cleared, [col], keys, ts)
+    # the fill reads its input twice (in-bucket pass, carry table): store it once
+    return fill_time_linear(materialize(cleared), [col], keys, ts)
 
 
 def preprocess(

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import BUCKET, bucket_rows_for, drop_halo, with_halo
+from ..plans.ordered import BUCKET, bucket_rows_for, drop_halo, materialize, with_halo
 from ..session import IDX, PRICE, SERIES, TS
 
 
@@ -42,6 +42,7 @@ def decompose(
     idx: str = IDX,
     col: str = PRICE,
     period: int | None = None,
+    checkpoint: bool = True,
 ) -> DataFrame:
     p = int(period or season_rows(step_seconds))
     if p % 2:
@@ -72,6 +73,10 @@ def decompose(
     inner = (F.col(idx) >= h) & (F.col(idx) < F.col("_n") - h)
     d = d.withColumn("_tmid", F.when(inner, (win_sum - 0.5 * ends) / p))
     d = drop_halo(d).drop("_c0", "_S")
+    if checkpoint:
+        # the trend pass feeds the line fits, the phase means and their joins:
+        # store it once instead of re-running the bucketed window per branch
+        d = materialize(d)
 
     # straight-line ends
     i = F.col(idx)

@@ -17,7 +17,7 @@ from ..functions.timefn import TWO_PI
 from ..plans.ordered import materialize
 from ..plans.rolling import Lag, Roll, ordered_features
 from ..session import DRIVERS, IDX, PRICE, SERIES, TS
-from .decompose import add_decomposition_features, decompose
+from .decompose import add_decomposition_features, decompose, season_rows  # noqa: F401
 
 # The reference's lag and window lists.
 LAG_HOURS = [1, 3, 6, 12, 24]
@@ -128,17 +128,32 @@ def engineer_features(
     that a series too short to decompose keeps NULL decomposition columns
     (the reference leaves those columns out for such a series).
     """
-    base = df.select(*keys, ts, idx, *[c for c in [PRICE, *DRIVERS] if c in df.columns])
+    drivers = [c for c in DRIVERS if c in df.columns]
+    base = df.select(*keys, ts, idx, PRICE, *drivers)
     if checkpoint:
-        # read twice below (feature pass, decomposition): cut the upstream once
+        # read more than once below (decomposition, short-series rows): cut the upstream once
         base = materialize(base)
     lags = lag_specs(step_seconds)
     rolls = roll_specs(step_seconds)
     dl, dr = driver_specs(base, step_seconds)
-    feats = ordered_features(base, lags=lags + dl, rolls=rolls + dr, keys=keys, idx=idx)
-    feats = _with_ranges(temporal_features(feats, ts))
+    # Decompose first and run the feature pass over the decomposed rows, so the
+    # decomposition columns ride along: no join of two full-size outputs.
     dec = decompose(base, step_seconds, keys, ts, idx)
-    feats = add_decomposition_features(feats, dec, keys, idx)
+    p = season_rows(step_seconds)
+    n = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    short = base.join(n.filter(F.col("_n") < 2 * p).select(*keys), list(keys), "left_semi")
+    dcols = ["trend", "seasonal", "residual"]
+    rows = dec.join(base.select(*keys, idx, *drivers), [*keys, idx]) if drivers else dec
+    rows = rows.select(*keys, ts, idx, PRICE, *drivers, *dcols).unionByName(
+        short.select(*keys, ts, idx, PRICE, *drivers, *[F.lit(None).cast("double").alias(c) for c in dcols])
+    )
+    feats = ordered_features(rows, lags=lags + dl, rolls=rolls + dr, keys=keys, idx=idx)
+    feats = _with_ranges(temporal_features(feats, ts))
+    for c in dcols:
+        # share of price; division by 0 -> 0; NULL for series too short to decompose
+        feats = feats.withColumn(
+            f"{c}_pct", F.when(F.col(c).isNotNull(), F.coalesce(F.try_divide(F.col(c), F.col(PRICE)), F.lit(0.0)))
+        )
     required = [c for c in feats.columns if c not in DECOMP_COLS]
     feats = feats.dropna("any", subset=required)
     order = [*keys, ts, idx, PRICE] + [c for c in feats.columns if c not in (*keys, ts, idx, PRICE)]

@@ -202,7 +202,7 @@ def forecast_trend_seasonal(
     hist = series.select(*keys, ts, idx, PRICE)
     sp = _split_point(hist, test_size, keys)
     train = hist.join(sp, list(keys)).filter(F.col(idx) < F.col("_m")).select(*keys, ts, idx, PRICE)
-    dec = decompose(train, step_seconds, keys, ts, idx, period=p)
+    dec = decompose(train, step_seconds, keys, ts, idx, period=p, checkpoint=checkpoint)
     if checkpoint:
         dec = materialize(dec)
     m = dec.groupBy(*keys).agg(F.max(idx).alias("_mx"))
