@@ -67,6 +67,7 @@ def future_features(
     # target) is ever looked up: the joins below never touch the whole history
     kmax = max(k for _, k in lags)
     tail = hist.join(n, list(keys)).filter((F.col(idx) >= F.col("_n") - kmax) | (F.col(idx) == 0))
+    tail = materialize(tail)  # read by every lag join
     vals = tail.select(*keys, F.col(idx).alias("_pos"), F.col(PRICE).alias("_v"))
     for name, k in lags:
         pos = F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.col("_n") + F.col("h") - k))

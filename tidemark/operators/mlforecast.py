@@ -23,6 +23,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordered import materialize
 from ..plans.rolling import Lag, Roll, ordered_features
 from ..session import IDX, PRICE, SERIES, TS
 from .clean import flag_extreme
@@ -66,6 +67,7 @@ def future_frame(series: DataFrame, horizon_days: int, step_seconds: int = 3600,
     grid = future_grid(series, horizon_days, step_seconds, keys, ts).join(n, list(keys))
     kmax = max(k for _, k in _lag_list(step_seconds))
     tail = series.join(n, list(keys)).filter((F.col(idx) >= F.col("_n") - kmax) | (F.col(idx) == 0))
+    tail = materialize(tail)  # read by every lag join
     vals = tail.select(*keys, F.col(idx).alias("_pos"), F.col(PRICE).alias("_v"))
     out = grid
     for name, k in _lag_list(step_seconds):

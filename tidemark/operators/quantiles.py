@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import row_position
+from ..plans.ordered import materialize, row_position
 from ..session import SERIES
 
 ACCURACY = 100_000
@@ -88,6 +88,8 @@ def _by_bracket(v: DataFrame, probs: Sequence[float], keys: Sequence[str], accur
     j = v.join(t.select(*keys, "p", "blo", "bhi"), list(keys)).filter(F.col("bhi").isNull() | (F.col("_v") <= F.col("bhi")))
     inb = F.col("blo").isNull() | (F.col("_v") >= F.col("blo"))
     grouped = j.groupBy(*keys, "p", F.when(inb, F.col("_v")).alias("bv")).agg(F.count(F.lit(1)).alias("c"))
+    # small (one row per bracket value) and read by several branches below
+    grouped = materialize(grouped)
     below = grouped.filter(F.col("bv").isNull()).select(*keys, "p", F.col("c").alias("below"))
     inside = grouped.filter(F.col("bv").isNotNull())
     w = Window.partitionBy(*keys, "p").orderBy("bv").rowsBetween(Window.unboundedPreceding, -1)

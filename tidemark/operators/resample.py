@@ -69,7 +69,8 @@ def resample_interpolate(
     """
     cols = list(cols) if cols is not None else value_columns(df)
     step_us = int(step_seconds) * 1_000_000
-    pts = df.groupBy(*keys, ts).agg(*[F.avg(c).alias(c) for c in cols])
+    # the points feed the bounds, the on-grid join and the off-grid rows: store once
+    pts = materialize(df.groupBy(*keys, ts).agg(*[F.avg(c).alias(c) for c in cols]))
     bounds = pts.groupBy(*keys).agg(
         floor_to_step(F.min(ts), step_seconds).alias("t0"), floor_to_step(F.max(ts), step_seconds).alias("t1")
     )
@@ -81,7 +82,7 @@ def resample_interpolate(
         .filter(epoch_micros(ts) % F.lit(step_us) != 0)
         .select(*keys, IDX, ts, *cols, F.lit(False).alias("_g"))
     )
-    both = on.select(*keys, IDX, ts, *cols, "_g").unionByName(off)
+    both = materialize(on.select(*keys, IDX, ts, *cols, "_g").unionByName(off))  # the fill reads it twice
     filled = fill_time_linear(both, cols, keys, ts, IDX)
     return filled.filter(F.col("_g")).drop("_g")
 

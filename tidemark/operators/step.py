@@ -30,15 +30,20 @@ def detect_step(df: DataFrame, keys: Sequence[str] = (SERIES,), ts: str = TS) ->
     ``(last - first) / rows`` and rows per day for the modal step.
     """
     d = row_deltas(df.select(*keys, ts), keys, ts)
-    counts = d.filter(F.col("delta_seconds").isNotNull()).groupBy(*keys, "delta_seconds").agg(F.count(F.lit(1)).alias("_n"))
-    modal = counts.groupBy(*keys).agg(
+    # one pass over the rows: count and time span per (series, step); the first
+    # row of a series has a NULL step and still counts towards rows and span
+    counts = d.groupBy(*keys, "delta_seconds").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_a"), F.max(ts).alias("_b")
+    )
+    steps = counts.filter(F.col("delta_seconds").isNotNull())
+    modal = steps.groupBy(*keys).agg(
         F.max_by(F.col("delta_seconds"), F.struct(F.col("_n"), -F.col("delta_seconds"))).alias("step_seconds"),
         F.count(F.lit(1)).alias("n_steps"),
     )
-    span = d.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.min(ts).alias("first_ts"),
-        F.max(ts).alias("last_ts"),
+    span = counts.groupBy(*keys).agg(
+        F.sum("_n").alias("n_rows"),
+        F.min("_a").alias("first_ts"),
+        F.max("_b").alias("last_ts"),
     )
     out = span.join(modal, list(keys), "left")
     return out.select(
