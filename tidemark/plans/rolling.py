@@ -15,7 +15,7 @@ Two physical methods give the same numbers:
   i.e. ``least(suffix_min(i-k+1), prefix_min(i))``.  Both are running
   (growing) frames, which Spark evaluates incrementally.
 
-``auto`` takes ``prefix`` for frames longer than 64 rows.  Everything runs
+``auto`` chooses per statistic (see ``SUM_FRAME_MAX``, ``EXTREME_FRAME_MAX``).  Everything runs
 per ``(series_id, bucket)`` with halo rows (see :mod:`.ordered`), so a long
 series is spread over many tasks.
 """
@@ -51,9 +51,17 @@ class Roll:
     ddof: int = 1
 
 
-def _auto(k: int, method: str) -> str:
+# ``auto`` per statistic: sums (mean, std) from running sums once the frame
+# is longer than SUM_FRAME_MAX rows (they share the main sort, so they are
+# nearly free); min/max from Spark's frame up to EXTREME_FRAME_MAX rows (the
+# block method costs two extra sorts per frame length), blocks beyond.
+SUM_FRAME_MAX = 64
+EXTREME_FRAME_MAX = 512
+
+
+def _auto(k: int, method: str, extreme: bool = False) -> str:
     if method == "auto":
-        return "prefix" if k > 64 else "frame"
+        return "prefix" if k > (EXTREME_FRAME_MAX if extreme else SUM_FRAME_MAX) else "frame"
     return method
 
 
@@ -75,8 +83,14 @@ def ordered_features(
     for lg in lags:
         d = d.withColumn(lg.out, F.lag(lg.col, lg.k).over(w))
 
-    prefix_rolls = [r for r in rolls if _auto(r.k, method) == "prefix"]
-    frame_rolls = [r for r in rolls if _auto(r.k, method) == "frame"]
+    prefix_rolls, frame_rolls = [], []
+    for r in rolls:
+        sums = tuple(o for o in r.outs if o[0] not in ("min", "max"))
+        ext = tuple(o for o in r.outs if o[0] in ("min", "max"))
+        for part, is_ext in ((sums, False), (ext, True)):
+            if part:
+                piece = Roll(r.col, r.k, part, r.ddof)
+                (prefix_rolls if _auto(r.k, method, is_ext) == "prefix" else frame_rolls).append(piece)
 
     for r in frame_rolls:
         fr = w.rowsBetween(-(r.k - 1), 0)
