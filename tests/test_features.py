@@ -145,3 +145,18 @@ def test_daily_rollup_one_groupby_equals_join_of_two(spark):
     cols = ["series_id", "ts", "predicted", "actual", "lower", "upper"]
     assert one.select(*cols).exceptAll(two.select(*cols)).count() == 0
     assert one.count() == 3
+
+
+def test_forecaster_entry_point_and_detected_step(spark):
+    from tidemark.operators.forecaster import Forecaster
+
+    rng = np.random.default_rng(12)
+    vals = list(50 + 10 * np.sin(2 * np.pi * np.arange(24 * 21) / 24) + rng.normal(0, 1, 24 * 21))
+    df = _hourly(spark, vals)
+    f = Forecaster("seasonal_naive", horizon_days=1, level=95).fit(df)
+    fc_df, metrics = f.forecast()
+    assert fc_df.filter(F.col("actual").isNull()).count() == 24
+    assert f.z == 1.96 and f.feature_importance() is None
+    feats, _ = fe.engineer_features(df, None)  # step detected: hourly
+    # step detected as hourly; 504 rows are all shorter than the 30-day lag, so every row drops (as the reference)
+    assert "price_lag_24h" in feats.columns and feats.count() == 0

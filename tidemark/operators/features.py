@@ -114,11 +114,40 @@ DECOMP_COLS = ["trend", "seasonal", "residual", "trend_pct", "seasonal_pct", "re
 
 def engineer_features(
     df: DataFrame,
-    step_seconds: int = 3600,
+    step_seconds: int | None = 3600,
     keys: Sequence[str] = (SERIES,),
     ts: str = TS,
     idx: str = IDX,
     checkpoint: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """See :func:`_engineer`.  ``step_seconds=None`` detects the modal step per
+    series; series with different steps are processed per step (the distinct
+    steps - a handful of numbers - are the only values read on the driver)."""
+    if step_seconds is not None:
+        return _engineer(df, int(step_seconds), keys, ts, idx, checkpoint)
+    from .step import detect_step
+
+    steps = materialize(detect_step(df.select(*keys, ts), keys, ts).select(*keys, "step_seconds"))
+    distinct = [int(r[0]) for r in steps.select("step_seconds").distinct().collect() if r[0]]
+    outs = []
+    for st in sorted(distinct):
+        part = df.join(steps.filter(steps.step_seconds == float(st)).select(*keys), list(keys), "left_semi")
+        outs.append(_engineer(part, st, keys, ts, idx, checkpoint))
+    feats = outs[0][0]
+    dec = outs[0][1]
+    for f, d in outs[1:]:
+        feats = feats.unionByName(f, allowMissingColumns=True)
+        dec = dec.unionByName(d)
+    return feats, dec
+
+
+def _engineer(
+    df: DataFrame,
+    step_seconds: int,
+    keys: Sequence[str],
+    ts: str,
+    idx: str,
+    checkpoint: bool,
 ) -> tuple[DataFrame, DataFrame]:
     """Feature composition over cleaned dense series -> ``(features, decomposition)``.
 
