@@ -75,3 +75,18 @@ def test_plan_windows_keyed_and_scan_pruned(spark):
     ev = table(spark, SF_SMALL, "events").select(F.col("user_id").cast("string").alias("series_id"), "ts", F.col("value").alias("price"))
     scan = resample_mean(ev, 3600)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,value:double>" in scan
+
+
+def test_json_column_layout(spark, tmp_path):
+    import json
+
+    from tidemark.sources.files import read_series_json
+
+    obj = {"timestamp": {"0": "2024-01-01 00:00:00", "1": "2024-01-01 01:00:00", "2": 1704074400000},
+           "price": {"0": 1.5, "1": 2.5, "2": 3.5}, "load": {"0": 10, "1": 11, "2": 12}}
+    p = tmp_path / "cols.json"
+    p.write_text(json.dumps(obj))
+    got = read_series_json(spark, str(p), layout="columns").orderBy("ts").toPandas()
+    assert list(got["price"]) == [1.5, 2.5, 3.5]
+    assert list(got["load"]) == [10.0, 11.0, 12.0]
+    assert str(got["ts"].iloc[2]) == "2024-01-01 02:00:00"

@@ -291,7 +291,9 @@ class Catalog:
             .filter(F.col("forecast_id") == forecast_id)
             .select(SERIES, "timestamp", "predicted", "actual", F.col("lower_bound").alias("lower"), F.col("upper_bound").alias("upper"))
         )
-        metrics = head.select(F.from_json("error_metrics", "MAE double, RMSE double, MAPE double, Theils_U double").alias("m")).select("m.*")
+        metrics = head.select(
+            "id", F.from_json("error_metrics", "MAE double, RMSE double, MAPE double, Theils_U double").alias("m")
+        ).select("id", "m.*")
         imp = head.select(F.explode(F.from_json("feature_importance", "map<string,double>")).alias("feature", "importance"))
         return pts, metrics, imp
 

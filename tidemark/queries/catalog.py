@@ -66,8 +66,8 @@ def q_catalog_describe_datasets(spark, sf_dir):
         F.col("ID").alias("id"), F.col("Name").alias("name"), F.col("Records").alias("records"),
         F.col("Time Range").alias("time_range"), F.col("External Features").alias("external_features"),
     )
-    n = cat.load_forecast_with_history(1).groupBy().agg(F.count(F.lit(1)).cast("long").alias("loaded_rows"))
-    return desc.crossJoin(n)
+    n = cat.load_forecast_with_history(1).groupBy("dataset_id").agg(F.count(F.lit(1)).cast("long").alias("loaded_rows"))
+    return desc.join(n, desc["id"] == n["dataset_id"]).drop("dataset_id")
 
 
 @register(
@@ -92,4 +92,4 @@ def q_catalog_describe_forecasts(spark, sf_dir):
         F.col("Confidence Interval").alias("confidence_interval"), F.col("Models").alias("models"),
     )
     _, metrics, _ = cat.load_forecast(f1)
-    return desc.crossJoin(metrics)
+    return desc.join(metrics, "id").drop("forecast_id")

@@ -35,12 +35,13 @@ def read_series_json(
     if layout == "columns":
         obj = spark.read.option("multiLine", True).json(path)
         fields = obj.columns
-        maps = [F.from_json(F.to_json(F.col(c)), "map<string,string>").alias(c) for c in fields]
-        m = obj.select(*maps)
-        keys = m.select(F.explode(F.map_keys(F.col("timestamp"))).alias("_k"))
-        # m is one row (the object itself): every key row pairs with it
-        raw = keys.join(m, how="cross")
-        raw = raw.select(*[F.col(c)[F.col("_k")].alias(c) for c in fields])
+        maps = obj.select(*[F.from_json(F.to_json(F.col(c)), "map<string,string>").alias(c) for c in fields])
+        # each column map becomes (row key, value) rows; the columns meet on the row key
+        raw = maps.select(F.explode(F.col("timestamp")).alias("_k", "timestamp"))
+        for c in fields:
+            if c != "timestamp":
+                raw = raw.join(maps.select(F.explode(F.col(c)).alias("_k", c)), "_k", "left")
+        raw = raw.select(*fields)
     else:
         reader = spark.read.option("multiLine", layout == "records")
         raw = reader.json(path)
