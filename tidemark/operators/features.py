@@ -109,6 +109,8 @@ def add_external_features(df: DataFrame, step_seconds: int = 3600, keys: Sequenc
     return ordered_features(df, lags=lags, rolls=rolls, keys=keys, idx=idx)
 
 
+MAX_STEP_KINDS = 16  # distinct series steps engineer_features will split by
+
 DECOMP_COLS = ["trend", "seasonal", "residual", "trend_pct", "seasonal_pct", "residual_pct"]
 
 
@@ -128,7 +130,9 @@ def engineer_features(
     from .step import detect_step
 
     steps = materialize(detect_step(df.select(*keys, ts), keys, ts).select(*keys, "step_seconds"))
-    distinct = [int(r[0]) for r in steps.select("step_seconds").distinct().collect() if r[0]]
+    distinct = [int(r[0]) for r in steps.select("step_seconds").distinct().limit(MAX_STEP_KINDS + 1).collect() if r[0]]
+    if len(distinct) > MAX_STEP_KINDS:
+        raise ValueError(f"more than {MAX_STEP_KINDS} distinct steps: resample the series to a common step first")
     outs = []
     for st in sorted(distinct):
         part = df.join(steps.filter(steps.step_seconds == float(st)).select(*keys), list(keys), "left_semi")
