@@ -8,12 +8,12 @@ Two physical methods give the same numbers:
 
 * ``frame``: Spark's sliding frame.  Spark re-aggregates the frame for each
   row, O(k) per row; fine for short frames.
-* ``prefix``: O(1) per row whatever ``k`` - sums from running totals
-  (difference of two running sums, values shifted by a per-bucket constant to
-  keep the variance exact), min/max from blocks of ``k`` rows aligned on the
-  row position: the frame is the tail of one block plus the head of the next,
-  i.e. ``least(suffix_min(i-k+1), prefix_min(i))``.  Both are running
-  (growing) frames, which Spark evaluates incrementally.
+* ``prefix``: O(1) per row whatever ``k`` - blocks of ``k`` rows aligned on
+  the row position: the frame is the tail of one block plus the head of the
+  next.  Min/max: ``least(suffix_min(i-k+1), prefix_min(i))``; mean/std: the
+  two parts' counts, shifted sums and squares merged with the parallel
+  variance formula.  All are running (growing) frames, which Spark evaluates
+  incrementally.
 
 ``auto`` chooses per statistic (see ``SUM_FRAME_MAX``, ``EXTREME_FRAME_MAX``).  Everything runs
 per ``(series_id, bucket)`` with halo rows (see :mod:`.ordered`), so a long
@@ -51,12 +51,10 @@ class Roll:
     ddof: int = 1
 
 
-# ``auto`` per statistic: sums (mean, std) from running sums once the frame
-# is longer than SUM_FRAME_MAX rows (they share the main sort, so they are
-# nearly free); min/max from Spark's frame up to EXTREME_FRAME_MAX rows (the
-# block method costs two extra sorts per frame length), blocks beyond.
+# ``auto``: Spark's frame for frames up to 64 rows, blocks (O(1) per row)
+# beyond; measured on 3.5M rows with a 288-row frame: 5 s vs 26 s all-frame.
 SUM_FRAME_MAX = 64
-EXTREME_FRAME_MAX = 512
+EXTREME_FRAME_MAX = 64
 
 
 def _auto(k: int, method: str, extreme: bool = False) -> str:
@@ -120,56 +118,82 @@ def _frame_stat(stat: str, c, ddof: int):
 
 
 def _prefix(d: DataFrame, rolls: Sequence[Roll], keys: Sequence[str], idx: str) -> DataFrame:
+    """Frame statistics from blocks of ``k`` rows aligned on ``idx``.
+
+    The frame ``[i-k+1, i]`` is the tail of the previous block (from ``i-k+1``)
+    plus the head of the current block (up to ``i``); when ``i`` ends its block
+    the frame is that whole block.  Both parts come from running windows
+    (ascending and descending) inside ``(series, bucket, block)``.  Sums are
+    kept relative to a per-block shift and the two parts are merged with the
+    parallel-variance formula (``M2 = M2a + M2b + d^2 na nb / n``), so no sum
+    spans more than one block: precision is that of a direct frame aggregate.
+    """
     w = Window.partitionBy(*keys, BUCKET).orderBy(idx)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys, BUCKET)
-    cols = sorted({r.col for r in rolls})
     tmp = []
-    for c in cols:
-        needs_sum = any(s in ("mean", "std", "sum") for r in rolls if r.col == c for s, _ in r.outs)
-        if needs_sum:
-            sh, x = f"_sh_{c}", f"_x_{c}"
-            d = d.withColumn(sh, F.first(c, True).over(whole))
-            d = d.withColumn(x, F.col(c) - F.col(sh))
-            d = d.withColumn(f"_S_{c}", F.coalesce(F.sum(x).over(run), F.lit(0.0)))
-            d = d.withColumn(f"_Q_{c}", F.coalesce(F.sum(F.col(x) * F.col(x)).over(run), F.lit(0.0)))
-            d = d.withColumn(f"_C_{c}", F.count(c).over(run))
-            tmp += [sh, x, f"_S_{c}", f"_Q_{c}", f"_C_{c}"]
     for r in rolls:
         c, k = r.col, r.k
         stats = dict(r.outs)
-        if any(s in stats for s in ("mean", "std", "sum", "count")):
-            S = F.col(f"_S_{c}") - F.coalesce(F.lag(f"_S_{c}", k).over(w), F.lit(0.0))
-            Q = F.col(f"_Q_{c}") - F.coalesce(F.lag(f"_Q_{c}", k).over(w), F.lit(0.0))
-            C = F.col(f"_C_{c}") - F.coalesce(F.lag(f"_C_{c}", k).over(w), F.lit(0))
-            sk, qk, ck = f"_s{k}_{c}", f"_q{k}_{c}", f"_c{k}_{c}"
-            d = d.withColumn(sk, S).withColumn(qk, Q).withColumn(ck, C)
-            tmp += [sk, qk, ck]
-            n = F.col(ck).cast("double")
-            if "mean" in stats:
-                d = d.withColumn(stats["mean"], F.when(F.col(ck) > 0, F.col(sk) / n + F.col(f"_sh_{c}")))
-            if "sum" in stats:
-                d = d.withColumn(stats["sum"], F.when(F.col(ck) > 0, F.col(sk) + n * F.col(f"_sh_{c}")))
+        blk = f"_blk{k}"
+        if blk not in d.columns:
+            d = d.withColumn(blk, F.floor(F.col(idx) / F.lit(k)).cast("long"))
+            tmp.append(blk)
+        part = Window.partitionBy(*keys, BUCKET, blk)
+        up = part.orderBy(F.col(idx).asc()).rowsBetween(Window.unboundedPreceding, 0)
+        dn = part.orderBy(F.col(idx).desc()).rowsBetween(Window.unboundedPreceding, 0)
+        full = F.pmod(F.col(idx), F.lit(k)) == k - 1  # frame = the whole current block
+        tail = (lambda col: F.when(~full, F.lag(col, k - 1).over(w))) if k > 1 else (lambda col: F.lit(None))
+        if any(s_ in stats for s_ in ("mean", "std", "sum", "count")):
+            sh = f"_sh{k}_{c}"
+            if sh not in d.columns:
+                d = d.withColumn(sh, F.first(c, True).over(part))  # one shift per block
+                x = F.col(c) - F.col(sh)
+                names = {}
+                for tag, win in (("p", up), ("s", dn)):
+                    for q, expr in (("C", F.count(c)), ("S", F.sum(x)), ("Q", F.sum(x * x))):
+                        nm = f"_{tag}{q}{k}_{c}"
+                        d = d.withColumn(nm, expr.over(win))
+                        names[tag + q] = nm
+                        tmp.append(nm)
+                tmp.append(sh)
+            P = lambda q: F.col(f"_p{q}{k}_{c}")
+            Sx = lambda q: F.col(f"_s{q}{k}_{c}")
+            na = F.coalesce(tail(f"_sC{k}_{c}"), F.lit(0)).cast("double")
+            sa, qa, sha = tail(f"_sS{k}_{c}"), tail(f"_sQ{k}_{c}"), tail(sh)
+            nb = P("C").cast("double")
+            sb, qb, shb = P("S"), P("Q"), F.col(sh)
+            cols = {}
+            for nm, expr in (
+                ("na", na), ("nb", nb),
+                ("ma", F.when(na > 0, sa / na + sha)), ("mb", F.when(nb > 0, sb / nb + shb)),
+                ("m2a", F.when(na > 0, qa - sa * sa / na).otherwise(F.lit(0.0))),
+                ("m2b", F.when(nb > 0, qb - sb * sb / nb).otherwise(F.lit(0.0))),
+                ("sa", F.when(na > 0, sa + na * sha).otherwise(F.lit(0.0))),
+                ("sb", F.when(nb > 0, sb + nb * shb).otherwise(F.lit(0.0))),
+            ):
+                cn = f"_{nm}{k}_{c}"
+                d = d.withColumn(cn, expr)
+                cols[nm] = F.col(cn)
+                tmp.append(cn)
+            n = cols["na"] + cols["nb"]
             if "count" in stats:
-                d = d.withColumn(stats["count"], F.col(ck))
+                d = d.withColumn(stats["count"], n.cast("long"))
+            if "sum" in stats:
+                d = d.withColumn(stats["sum"], F.when(n > 0, cols["sa"] + cols["sb"]))
+            mean = F.when(n > 0, (cols["sa"] + cols["sb"]) / n)
+            if "mean" in stats:
+                d = d.withColumn(stats["mean"], mean)
             if "std" in stats:
-                dd = r.ddof
-                m2 = F.col(qk) - F.col(sk) * F.col(sk) / n
-                var = F.greatest(m2, F.lit(0.0)) / (n - F.lit(float(dd)))
-                d = d.withColumn(stats["std"], F.when(F.col(ck) > dd, F.sqrt(var)))
-        for stat, agg, agg_name in (("min", F.min, "min"), ("max", F.max, "max")):
+                delta = F.when((cols["na"] > 0) & (cols["nb"] > 0), (cols["mb"] - cols["ma"]) ** 2 * cols["na"] * cols["nb"] / n)
+                m2 = cols["m2a"] + cols["m2b"] + F.coalesce(delta, F.lit(0.0))
+                dd = float(r.ddof)
+                d = d.withColumn(stats["std"], F.when(n > dd, F.sqrt(F.greatest(m2, F.lit(0.0)) / (n - dd))))
+        for stat, agg in (("min", F.min), ("max", F.max)):
             if stat not in stats:
                 continue
-            blk = f"_blk{k}"
-            if blk not in d.columns:
-                d = d.withColumn(blk, F.floor(F.col(idx) / F.lit(k)).cast("long"))
-                tmp.append(blk)
-            wb_up = Window.partitionBy(*keys, BUCKET, blk).orderBy(F.col(idx).asc()).rowsBetween(Window.unboundedPreceding, 0)
-            wb_dn = Window.partitionBy(*keys, BUCKET, blk).orderBy(F.col(idx).desc()).rowsBetween(Window.unboundedPreceding, 0)
-            pre, suf = f"_pre{agg_name}{k}_{c}", f"_suf{agg_name}{k}_{c}"
-            d = d.withColumn(pre, agg(c).over(wb_up)).withColumn(suf, agg(c).over(wb_dn))
-            tail = F.lag(suf, k - 1).over(w) if k > 1 else F.lit(None)
-            comb = F.least(F.col(pre), tail) if stat == "min" else F.greatest(F.col(pre), tail)
+            pre, suf = f"_pre{stat}{k}_{c}", f"_suf{stat}{k}_{c}"
+            d = d.withColumn(pre, agg(c).over(up)).withColumn(suf, agg(c).over(dn))
+            t = F.lag(suf, k - 1).over(w) if k > 1 else F.lit(None)
+            comb = F.least(F.col(pre), t) if stat == "min" else F.greatest(F.col(pre), t)
             d = d.withColumn(stats[stat], comb)
             tmp += [pre, suf]
     return d.drop(*tmp)

@@ -172,3 +172,31 @@ def q_many_series_features(spark, sf_dir):
     ]
     lags = [Lag("price_lag_1h", PRICE, 1), Lag("price_lag_24h", PRICE, 24), Lag("price_lag_7d", PRICE, 168)]
     return ordered_features(uf, lags=lags, rolls=rolls).select(SERIES, TS, PRICE, *_U_COLS)
+
+
+_D5 = S.D + """,
+d5_g AS (SELECT series_id, unnest(generate_series(min(ts), max(ts), INTERVAL 5 MINUTE)) AS ts FROM d GROUP BY series_id),
+d5_0 AS (SELECT g.series_id, g.ts, d.price FROM d5_g g LEFT JOIN d ON g.series_id = d.series_id AND g.ts = d.ts),""" + S.fill_cte(
+    "d5f", "d5_0", ["price"]
+) + """,
+d5 AS (SELECT *, CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS BIGINT) AS idx FROM d5f)"""
+_L_COLS = ["price_lag_1h", "price_lag_1d"] + [f"price_rolling_{s}_1d" for s in ("mean", "std", "min", "max")]
+
+
+@register(
+    "long_series_features",
+    S.with_(_D5)
+    + "SELECT series_id, ts, price, lag(price, 12) OVER w0 AS price_lag_1h, lag(price, 288) OVER w0 AS price_lag_1d, "
+    + S.roll_sql("price", 288, {s: f"price_rolling_{s}_1d" for s in ("mean", "std", "min", "max")})
+    + " FROM d5 WINDOW w0 AS (PARTITION BY series_id ORDER BY idx)",
+    doubles=("price", *_L_COLS),
+    digits=2,
+)
+def q_long_series_features(spark, sf_dir):
+    """Daily order totals upsampled to 5-minute rows (~690,000 per priority): lags and 1-day (288-row) rolling stats."""
+    from ..plans.rolling import Lag, Roll, ordered_features
+
+    d5 = resample_interpolate(fx.fixture_d(spark, sf_dir), 300)
+    rolls = [Roll(PRICE, 288, tuple((s, f"price_rolling_{s}_1d") for s in ("mean", "std", "min", "max")))]
+    lags = [Lag("price_lag_1h", PRICE, 12), Lag("price_lag_1d", PRICE, 288)]
+    return ordered_features(d5, lags=lags, rolls=rolls).select(SERIES, TS, PRICE, *_L_COLS)
