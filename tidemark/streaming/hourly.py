@@ -6,6 +6,12 @@ it changes; state for windows older than the watermark is dropped, so state
 stays bounded however long the stream runs.  Each micro-batch is appended
 (with its batch id) to a Parquet table in the shared folder via
 ``foreachBatch``; :func:`latest_windows` keeps the last version per window.
+
+Failure behaviour: the query's progress and state live in the checkpoint
+folder (shared storage), so a restarted query resumes where it stopped.  A
+micro-batch re-run after a lost executor appends the same rows under the same
+batch id again; :func:`latest_windows` takes one row per (series, hour, latest
+batch), so such duplicates never change the result.
 """
 
 from __future__ import annotations
