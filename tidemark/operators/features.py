@@ -17,7 +17,7 @@ from ..functions.timefn import TWO_PI
 from ..plans.ordered import materialize
 from ..plans.rolling import Lag, Roll, ordered_features
 from ..session import DRIVERS, IDX, PRICE, SERIES, TS
-from .decompose import add_decomposition_features, decompose, season_rows  # noqa: F401
+from .decompose import decompose, season_rows
 
 # The reference's lag and window lists.
 LAG_HOURS = [1, 3, 6, 12, 24]
