@@ -23,6 +23,7 @@ def fill_time_linear(
     keys: Sequence[str] = (SERIES,),
     ts: str = TS,
     idx: str = IDX,
+    carry_rows: int = DEFAULT_CARRY_ROWS,
 ) -> DataFrame:
     """Fill NULLs per series and column, linear in time between the nearest
     present points; leading gaps take the first present value, trailing gaps
@@ -33,10 +34,10 @@ def fill_time_linear(
     if not cols:
         return df
     if idx in df.columns:
-        d = carry_present(df, cols, ts, keys, idx)
+        d = carry_present(df, cols, ts, keys, idx, bucket_rows=carry_rows)
     else:
         # only a bucket monotone in time is needed, not a dense position
-        d = with_time_buckets(df, ts, keys, DEFAULT_CARRY_ROWS, "_fb")
+        d = with_time_buckets(df, ts, keys, carry_rows, "_fb")
         d = carry_present(d, cols, ts, keys, "_fb", bucket_rows=1).drop("_fb")
     t = epoch_micros(ts)
     for c in cols:
