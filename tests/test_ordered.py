@@ -92,3 +92,14 @@ def test_hot_series_spreads_over_buckets(spark):
     assert placed.filter(~F.col(HALO)).select(BUCKET).distinct().count() == 20
     # halo copies are bounded by the frame: at most 24 extra rows per bucket
     assert placed.count() <= 2000 + 24 * 20
+
+
+def test_post_lags_equal_two_passes(spark):
+    df = _random_series(spark, n_series=2, n=260)
+    roll = [Roll("price", 20, (("mean", "_m"), ("std", "_s")))]
+    one = ordered_features(df, rolls=roll, post_lags=[Lag("pm", "_m", 1), Lag("ps", "_s", 1)], bucket_rows=30)
+    two = ordered_features(ordered_features(df, rolls=roll, bucket_rows=30), lags=[Lag("pm", "_m", 1), Lag("ps", "_s", 1)], bucket_rows=30)
+    cols = ["series_id", "idx", "pm", "ps"]
+    a = one.select(*cols).orderBy("series_id", "idx").toPandas()
+    b = two.select(*cols).orderBy("series_id", "idx").toPandas()
+    np.testing.assert_allclose(a[["pm", "ps"]].astype(float), b[["pm", "ps"]].astype(float), rtol=1e-12, equal_nan=True)

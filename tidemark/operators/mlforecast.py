@@ -47,7 +47,7 @@ def model_inputs(step_seconds: int = 3600) -> list[str]:
 
 
 def history_frame(series: DataFrame, step_seconds: int = 3600, keys: Sequence[str] = (SERIES,), ts: str = TS, idx: str = IDX) -> DataFrame:
-    """Inputs for every history row (one bucketed window pass)."""
+    """Inputs for every history row (one bucketed window pass, one shuffle)."""
     _, per_day = periods(step_seconds)
     lags = [Lag(n, PRICE, k) for n, k in _lag_list(step_seconds)]
     d = ordered_features(
@@ -56,8 +56,8 @@ def history_frame(series: DataFrame, step_seconds: int = 3600, keys: Sequence[st
         rolls=[Roll(PRICE, per_day, (("mean", "_rm"), ("std", "_rs")))],
         keys=keys,
         idx=idx,
-    )
-    d = ordered_features(d, lags=[Lag("roll_mean_1d", "_rm", 1), Lag("roll_std_1d", "_rs", 1)], keys=keys, idx=idx).drop("_rm", "_rs")
+        post_lags=[Lag("roll_mean_1d", "_rm", 1), Lag("roll_std_1d", "_rs", 1)],  # statistics of row t-1
+    ).drop("_rm", "_rs")
     return temporal_features(d, ts)
 
 

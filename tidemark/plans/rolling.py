@@ -71,9 +71,16 @@ def ordered_features(
     idx: str = IDX,
     bucket_rows: int | None = None,
     method: str = "auto",
+    post_lags: Sequence[Lag] = (),
 ) -> DataFrame:
-    """Add lag and rolling columns; ``idx`` must be the dense row position."""
-    back = max([lg.k for lg in lags] + [r.k for r in rolls] + [1])
+    """Add lag and rolling columns; ``idx`` must be the dense row position.
+
+    ``post_lags`` lag columns computed in this pass (e.g. a rolling mean of the
+    previous row) inside the same buckets: the halo reaches that much further
+    back, and no second shuffle is needed.
+    """
+    post = max([lg.k for lg in post_lags] + [0])
+    back = max([lg.k for lg in lags] + [r.k + post for r in rolls] + [1 + post])
     B = bucket_rows or bucket_rows_for(back)
     d = with_halo(df, back, 0, B, idx)
     w = Window.partitionBy(*keys, BUCKET).orderBy(idx)
@@ -98,6 +105,9 @@ def ordered_features(
     if prefix_rolls:
         d = _prefix(d, prefix_rolls, keys, idx)
 
+    for lg in post_lags:
+        d = d.withColumn(lg.out, F.lag(lg.col, lg.k).over(w))
+
     return drop_halo(d)
 
 
