@@ -90,3 +90,20 @@ def test_json_column_layout(spark, tmp_path):
     assert list(got["price"]) == [1.5, 2.5, 3.5]
     assert list(got["load"]) == [10.0, 11.0, 12.0]
     assert str(got["ts"].iloc[2]) == "2024-01-01 02:00:00"
+
+
+def test_catalog_forecast_delete_and_filter(spark, tmp_path):
+    from tidemark.operators.catalog import Catalog
+
+    cat = Catalog(spark, str(tmp_path / "cat2"))
+    rows = [("a", str(pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i)), float(i)) for i in range(5)]
+    df = series_df(spark, rows)
+    d1, d2 = cat.save_dataset(df, "one", step_seconds=3600), cat.save_dataset(df, "two")
+    fc = df.withColumnRenamed("price", "predicted").withColumn("actual", F.lit(None).cast("double"))
+    f1 = cat.save_forecast(d1, fc, name="f1")
+    f2 = cat.save_forecast(d2, fc, name="f2")
+    assert {r.id for r in cat.list_forecasts(d1).collect()} == {f1}  # optional filter (P12)
+    assert cat.delete_forecast(f1) and not cat.delete_forecast(f1)
+    assert {r.id for r in cat.list_forecasts().collect()} == {f2}
+    assert cat.get_dataset(d1).first().step_seconds == 3600
+    assert cat.load_forecast_with_history(f2).count() == 5  # J7: the dataset rows behind a forecast
