@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality_rules
+from . import byte_bpe, chat_format, line_dedup, mixing, quality_rules, topk_search, warc
 
 QUERIES = {
+    "op2_topk_search": topk_search.query,
     "op3_line_dedup": line_dedup.query,
+    "op4_chat_format": chat_format.query,
+    "op5_warc": warc.query,
     "op6_quality_rules": quality_rules.query,
+    "op8_byte_bpe": byte_bpe.query,
     "op9_source_mixing": mixing.query,
 }
 ORACLES = {
+    "op2_topk_search": topk_search.oracle,
     "op3_line_dedup": line_dedup.oracle,
+    "op4_chat_format": chat_format.oracle,
+    "op5_warc": warc.oracle,
     "op6_quality_rules": quality_rules.oracle,
     "op9_source_mixing": mixing.oracle,
 }
