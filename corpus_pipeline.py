@@ -8,8 +8,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, mixing, quality_rules
+from tidemark.llm import byte_bpe, jaccard_join, line_dedup, mixing, quality_rules
 from tidemark.llm.common import WORD_CLASS, scratch
 
 
@@ -27,15 +28,30 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where((out["lines_removed"] == 0) | out["text"].rlike(WORD_CLASS)).select(*docs.columns)
 
 
+def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return jaccard_join.one_of_each(docs)
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mixing.mixed_rows(docs)
 
 
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, and whether they decode to its text again."""
+    ranks, pattern = byte_bpe.local_vocabulary()
+    coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "source", "text"), ranks, pattern), ranks, pattern)
+    same = F.col("raw") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
+
+
 STAGES = [
     ("quality_rules", quality_stage),
     ("line_dedup", line_stage),
+    ("jaccard_join", join_stage),
     ("source_mixing", mix_stage),
+    ("byte_bpe", token_stage),
 ]
 
 #: Components of a similarity join, a random-key mix and token ids have no SQL form; tests/llm compares with brute force.

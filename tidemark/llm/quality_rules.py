@@ -84,7 +84,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": F.size("__lines").cast("long"),
         "n_capitals": F.char_length(F.regexp_replace(joined, "[^A-Z]+", "")).cast("long"),
     }
-    return df.withColumns(out).drop("__words", "__lines", "__grams", "__again")
+    # a generator of one row: filters on the measures stay above it, where they are computed once
+    row = F.inline(F.array(F.struct(*[e.alias(c) for c, e in out.items()])))
+    return df.select(*[c for c in docs.columns if c not in MEASURES], row)
 
 
 def base_failed() -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, line_dedup, mixing, quality_rules, secret_scan, topk_search, warc
+from . import byte_bpe, chat_format, jaccard_join, line_dedup, mixing, quality_rules, secret_scan, topk_search, warc
 
 QUERIES = {
     "op2_topk_search": topk_search.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_chat_format": chat_format.query,
     "op5_warc": warc.query,
     "op6_quality_rules": quality_rules.query,
+    "op7_jaccard_join": jaccard_join.query,
     "op8_byte_bpe": byte_bpe.query,
     "op9_source_mixing": mixing.query,
     "op10_secret_scan": secret_scan.query,
