@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, jaccard_join, line_dedup, mixing, quality_rules, secret_scan, topk_search, warc
+from . import byte_bpe, chat_format, cotraining, jaccard_join, line_dedup, mixing, quality_rules, secret_scan, topk_search, warc
 
 QUERIES = {
+    "op1_cotraining": cotraining.query,
     "op2_topk_search": topk_search.query,
     "op3_line_dedup": line_dedup.query,
     "op4_chat_format": chat_format.query,
