@@ -40,6 +40,7 @@ MAX_LONG = 1 << 20  # lists known as long to every task: 8 MB
 LEAST_LONG = 4
 BUCKET = 2_000_000  # hashes a counting group holds, about
 BLOCK_TOKENS = 1_000_000  # shingles a search block holds, about
+SHORT = np.uint64(16)  # lists are told apart by the upper 48 bits of a hash: enough to order and to find candidates
 FILTER_BITS = 1 << 25  # 4 MB
 FEW_FAMILY_ROWS = 500_000  # rows of (node, family) that are broadcast, 24 bytes each
 
@@ -85,8 +86,8 @@ def _unplanes(data: bytes, kind) -> np.ndarray:
 
 
 def _cuts(tokens: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket of sorted ``tokens`` begins; buckets are even ranges of hash values."""
-    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+    """Where each bucket of sorted ``tokens`` (48 bits) begins; buckets are even ranges of hash values."""
+    edges = np.array([(i << 48) // buckets for i in range(1, buckets)], np.uint64)
     return np.concatenate([[0], np.searchsorted(tokens, edges), [len(tokens)]])
 
 
@@ -100,7 +101,7 @@ def long_lists(docs: DataFrame, total: int, text: str = "text", width: int = 5,
         size = 0
 
         def flush():
-            tokens = np.sort(np.concatenate(held))
+            tokens = np.sort(np.concatenate(held) >> SHORT)
             cuts = _cuts(tokens, buckets)
             rows = [(i, _planes(tokens[a:b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "tokens"])
@@ -133,18 +134,26 @@ def long_lists(docs: DataFrame, total: int, text: str = "text", width: int = 5,
         if n > room:
             break
         level, room = at, room - n
-    rows = counted.where(F.col("level") >= level).toPandas()  # at most max_long rows
-    tokens = rows["token"].to_numpy(np.int64).view(np.uint64)
+
+    def pack(batches):
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([g[i] for g in got]).astype(k).tobytes()], pa.binary()) for i, k in ((0, np.uint64), (1, np.uint8))], ["t", "l"])
+
+    rows = counted.where(F.col("level") >= level).coalesce(8).mapInArrow(pack, "t binary, l binary").collect()  # at most max_long entries of 9 bytes
+    tokens = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["t"], np.uint64) for r in rows]])
+    levels = np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(r["l"], np.uint8) for r in rows]])
     order = np.argsort(tokens)
-    return tokens[order], rows["level"].to_numpy(np.uint8)[order]
+    return tokens[order], levels[order]
 
 
 def _in_order(s: np.ndarray, tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """A set's shingles from short lists to long ones; unknown lists are short; equal lengths by hash."""
     if not len(tokens):
         return s
-    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-    level = np.where(tokens[at] == s, levels[at], 0)
+    upper = s >> SHORT
+    at = np.minimum(np.searchsorted(tokens, upper), len(tokens) - 1)
+    level = np.where(tokens[at] == upper, levels[at], 0)
     return s[np.argsort(level, kind="stable")] if level.any() else s
 
 
@@ -163,7 +172,7 @@ def meetings(docs: DataFrame, total: int, known, text: str = "text", width: int
         size = 0
 
         def flush():
-            t = np.concatenate([h[2] for h in held])
+            t = np.concatenate([h[2] for h in held]) >> SHORT
             lens = [len(h[2]) for h in held]
             node, n = np.repeat(np.array([h[0] for h in held], np.int64), lens), np.repeat(np.array([h[1] for h in held], np.int32), lens)
             order = np.argsort(t)
