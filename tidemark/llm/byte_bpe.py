@@ -8,7 +8,7 @@ joined are the whole text's ids.  (A stretch without any such boundary stays who
 into raw bytes, which need not be valid UTF-8 for a part of a text.
 
 The rank file's bytes are read on the driver (a vocabulary, below MAX_RANK_BYTES) and travel with the function,
-so executors need no file.  Defined cases: null text counts as empty and gives no ids, null ids give no bytes;
+so executors need no file.  Defined cases: null text counts as empty and gives no ids, null ids give null;
 an unknown id is an error; repeated rows and extra columns pass through; empty tables give empty results.
 """
 
@@ -18,13 +18,16 @@ import base64
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 PIECE_CHARS = 20_000
+SLICE_BYTES = 1_000_000
 MAX_RANK_BYTES = 32_000_000
 _BOUNDARY = re.compile(r"(?<=\S)(?=\s)")
 _CODERS: dict[int, object] = {}
@@ -62,50 +65,64 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def encode_text(enc, text: str | None, size: int = PIECE_CHARS) -> list[int]:
+def encode_text(enc, text: str | None, size: int = PIECE_CHARS) -> np.ndarray:
+    """Token ids (int32) of a whole text."""
     if not text:
-        return []
-    if len(text) <= size:
-        return enc.encode_ordinary(text)
-    out: list[int] = []
-    for part in pieces(text, size):
-        out.extend(enc.encode_ordinary(part))
-    return out
-
-
-def _mapped(df: DataFrame, column: str, kind: T.DataType, fn) -> DataFrame:
-    """``df`` with ``column`` from ``fn(batch) -> arrow array``, one Arrow batch at a time."""
+        return np.zeros(0, np.int32)
+    parts = [text] if len(text) <= size else pieces(text, size)
+    # without special tokens in the encoding nothing is allowed or refused
+    got = [enc.encode_to_numpy(p, allowed_special=set(), disallowed_special=()) for p in parts]
+    return (got[0] if len(got) == 1 else np.concatenate(got)).astype(np.int32)
+
+
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose ``column`` holds about SLICE_BYTES, so that results stay small."""
+    values = batch.column(batch.schema.get_field_index(column))
+    width = 4 if pa.types.is_list(values.type) else 1
+    lens = pc.list_value_length(values) if width == 4 else pc.binary_length(values)
+    run = np.cumsum(pc.fill_null(lens, 0).to_numpy(zero_copy_only=False).astype(np.int64) * width + 64) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1), batch.num_rows]
+    for i, j in zip(cuts, cuts[1:]):
+        if j > i:
+            yield batch.slice(i, j - i)
+
+
+def _mapped(df: DataFrame, source: str, column: str, kind: T.DataType, fn) -> DataFrame:
+    """``df`` with ``column`` from ``fn(values of source) -> arrow array``, a few rows at a time."""
     rest = [c for c in df.columns if c != column]
+    work = df.select(*rest, *([F.col(source).alias("__in")] if source not in rest else []))
+    given = source if source in rest else "__in"
 
     def run(batches):
-        for batch in batches:
-            cols = [batch.column(i) for i in range(batch.num_columns)]
-            names = list(batch.schema.names)
-            keep = [i for i, n in enumerate(names) if n != column]
-            yield pa.RecordBatch.from_arrays([cols[i] for i in keep] + [fn(batch)], [names[i] for i in keep] + [column])
+        for whole in batches:
+            for batch in _slices(whole, given):
+                new = fn(batch.column(batch.schema.get_field_index(given)))
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in rest] + [new], [*rest, column])
 
     schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(column, kind)])
-    return df.mapInArrow(run, schema)
+    return work.mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", piece_chars: int = PIECE_CHARS) -> DataFrame:
     """``df`` with ``ids``: the token ids of the whole text, in order."""
 
-    def fn(batch):
+    def fn(texts):
         enc = coder(ranks, pattern)
-        return pa.array([encode_text(enc, t.as_py(), piece_chars) for t in batch.column(batch.schema.get_field_index(text))], pa.list_(pa.int32()))
+        got = [encode_text(enc, t.as_py(), piece_chars) for t in texts]
+        ends = np.cumsum([0, *map(len, got)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got)))
 
-    return _mapped(df, ids, T.ArrayType(T.IntegerType()), fn)
+    return _mapped(df, text, ids, T.ArrayType(T.IntegerType()), fn)
 
 
 def decode(df: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", raw: str = "raw") -> DataFrame:
-    """``df`` with ``raw``: the bytes of the token ids."""
+    """``df`` with ``raw``: the bytes of the token ids; null for null."""
 
-    def fn(batch):
+    def fn(lists):
         enc = coder(ranks, pattern)
-        return pa.array([enc.decode_bytes(x.as_py() or []) for x in batch.column(batch.schema.get_field_index(ids))], pa.binary())
+        return pa.array([enc.decode_bytes(x.as_py()) if x.is_valid else None for x in lists], pa.binary())
 
-    return _mapped(df, raw, T.BinaryType(), fn)
+    return _mapped(df, ids, raw, T.BinaryType(), fn)
 
 
 def digests(df: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
