@@ -101,11 +101,12 @@ def train_dictionary(pages: DataFrame, html: str = "html", key: str = "page_id",
     """A dictionary from the records of at most ``sample_rows`` pages (by hash); empty when there is too little to learn from."""
     import zstandard
 
+    # the ids are chosen first, so that no task sends more than ids; then their pages come, sample_rows * sample_bytes at most
+    ids = stored(pages.where(F.col(key).isNotNull()).select(F.col(key).alias("__k")).distinct().orderBy(F.xxhash64("__k"), "__k").limit(sample_rows))
     rows = (
-        pages.select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.substring(F.coalesce(html, F.lit("")), 1, sample_bytes).alias("t"))
-        .orderBy("h", "k", "t").limit(sample_rows).collect()  # bounded: sample_rows * sample_bytes
+        pages.join(F.broadcast(ids), F.col(key) == F.col("__k")).groupBy("__k").agg(F.min(F.substring(F.coalesce(html, F.lit("")), 1, sample_bytes)).alias("t")).orderBy("__k").collect()
     )
-    samples = [record_bytes(r["k"], "http://example.org/", "0" * 64, len(r["t"]), None, r["t"].encode()) for r in rows]
+    samples = [record_bytes(r["__k"], "http://example.org/", "0" * 64, len(r["t"]), None, r["t"].encode()) for r in rows]
     size = min(size, sum(map(len, samples)) // 10)
     if len(samples) < 8 or size < 1024:
         return b""
