@@ -24,7 +24,8 @@ BAND = 0.10  # six standard errors: estimates within it of the threshold are cou
 
 def _lines(docs: DataFrame, key: str, text: str, site: str, min_words: int) -> DataFrame:
     """(__id, __th, __site, __pos, __h): one row per line that can be boilerplate."""
-    enough = f"({WORD_CLASS}+{SPACE_CLASS}+){{{min_words - 1}}}{WORD_CLASS}" if min_words > 1 else WORD_CLASS
+    # anchored and possessive, so that a very long word is read once
+    enough = f"^{SPACE_CLASS}*+({WORD_CLASS}++{SPACE_CLASS}++){{{max(0, min_words - 1)}}}{WORD_CLASS}"
     hashes = F.transform(F.split(F.col(text), "\n"), lambda x: F.when(x.rlike(enough), F.xxhash64(F.btrim(x, F.lit(" \t\x0b\f\r")))))
     return (
         docs.where(F.col(text).isNotNull())
