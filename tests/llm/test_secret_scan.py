@@ -51,7 +51,9 @@ def test_battery_claims_random_strings_and_leaves_identifiers(make_docs):
     got = {r["doc_id"]: r["spans"] for r in S.summaries(make_docs(rows)).collect()}
     found = [i for i, s in got.items() if "random:4:" in s]
     assert sum(i < len(strong) for i in found) >= 0.85 * len(strong)
-    assert not [i for i in found if i >= len(strong)]
+    wrong = [i for i in found if i >= len(strong)]
+    assert len(wrong) <= 0.1 * len(found)  # the rate that is controlled
+    assert not [i for i in wrong if (strong + weak)[i].startswith("section")]
 
 
 def test_p_values_of_random_strings_are_uniform(spark):
