@@ -107,3 +107,27 @@ def test_catalog_forecast_delete_and_filter(spark, tmp_path):
     assert {r.id for r in cat.list_forecasts().collect()} == {f2}
     assert cat.get_dataset(d1).first().step_seconds == 3600
     assert cat.load_forecast_with_history(f2).count() == 5  # J7: the dataset rows behind a forecast
+
+
+def test_facts_of_a_failed_save_do_not_reach_the_next(spark, tmp_path, monkeypatch):
+    from tests.conftest import series_df
+    from tidemark.operators.catalog import Catalog
+
+    cat = Catalog(spark, str(tmp_path / "cat"))
+    five = series_df(spark, [("a", f"2024-01-0{i} 00:00:00", i) for i in range(1, 6)])
+    three = five.limit(3)
+
+    def die(*_):
+        raise OSError("lost before the header")
+
+    with monkeypatch.context() as m:
+        m.setattr(Catalog, "_append", die)
+        try:
+            cat.initialize()
+            cat.save_dataset(five, "lost")
+        except OSError:
+            pass
+    did = cat.save_dataset(three, "kept")
+    assert cat.load_dataset(did).count() == 3
+    assert cat.save_dataset(five, "again", dataset_id=did) == did
+    assert cat.load_dataset(did).count() == 5

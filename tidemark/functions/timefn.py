@@ -46,14 +46,18 @@ def whole_days_between(start, end) -> Column:
     return F.floor((_epoch_micros(_c(end)) - _epoch_micros(_c(start))) / F.lit(86_400_000_000)).cast("long")
 
 
+#: Forms tried after the general parse, month before day as in ``1/24/24 0:05``.
+TIME_FORMS = [
+    f"{day} {clock}".strip()
+    for day in ("M/d/yy", "M/d/yyyy", "yyyy/M/d", "yyyy-M-d", "MMM d yyyy", "MMM d, yyyy", "d MMM yyyy")
+    for clock in ("H:mm", "H:mm:ss", "h:mm a", "")
+] + ["yyyy-MM-dd'T'HH:mm:ss"]
+
+
 def parse_timestamp(c) -> Column:
-    """General parse, else the ``m/d/yy h:mm`` form; bad text becomes NULL."""
+    """General parse, else one of :data:`TIME_FORMS`; bad text becomes NULL."""
     s = F.trim(_c(c).cast("string"))
-    return F.coalesce(
-        F.try_to_timestamp(s),
-        F.try_to_timestamp(s, F.lit("M/d/yy H:mm")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss")),
-    ).cast("timestamp_ntz")
+    return F.coalesce(F.try_to_timestamp(s), *[F.try_to_timestamp(s, F.lit(f)) for f in TIME_FORMS]).cast("timestamp_ntz")
 
 
 def coerce_numeric(c) -> Column:

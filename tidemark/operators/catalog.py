@@ -137,6 +137,13 @@ class Catalog:
             w = w.partitionBy(part)
         w.parquet(self.path(table))
 
+    def _put(self, table: str, key: int, df: DataFrame) -> None:
+        """Write the facts of one id: the partition is replaced, so what a failed save left behind never joins the next one."""
+        schema, part = TABLES[table]
+        fields = [f for f in schema.fields if f.name != part]
+        df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+        df.write.mode("overwrite").parquet(f"{self.path(table)}/{part}={int(key)}")
+
     @staticmethod
     def _version() -> int:
         return time.time_ns() // 1000
@@ -166,7 +173,7 @@ class Catalog:
         )
         stats = rows.agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
         did = int(dataset_id) if dataset_id is not None else self._next_id("datasets")
-        self._append("price_data", rows.withColumn("dataset_id", F.lit(did)))
+        self._put("price_data", did, rows)
         header = self.spark.createDataFrame(
             [
                 (
@@ -238,17 +245,18 @@ class Catalog:
             "actual",
             F.col("lower").alias("lower_bound") if "lower" in forecast.columns else F.lit(None).cast("double").alias("lower_bound"),
             F.col("upper").alias("upper_bound") if "upper" in forecast.columns else F.lit(None).cast("double").alias("upper_bound"),
-        ).withColumn("forecast_id", F.lit(fid))
-        self._append("forecast_data", pts)
+        )
+        self._put("forecast_data", fid, pts)
         metrics_json = None
         if metrics is not None:
             cols = [c for c in ("MAE", "RMSE", "MAPE", "Theils_U") if c in metrics.columns]
             mdf = metrics if "model" in metrics.columns else metrics.withColumn("model", F.lit(models_used[0]))
             if SERIES not in mdf.columns:
                 mdf = mdf.withColumn(SERIES, F.lit("series"))
-            long = mdf.unpivot([SERIES, "model"], cols, "metric", "value").withColumn("forecast_id", F.lit(fid))
-            self._append("forecast_metrics", long)
+            self._put("forecast_metrics", fid, mdf.unpivot([SERIES, "model"], cols, "metric", "value"))
             metrics_json = metrics.agg(F.to_json(F.struct(*[F.avg(c).alias(c) for c in cols]))).first()[0]
+        else:
+            self._put("forecast_metrics", fid, self.spark.createDataFrame([], METRICS_SCHEMA))
         importance_json = None
         if importance is not None:
             importance_json = importance.agg(
@@ -323,8 +331,9 @@ class Catalog:
 
     def load_forecast_with_history(self, forecast_id: int) -> DataFrame:
         """The price rows of the dataset a forecast was made from."""
-        f = self.get_forecast(forecast_id).select(F.col("dataset_id"))
-        return self._read("price_data").join(f, "dataset_id", "left_semi")
+        head = self.get_forecast(forecast_id).select("dataset_id").first()
+        rows = self._read("price_data")  # the filter prunes to one partition
+        return rows.filter(F.col("dataset_id") == head[0]) if head else rows.filter(F.lit(False))
 
     # ------------------------------------------------------------ upkeep
 

@@ -1,10 +1,10 @@
 """Additive seasonal decomposition with linear trend ends.
 
-Period ``p`` = 7 days of rows (even for hourly and 5-minute steps), ``h = p/2``.
+Period ``p`` = 7 days of rows, ``h = p // 2``.
 Per series of ``n`` rows (``idx`` 0..n-1, dense, no NULL price):
 
-* trend at ``h <= i < n-h``: centred moving average with half weight on the
-  two end rows, from running sums (O(1) per row) in bucketed windows;
+* trend at ``h <= i < n-h``: centred moving average (for an even period with half
+  weight on the two end rows), from running sums (O(1) per row) in bucketed windows;
 * trend ends: least-squares line through the trend rows
   ``[h, min(h+p, n-h-1))`` (left) and ``[max(h, n-h-1-p), n-h-1)`` (right),
   extended to the missing rows (statsmodels ``extrapolate_trend='freq'``);
@@ -31,7 +31,9 @@ FRAME_SUM_MAX = 512
 
 
 def season_rows(step_seconds: int) -> int:
-    return 7 * (86400 // int(step_seconds))
+    """Rows in seven days; 0 where the step does not divide them, and then there is no decomposition."""
+    rows, rest = divmod(7 * 86400, int(step_seconds))
+    return 0 if rest else rows
 
 
 def decompose(
@@ -45,10 +47,10 @@ def decompose(
     checkpoint: bool = True,
 ) -> DataFrame:
     p = int(period or season_rows(step_seconds))
-    if p % 2:
-        raise ValueError("period must be even")
-    h = p // 2
     base = df.select(*keys, ts, idx, col)
+    if p < 2:
+        return base.select("*", *[F.lit(None).cast("double").alias(c) for c in ("trend", "seasonal", "residual")]).limit(0)
+    h = p // 2
     n = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     d = base.join(n.filter(F.col("_n") >= 2 * p), list(keys))
 
@@ -71,7 +73,8 @@ def decompose(
         ) * F.col("_c0")
     ends = F.lag(col, h).over(w) + F.lead(col, h).over(w)
     inner = (F.col(idx) >= h) & (F.col(idx) < F.col("_n") - h)
-    d = d.withColumn("_tmid", F.when(inner, (win_sum - 0.5 * ends) / p))
+    # an even period weighs the two end rows by half, an odd one is a plain mean of its rows
+    d = d.withColumn("_tmid", F.when(inner, (win_sum - 0.5 * ends if p % 2 == 0 else win_sum) / p))
     d = drop_halo(d).drop("_c0", "_S")
     if checkpoint:
         # the trend pass feeds the line fits, the phase means and their joins:

@@ -1,9 +1,8 @@
 """Feature columns: calendar (T1-T3, P5), lags (W1), rolling (W2, T10),
 drivers (W3, J3), and the whole feature composition (D4, P6).
 
-Row counts for "hours" and "days" come from the series step:
-``per_hour = 3600 / step``, ``per_day = 86400 / step``.  Lags shorter than
-one step are left out.
+Row counts for "hours" and "days" come from the series step (:func:`rows_in`).
+Lags and windows that are not a whole number of steps are left out.
 """
 
 from __future__ import annotations
@@ -26,9 +25,10 @@ ROLL_DAYS = [1, 7, 30]
 DRIVER_LAG_HOURS = 24
 
 
-def periods(step_seconds: int) -> tuple[int, int]:
-    """Rows per hour and per day for a step (0 rows per hour for steps over an hour)."""
-    return 3600 // int(step_seconds), 86400 // int(step_seconds)
+def rows_in(span_seconds: int, step_seconds: int) -> int:
+    """Rows in a span, 0 where the step does not divide it: such a column is left out rather than shifted."""
+    rows, rest = divmod(int(span_seconds), int(step_seconds))
+    return 0 if rest else rows
 
 
 def temporal_features(df: DataFrame, ts: str = TS) -> DataFrame:
@@ -57,26 +57,23 @@ def temporal_features(df: DataFrame, ts: str = TS) -> DataFrame:
     )
 
 
+def lag_rows(step_seconds: int, hours: Sequence[int] = LAG_HOURS, days: Sequence[int] = LAG_DAYS) -> list[tuple[str, int]]:
+    """(name, rows) of every lag that is a whole number of steps."""
+    named = [(f"{h}h", rows_in(h * 3600, step_seconds)) for h in hours] + [(f"{d}d", rows_in(d * 86400, step_seconds)) for d in days]
+    return [(name, k) for name, k in named if k]
+
+
 def lag_specs(step_seconds: int, col: str = PRICE) -> list[Lag]:
-    per_hour, per_day = periods(step_seconds)
-    out = [Lag(f"{col}_lag_{h}h", col, h * per_hour) for h in LAG_HOURS if h * per_hour >= 1]
-    out += [Lag(f"{col}_lag_{d}d", col, d * per_day) for d in LAG_DAYS if d * per_day >= 1]
-    return out
+    return [Lag(f"{col}_lag_{name}", col, k) for name, k in lag_rows(step_seconds)]
 
 
 def roll_specs(step_seconds: int, col: str = PRICE) -> list[Roll]:
-    _, per_day = periods(step_seconds)
-    out = []
-    for d in ROLL_DAYS:
-        k = max(d * per_day, 1)
-        out.append(
-            Roll(col, k, tuple((s, f"{col}_rolling_{s}_{d}d") for s in ("mean", "std", "min", "max")))
-        )
-    return out
+    spans = [(d, rows_in(d * 86400, step_seconds)) for d in ROLL_DAYS]
+    return [Roll(col, k, tuple((s, f"{col}_rolling_{s}_{d}d") for s in ("mean", "std", "min", "max"))) for d, k in spans if k]
 
 
 def _with_ranges(df: DataFrame, col: str = PRICE) -> DataFrame:
-    for d in ROLL_DAYS:
+    for d in [d for d in ROLL_DAYS if f"{col}_rolling_max_{d}d" in df.columns]:
         df = df.withColumn(f"{col}_rolling_range_{d}d", F.col(f"{col}_rolling_max_{d}d") - F.col(f"{col}_rolling_min_{d}d"))
     return df
 
@@ -92,13 +89,10 @@ def rolling_features(df: DataFrame, step_seconds: int = 3600, keys: Sequence[str
 
 
 def driver_specs(df: DataFrame, step_seconds: int) -> tuple[list[Lag], list[Roll]]:
-    per_hour, per_day = periods(step_seconds)
-    lags, rolls = [], []
-    for c in DRIVERS:
-        if c in df.columns:
-            rolls.append(Roll(c, per_day, (("mean", f"{c}_rolling_mean_1d"), ("std", f"{c}_rolling_std_1d"))))
-            lags.append(Lag(f"{c}_lag_24h", c, DRIVER_LAG_HOURS * per_hour))
-    return lags, rolls
+    day = rows_in(DRIVER_LAG_HOURS * 3600, step_seconds)
+    present = [c for c in DRIVERS if c in df.columns and day]
+    lags = [Lag(f"{c}_lag_24h", c, day) for c in present]
+    return lags, [Roll(c, day, (("mean", f"{c}_rolling_mean_1d"), ("std", f"{c}_rolling_std_1d"))) for c in present]
 
 
 def add_external_features(df: DataFrame, step_seconds: int = 3600, keys: Sequence[str] = (SERIES,), idx: str = IDX) -> DataFrame:
@@ -109,8 +103,6 @@ def add_external_features(df: DataFrame, step_seconds: int = 3600, keys: Sequenc
     return ordered_features(df, lags=lags, rolls=rolls, keys=keys, idx=idx)
 
 
-MAX_STEP_KINDS = 16  # distinct series steps engineer_features will split by
-
 DECOMP_COLS = ["trend", "seasonal", "residual", "trend_pct", "seasonal_pct", "residual_pct"]
 
 
@@ -130,9 +122,7 @@ def engineer_features(
     from .step import detect_step
 
     steps = materialize(detect_step(df.select(*keys, ts), keys, ts).select(*keys, "step_seconds"))
-    distinct = [int(r[0]) for r in steps.select("step_seconds").distinct().limit(MAX_STEP_KINDS + 1).collect() if r[0]]
-    if len(distinct) > MAX_STEP_KINDS:
-        raise ValueError(f"more than {MAX_STEP_KINDS} distinct steps: resample the series to a common step first")
+    distinct = [int(r[0]) for r in steps.select("step_seconds").distinct().collect() if r[0]]
     outs = []
     for st in sorted(distinct):
         part = df.join(steps.filter(steps.step_seconds == float(st)).select(*keys), list(keys), "left_semi")
@@ -174,7 +164,7 @@ def _engineer(
     dec = decompose(base, step_seconds, keys, ts, idx)
     p = season_rows(step_seconds)
     n = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    short = base.join(n.filter(F.col("_n") < 2 * p).select(*keys), list(keys), "left_semi")
+    short = base.join(n.filter(F.col("_n") < 2 * p).select(*keys), list(keys), "left_semi") if p >= 2 else base
     dcols = ["trend", "seasonal", "residual"]
     rows = dec.join(base.select(*keys, idx, *drivers), [*keys, idx]) if drivers else dec
     rows = rows.select(*keys, ts, idx, PRICE, *drivers, *dcols).unionByName(

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from ..plans.ordered import BUCKET, drop_halo, materialize, time_position, with_halo
 from ..session import IDX, PRICE, SERIES, TS
 from ..sources.grids import future_grid
-from .decompose import decompose
+from .decompose import decompose, season_rows
 from .evaluate import forecast_metrics, future_bands, historical_bands
-from .features import LAG_DAYS, LAG_HOURS, ROLL_DAYS, periods, temporal_features
+from .features import ROLL_DAYS, lag_rows, temporal_features
 
 RECENT_ROWS = 100  # fixed value: rows behind the future rolling constants
 
@@ -56,16 +56,14 @@ def future_features(
     mean, std (population by default, as the reference), min, max and range
     of the last 100 history rows.  ``carry_cols`` take the last history value.
     """
-    per_hour, per_day = periods(step_seconds)
     hist = history if idx in history.columns else time_position(history, ts, keys, idx)
     n = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(idx).alias("_last"))
     grid = future_grid(hist, horizon_days, step_seconds, keys, ts).join(n, list(keys))
     out = temporal_features(grid, ts)
-    lags = [(f"price_lag_{h}h", h * per_hour) for h in LAG_HOURS if h * per_hour >= 1]
-    lags += [(f"price_lag_{d}d", d * per_day) for d in LAG_DAYS]
+    lags = [(f"price_lag_{name}", k) for name, k in lag_rows(step_seconds)]
     # only the history tail the longest lag reaches (and row 0, the clamp
     # target) is ever looked up: the joins below never touch the whole history
-    kmax = max(k for _, k in lags)
+    kmax = max([0, *[k for _, k in lags]])
     tail = hist.join(n, list(keys)).filter((F.col(idx) >= F.col("_n") - kmax) | (F.col(idx) == 0))
     tail = materialize(tail)  # read by every lag join
     vals = tail.select(*keys, F.col(idx).alias("_pos"), F.col(PRICE).alias("_v"))
@@ -93,10 +91,10 @@ def future_features(
 def sequence_windows(
     df: DataFrame, col: str = PRICE, seq_len: int = 72, keys: Sequence[str] = (SERIES,), idx: str = IDX
 ) -> DataFrame:
-    """For each row with ``seq_len`` earlier rows: the array of the previous ``seq_len`` values (oldest first)."""
+    """For each row with ``seq_len`` earlier rows: the array of the previous ``seq_len`` values (oldest first, NULL kept)."""
     d = with_halo(df, seq_len, 0, max(8192, 4 * seq_len), idx)
     w = Window.partitionBy(*keys, BUCKET).orderBy(idx).rowsBetween(-seq_len, -1)
-    d = d.withColumn("window", F.collect_list(F.col(col)).over(w))
+    d = d.withColumn("window", F.transform(F.collect_list(F.struct(F.col(col).alias("v"))).over(w), lambda x: x["v"]))
     d = drop_halo(d)
     return d.filter(F.size("window") == seq_len)
 
@@ -168,8 +166,9 @@ def forecast_seasonal_naive(
     future row ``h`` repeats the last season: ``price[n - p + (h % p)]``.
     Needs ``n >= p``.  Returns ``(forecast, metrics)``.
     """
-    _, per_day = periods(step_seconds)
-    p = 7 * per_day
+    p = season_rows(step_seconds)
+    if p < 1:
+        raise ValueError(f"a season of seven days is not a whole number of {step_seconds}-second steps")
     hist = series.select(*keys, ts, idx, PRICE)
     sp = _split_point(hist, test_size, keys).filter(F.col("_n") >= p)
     # look-ups reach back at most one season before the test part
@@ -198,8 +197,9 @@ def forecast_trend_seasonal(
     trend rows of train; prediction = line + seasonal phase, for test and
     future rows alike.  Returns ``(forecast, metrics)``.
     """
-    _, per_day = periods(step_seconds)
-    p = 7 * per_day
+    p = season_rows(step_seconds)
+    if p < 1:
+        raise ValueError(f"a season of seven days is not a whole number of {step_seconds}-second steps")
     hist = series.select(*keys, ts, idx, PRICE)
     sp = _split_point(hist, test_size, keys)
     train = hist.join(sp, list(keys)).filter(F.col(idx) < F.col("_m")).select(*keys, ts, idx, PRICE)

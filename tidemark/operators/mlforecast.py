@@ -2,12 +2,13 @@
 
 Inputs of row ``t`` (no look-ahead): price lags of 1, 3, 6, 12, 24 hours and
 7 days, the 1-day rolling mean and sample std of row ``t-1``, the calendar
-of row ``t``, and the series as one-hot when there is more than one.  The
+of row ``t``, and the level and scale of the series' train part.  The
 train part is the first ``n - ceil(test_size * n)`` rows of each series; the
 test part is scored one step ahead from actual history; future rows take
-lags from history clamped to its last row and rolling values from the last
-100 rows (as the reference; predictions are never fed back), so every row is
-independent and scoring is one ``transform``.
+lags from history clamped to its last row and rolling values of the window
+that ends there (predictions are never fed back), so every row is
+independent and scoring is one ``transform``.  After ``fit``, ``skipped`` holds
+``(series_id, reason)`` of every series without a forecast.
 
 Backends: ``linear`` (``LinearRegression``, standardised inputs) and ``gbt``
 (``GBTRegressor`` with a validation split of the train part for early stop).
@@ -18,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,32 +29,34 @@ from ..plans.rolling import Lag, Roll, ordered_features
 from ..session import IDX, PRICE, SERIES, TS
 from .clean import flag_extreme
 from .evaluate import forecast_metrics, future_bands, historical_bands
-from .features import periods, temporal_features
-from .forecast import RECENT_ROWS, combine_forecast
+from .features import lag_rows, rows_in, temporal_features
+from .forecast import combine_forecast
 from ..sources.grids import future_grid
 
-MAX_ONE_HOT = 1000
 CAL_INPUTS = ["hour_sin", "hour_cos", "day_of_week_sin", "day_of_week_cos", "month_sin", "month_cos", "is_weekend", "is_business_hour"]
+SERIES_INPUTS = ["series_level", "series_scale"]  # mean and deviation of a series' train part: identity for any number of series
 
 
 def _lag_list(step_seconds: int) -> list[tuple[str, int]]:
-    per_hour, per_day = periods(step_seconds)
-    out = [(f"lag_{h}h", h * per_hour) for h in (1, 3, 6, 12, 24) if h * per_hour >= 1]
-    return out + [("lag_7d", 7 * per_day)]
+    return [(f"lag_{name}", k) for name, k in lag_rows(step_seconds, days=[7])]
+
+
+def _window_rows(step_seconds: int) -> int:
+    """Rows of the 1-day rolling inputs; at least two, so that a deviation exists."""
+    return max(2, rows_in(86400, step_seconds))
 
 
 def model_inputs(step_seconds: int = 3600) -> list[str]:
-    return [n for n, _ in _lag_list(step_seconds)] + ["roll_mean_1d", "roll_std_1d"] + CAL_INPUTS
+    return [n for n, _ in _lag_list(step_seconds)] + ["roll_mean_1d", "roll_std_1d"] + CAL_INPUTS + SERIES_INPUTS
 
 
 def history_frame(series: DataFrame, step_seconds: int = 3600, keys: Sequence[str] = (SERIES,), ts: str = TS, idx: str = IDX) -> DataFrame:
     """Inputs for every history row (one bucketed window pass, one shuffle)."""
-    _, per_day = periods(step_seconds)
     lags = [Lag(n, PRICE, k) for n, k in _lag_list(step_seconds)]
     d = ordered_features(
         series.select(*keys, ts, idx, PRICE),
         lags=lags,
-        rolls=[Roll(PRICE, per_day, (("mean", "_rm"), ("std", "_rs")))],
+        rolls=[Roll(PRICE, _window_rows(step_seconds), (("mean", "_rm"), ("std", "_rs")))],
         keys=keys,
         idx=idx,
         post_lags=[Lag("roll_mean_1d", "_rm", 1), Lag("roll_std_1d", "_rs", 1)],  # statistics of row t-1
@@ -62,7 +65,7 @@ def history_frame(series: DataFrame, step_seconds: int = 3600, keys: Sequence[st
 
 
 def future_frame(series: DataFrame, horizon_days: int, step_seconds: int = 3600, keys: Sequence[str] = (SERIES,), ts: str = TS, idx: str = IDX) -> DataFrame:
-    """Inputs for the future rows: clamped history lags, last-100-row rolling values."""
+    """Inputs for the future rows: clamped history lags, rolling values of the window before the first of them."""
     n = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(idx).alias("_last"))
     grid = future_grid(series, horizon_days, step_seconds, keys, ts).join(n, list(keys))
     kmax = max(k for _, k in _lag_list(step_seconds))
@@ -73,7 +76,7 @@ def future_frame(series: DataFrame, horizon_days: int, step_seconds: int = 3600,
     for name, k in _lag_list(step_seconds):
         pos = F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.col("_n") + F.col("h") - k))
         out = out.withColumn("_pos", pos).join(vals, [*keys, "_pos"], "left").withColumnRenamed("_v", name).drop("_pos")
-    recent = series.join(n, list(keys)).filter(F.col(idx) > F.col("_last") - RECENT_ROWS)
+    recent = series.join(n, list(keys)).filter(F.col(idx) > F.col("_last") - _window_rows(step_seconds))
     stats = recent.groupBy(*keys).agg(F.avg(PRICE).alias("roll_mean_1d"), F.stddev_samp(PRICE).alias("roll_std_1d"))
     out = out.join(stats, list(keys), "left").withColumn(idx, F.col("_n") + F.col("h")).drop("_n", "_last")
     return temporal_features(out, ts)
@@ -91,16 +94,8 @@ class MLForecaster:
         self.model = None
         self.inputs = model_inputs(step_seconds)
 
-    def _stages(self, multi_series: bool):
-        stages = []
-        cols = list(self.inputs)
-        if multi_series:
-            stages += [
-                StringIndexer(inputCol=SERIES, outputCol="_sid", handleInvalid="keep"),
-                OneHotEncoder(inputCols=["_sid"], outputCols=["_sid_vec"]),
-            ]
-            cols.append("_sid_vec")
-        stages.append(VectorAssembler(inputCols=cols, outputCol="_raw", handleInvalid="skip"))
+    def _stages(self):
+        stages = [VectorAssembler(inputCols=list(self.inputs), outputCol="_raw", handleInvalid="error")]
         if self.backend == "linear":
             stages.append(StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True))
             stages.append(LinearRegression(featuresCol="features", labelCol=PRICE, maxIter=self.max_iter, regParam=1e-3, elasticNetParam=0.0))
@@ -115,28 +110,39 @@ class MLForecaster:
         n = frame.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n"))
         return frame.join(n, self.keys).withColumn("_m", F.col("_n") - F.ceil(F.col("_n") * self.test_size))
 
+    def _levels(self, frame: DataFrame) -> DataFrame:
+        """Level and scale of each series' train part."""
+        train = frame.filter(F.col(IDX) < F.col("_m"))
+        return train.groupBy(*self.keys).agg(F.avg(PRICE).alias("series_level"), F.stddev_pop(PRICE).alias("series_scale"))
+
     def fit(self, series: DataFrame) -> MLForecaster:
         # series with |price| > 1e10 are flagged and left out of the fit (never replaced by invented values)
-        extreme = flag_extreme(series, keys=self.keys).filter(F.col("is_extreme")).select(*self.keys)
+        extreme = flag_extreme(series, keys=self.keys).filter(F.col("is_extreme")).select(*self.keys).distinct()
+        every = series.select(*self.keys).distinct()
         series = series.join(extreme, self.keys, "left_anti")
         frame = self._split(history_frame(series, self.step_seconds, self.keys))
+        self._level_table = materialize(self._levels(frame))  # one row per series
+        frame = frame.join(self._level_table, self.keys)
         train = frame.filter(F.col(IDX) < F.col("_m")).dropna(subset=self.inputs)
+        reasons = extreme.withColumn("reason", F.lit("extreme_price")).unionByName(
+            every.join(extreme, self.keys, "left_anti").join(train.select(*self.keys).distinct(), self.keys, "left_anti").withColumn("reason", F.lit("no_complete_train_row"))
+        )
+        self.skipped = materialize(reasons)
         if self.backend == "gbt":
             # last tenth of each series' train part validates (early stop)
             train = train.withColumn("_val", F.col(IDX) >= F.col("_m") - F.ceil((F.col("_m")) * 0.1))
-        # series identity as one-hot only while it stays a modest vector
-        n_series = series.select(*self.keys).distinct().limit(MAX_ONE_HOT + 1).count()
-        self.multi = 1 < n_series <= MAX_ONE_HOT
-        self.model = Pipeline(stages=self._stages(self.multi)).fit(train)
-        self._series = series
+        self.model = Pipeline(stages=self._stages()).fit(train)
+        # a series that no complete row teaches is not forecast either; ``skipped`` names it
+        self._series = series.join(self.skipped.select(*self.keys), self.keys, "left_anti")
         return self
 
     def forecast(self) -> tuple[DataFrame, DataFrame]:
         """``(forecast table, metrics)`` as the seasonal backends return them."""
-        frame = self._split(history_frame(self._series, self.step_seconds, self.keys))
+        frame = self._split(history_frame(self._series, self.step_seconds, self.keys)).join(self._level_table, self.keys)
         test = frame.filter(F.col(IDX) >= F.col("_m")).dropna(subset=self.inputs)
         scored = self.model.transform(test).select(*self.keys, TS, F.col(PRICE).alias("actual"), F.col("prediction").alias("predicted"))
-        fut = future_frame(self._series, self.horizon_days, self.step_seconds, self.keys).fillna(0.0, subset=["roll_std_1d"])
+        fut = future_frame(self._series, self.horizon_days, self.step_seconds, self.keys).join(self._level_table, self.keys).fillna(0.0, subset=["roll_std_1d"])
+        fut = fut.dropna(subset=self.inputs)
         fpred = self.model.transform(fut).select(*self.keys, TS, F.col("prediction").alias("predicted"))
         tested = historical_bands(scored, self.z, self.keys)
         future = future_bands(fpred, self.z)
@@ -152,9 +158,6 @@ class MLForecaster:
         spark = self._series.sparkSession
         last = self.model.stages[-1]
         names = list(self.inputs)
-        if self.multi:
-            labels = self.model.stages[0].labels
-            names += [f"series={x}" for x in labels]
         if self.backend == "gbt":
             vals = last.featureImportances.toArray().tolist()
         else:

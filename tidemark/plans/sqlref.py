@@ -164,10 +164,11 @@ def rolling_names(col: str = "price") -> list[str]:
 
 def decompose_cte(name: str, src: str, p: int, col: str = "price") -> str:
     h = p // 2
+    middle = f"sum({col}) OVER wc - 0.5 * (lag({col}, {h}) OVER w0 + lead({col}, {h}) OVER w0)" if p % 2 == 0 else f"sum({col}) OVER wc"
     return f"""
 {name}_n AS (SELECT series_id, ts, idx, {col}, count(*) OVER (PARTITION BY series_id) AS n FROM {src}),
 {name}_m AS (SELECT *, CASE WHEN idx >= {h} AND idx < n - {h} THEN
-    (sum({col}) OVER wc - 0.5 * (lag({col}, {h}) OVER w0 + lead({col}, {h}) OVER w0)) / {p} END AS tmid
+    ({middle}) / {p} END AS tmid
   FROM {name}_n WHERE n >= {2 * p}
   WINDOW wc AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING),
          w0 AS (PARTITION BY series_id ORDER BY idx)),

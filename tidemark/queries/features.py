@@ -200,3 +200,64 @@ def q_long_series_features(spark, sf_dir):
     rolls = [Roll(PRICE, 288, tuple((s, f"price_rolling_{s}_1d") for s in ("mean", "std", "min", "max")))]
     lags = [Lag("price_lag_1h", PRICE, 12), Lag("price_lag_1d", PRICE, 288)]
     return ordered_features(d5, lags=lags, rolls=rolls).select(SERIES, TS, PRICE, *_L_COLS)
+
+
+# ------------------------------------------------ steps other than 5 minutes and an hour
+
+_STEP_SECONDS = {"2h": 7200, "40min": 2400, "daily": 86400}
+
+
+def _dense_d_sql(name: str, seconds: int) -> str:
+    return f"""
+{name}_g AS (SELECT series_id, unnest(generate_series(min(ts), max(ts), INTERVAL {seconds} SECOND)) AS ts FROM d GROUP BY series_id),
+{name}_0 AS (SELECT g.series_id, g.ts, d.price FROM {name}_g g LEFT JOIN d ON g.series_id = d.series_id AND g.ts = d.ts),""" + S.fill_cte(f"{name}_f", f"{name}_0", ["price"]) + f""",
+{name} AS (SELECT series_id, ts, price, CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS BIGINT) AS idx FROM {name}_f)"""
+
+
+def _whole_lags(seconds: int) -> dict[str, int]:
+    spans = {f"{h}h": h * 3600 for h in fe.LAG_HOURS} | {f"{d}d": d * 86400 for d in fe.LAG_DAYS}
+    return {f"price_lag_{n}": s // seconds for n, s in spans.items() if s % seconds == 0}
+
+
+def _steps_lag_sql() -> str:
+    def one(name: str, seconds: int) -> str:
+        have = _whole_lags(seconds)
+        cols = [f"lag(price, {have[c]}) OVER (PARTITION BY series_id ORDER BY idx) AS {c}" if c in have else f"CAST(NULL AS DOUBLE) AS {c}" for c in _LAG_NAMES]
+        return f"SELECT '{name}' AS fixture, series_id, ts, price, {', '.join(cols)} FROM s_{name}"
+
+    return S.with_(S.D + "," + ",".join(_dense_d_sql(f"s_{n}", k) for n, k in _STEP_SECONDS.items())) + " UNION ALL ".join(one(n, k) for n, k in _STEP_SECONDS.items())
+
+
+@register("lag_features_steps", _steps_lag_sql(), doubles=("price", *_LAG_NAMES))
+def q_lag_features_steps(spark, sf_dir):
+    """Lags of 2-hour, 40-minute and daily series; a lag that is no whole number of steps is left out (NULL here)."""
+    out = None
+    for name, seconds in _STEP_SECONDS.items():
+        df = fe.lag_features(resample_interpolate(fx.fixture_d(spark, sf_dir), seconds).select(SERIES, TS, IDX, PRICE), seconds)
+        df = df.select(F.lit(name).alias("fixture"), SERIES, TS, PRICE, *[F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in _LAG_NAMES])
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+@register(
+    "decompose_daily",
+    S.with_(S.D + "," + _dense_d_sql("s_daily", 86400), S.decompose_cte("dec", "s_daily", 7)) + "SELECT series_id, ts, price, trend, seasonal, residual FROM dec",
+    doubles=("price", "trend", "seasonal", "residual"),
+    digits=4,
+)
+def q_decompose_daily(spark, sf_dir):
+    """A daily series: the odd period of seven rows."""
+    return decompose(resample_interpolate(fx.fixture_d(spark, sf_dir), 86400), 86400).select(SERIES, TS, PRICE, "trend", "seasonal", "residual")
+
+
+@register(
+    "decompose_5min",
+    S.with_(S.M5 + "," + S.fill_cte("m5f0", "m5", ["price"]) + """,
+m5f AS (SELECT series_id, ts, price, CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS BIGINT) AS idx FROM m5f0)""", S.decompose_cte("dec", "m5f", 2016))
+    + "SELECT series_id, ts, price, trend, seasonal, residual FROM dec",
+    doubles=("price", "trend", "seasonal", "residual"),
+)
+def q_decompose_5min(spark, sf_dir):
+    """A 5-minute series: the long period of 2,016 rows (running sums)."""
+    m5 = fill_time_linear(fx.fixture_m5(spark, sf_dir))
+    return decompose(m5.select(SERIES, TS, IDX, PRICE), 300).select(SERIES, TS, PRICE, "trend", "seasonal", "residual")

@@ -134,6 +134,19 @@ def q_future_grid(spark, sf_dir):
     return future_grid(fx.fixture_h_filled(spark, sf_dir), 7, 3600).select(SERIES, "h", TS)
 
 
+@register(
+    "future_grid_steps",
+    S.with_(S.D) + """SELECT series_id, step, CAST(range AS BIGINT) AS h, last + to_seconds((range + 1) * step) AS ts
+  FROM (SELECT series_id, max(ts) AS last FROM d GROUP BY series_id) CROSS JOIN (VALUES (7200), (86400), (604800), (1209600)) s(step)
+  CROSS JOIN range(0, 200) WHERE range < 10 * 86400 // step""",
+)
+def q_future_grid_steps(spark, sf_dir):
+    """Ten days ahead by two hours, a day, a week (one row) and two weeks (none)."""
+    d = fx.fixture_d(spark, sf_dir)
+    out = [future_grid(d, 10, k).select(SERIES, F.lit(k).alias("step"), "h", TS) for k in (7200, 86400, 604800, 1209600)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 _FF_LAGS = S.lag_list(1, 24)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators.charts import top_features
 from ..operators.mlforecast import MLForecaster
 from ..plans.registry import register
-from ..session import SERIES, TS
+from ..session import IDX, PRICE, SERIES, TS
 from ..sources import fixtures as fx
 
 
@@ -21,6 +23,21 @@ def q_forecast_gbt(spark, sf_dir):
     return fc.select(SERIES, TS, "actual", "predicted", "lower", "upper", "model")
 
 
+@register(
+    "forecast_skipped",
+    """SELECT series_id, reason FROM (VALUES ('extreme', 'extreme_price'), ('short', 'no_complete_train_row')) t(series_id, reason)
+  WHERE EXISTS (SELECT 1 FROM events)""",
+)
+def q_forecast_skipped(spark, sf_dir):
+    """Series without a forecast, and why: one has an extreme price, one is shorter than the longest lag."""
+    hf = fx.fixture_h_filled(spark, sf_dir).select(SERIES, TS, IDX, PRICE)
+    one = hf.filter(F.col(SERIES) == hf.agg(F.min(SERIES)).first()[0])
+    odd = one.withColumn(SERIES, F.lit("extreme")).withColumn(PRICE, F.when(F.col(IDX) == 5, F.lit(1e11)).otherwise(F.col(PRICE)))
+    short = one.filter(F.col(IDX) < 100).withColumn(SERIES, F.lit("short"))
+    m = MLForecaster("linear", 1, 3600, max_iter=5).fit(hf.unionByName(odd).unionByName(short))
+    return m.skipped.select(SERIES, "reason")
+
+
 @register("feature_importance", None, notes="standardised linear coefficients as importance shares")
 def q_feature_importance(spark, sf_dir):
     return MLForecaster("linear", 7, 3600).fit(fx.fixture_h_filled(spark, sf_dir)).feature_importance()

@@ -10,8 +10,6 @@ coalescing).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 SERIES = "series_id"
@@ -31,7 +29,6 @@ def build_session(master: str | None = None, app: str = "tidemark", shuffle_part
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    cpus = os.cpu_count() or 8
     builder = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -39,11 +36,13 @@ def build_session(master: str | None = None, app: str = "tidemark", shuffle_part
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    if master and master.startswith("local"):  # the driver is the only worker
+        builder = builder.config("spark.driver.memory", "8g")
+    if shuffle_partitions:  # else the cluster's own setting holds
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     try:
         spark.sparkContext.setLogLevel("ERROR")
@@ -56,8 +55,9 @@ def build_session(master: str | None = None, app: str = "tidemark", shuffle_part
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; we only set one of our own when it
-    is unset (tests, local runs).
+    A cluster names a shared folder there; a local run gets one of its own when it
+    is unset.  On any other master an unset folder is an error, for executors
+    would not see a folder of the driver's machine.
     """
     try:
         sc = spark.sparkContext
@@ -67,6 +67,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         import tempfile
 
+        if sc is None or not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tidemark-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)

@@ -51,7 +51,7 @@ def read_series_json(
     as_epoch = F.when(num.isNull(), None).when(F.abs(num) > 1e11, F.timestamp_millis(num.cast("long"))).otherwise(
         F.timestamp_seconds(num.cast("long"))
     )
-    raw = raw.withColumn("timestamp", F.coalesce(F.date_format(as_epoch.cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss"), t))
+    raw = raw.withColumn("timestamp", F.coalesce(F.date_format(as_epoch.cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss.SSS"), t))
     return _typed(raw, series, default_series)
 
 

@@ -37,6 +37,7 @@ def dense_grid(
     nparts = int(bounds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = (
         bounds.select(*keys, F.col(start).alias("_t0"), n.alias("_n"))
+        .filter(F.col("_n") > 0)
         .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / F.lit(chunk)).cast("long"))))
         .repartition(nparts, *keys, "_c")
     )
@@ -60,7 +61,7 @@ def future_grid(
     keys: Sequence[str] = (SERIES,),
     ts: str = TS,
 ) -> DataFrame:
-    """The ``horizon_days * 86400 / step`` stamps after each series' last stamp (start excluded).
+    """The ``horizon_days * 86400 / step`` (rounded down) stamps after each series' last stamp (start excluded).
 
     Returns ``keys, h, ts`` with ``h = 0, 1, ...`` the future row number.
     ``step_seconds`` is a constant or a DataFrame ``keys, step_seconds``
@@ -72,9 +73,8 @@ def future_grid(
         step = F.col("step_seconds")
     else:
         step = F.lit(int(step_seconds))
-    per_day = F.floor(F.lit(86400) / step).cast("long")
-    n = F.lit(int(horizon_days)) * per_day
-    b = last.select(*keys, "_last", step.alias("_step"), n.alias("_n"))
+    n = F.floor(F.lit(int(horizon_days) * 86400) / step).cast("long")
+    b = last.select(*keys, "_last", step.alias("_step"), n.alias("_n")).filter(F.col("_n") > 0)
     nparts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = b.withColumn(
         "_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / F.lit(GRID_CHUNK)).cast("long")))

@@ -1,7 +1,12 @@
 """Incremental hourly mean of arriving prices.
 
-Structured Streaming: a file source of ticks -> watermark -> hourly tumbling
-window per series -> running mean.  ``update`` mode emits a window whenever
+Two forms.  :func:`streaming_hourly_mean` reads what is there, in any order and any
+number of files: each micro-batch is reduced to partial sums per (series, hour) and
+written under its batch id; partial sums are merged on reading.  It keeps no state and
+drops no tick, however late.
+
+:func:`hourly_mean` is the live form with bounded state: a file source of ticks -> watermark
+-> hourly tumbling window per series -> running mean.  ``update`` mode emits a window whenever
 it changes; state for windows older than the watermark is dropped, so state
 stays bounded however long the stream runs.  Each micro-batch is appended
 (with its batch id) to a Parquet table in the shared folder via
@@ -61,6 +66,36 @@ def run_to_table(agg: DataFrame, out_path: str, checkpoint: str, available_now:
     return w.start()
 
 
+def raise_on_drops(query) -> None:
+    """Fail if the watermark of a live query dropped rows (their count is in its progress)."""
+    dropped = sum(int(op.get("numRowsDroppedByWatermark") or 0) for p in query.recentProgress for op in p.get("stateOperators", []))
+    if dropped:
+        raise RuntimeError(f"{dropped} ticks came later than the watermark allows and were dropped")
+
+
+def run_partials(ticks: DataFrame, out_path: str, checkpoint: str, width: str = "1 hour", available_now: bool = True):
+    """Start the stateless form: every batch overwrites its own folder with its partial sums."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        sums = batch.groupBy(F.col(SERIES), F.window("ts", width).alias("w")).agg(F.sum(PRICE).alias("sum_price"), F.count(F.lit(1)).alias("n"))
+        sums.select(SERIES, F.col("w.start").alias("ts"), "sum_price", "n").write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+
+    w = ticks.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
+
+
+def merged_windows(spark: SparkSession, out_path: str) -> DataFrame:
+    """Hourly means over all batches written so far."""
+    sums = spark.read.parquet(out_path).groupBy(SERIES, "ts").agg(F.sum("sum_price").alias("s"), F.sum("n").alias("n"))
+    return sums.select(SERIES, F.col("ts").cast("timestamp_ntz").alias("ts"), (F.col("s") / F.col("n")).alias(PRICE), F.col("n").cast("long").alias("n"))
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory())
+
+
 def latest_windows(spark: SparkSession, out_path: str) -> DataFrame:
     """Last emitted version of every (series, hour): the current hourly means."""
     rows = spark.read.parquet(out_path)
@@ -69,10 +104,11 @@ def latest_windows(spark: SparkSession, out_path: str) -> DataFrame:
     return last.select(SERIES, F.col("ts").cast("timestamp_ntz").alias("ts"), (F.col("sum_price") / F.col("n")).alias(PRICE), F.col("n").cast("long").alias("n"))
 
 
-def streaming_hourly_mean(spark: SparkSession, folder: str, schema: T.StructType, run_id: str, file_glob: str = "events*.parquet") -> DataFrame:
-    """Event files in ``folder`` as a stream of ticks keyed by event type; runs to completion, returns the means."""
+def streaming_hourly_mean(spark: SparkSession, path: str, schema: T.StructType, run_id: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The event table ``path`` (a file, or a folder of part files) as a stream of ticks keyed by event type; runs to completion."""
     base = shared_path(spark, "streams", run_id)
-    ticks = tick_stream(spark, folder, schema, "event_type", "ts", "value", max_files_per_trigger=1, file_glob=file_glob)
-    q = run_to_table(hourly_mean(ticks), f"{base}/out", f"{base}/checkpoint")
+    folder, glob = (path, "*.parquet") if is_folder(spark, path) else path.rsplit("/", 1)
+    ticks = tick_stream(spark, folder, schema, "event_type", "ts", "value", max_files_per_trigger=max_files_per_trigger, file_glob=glob)
+    q = run_partials(ticks, f"{base}/out", f"{base}/checkpoint")
     q.awaitTermination()
-    return latest_windows(spark, f"{base}/out")
+    return merged_windows(spark, f"{base}/out")
