@@ -18,6 +18,8 @@ repeated rows get equal scores; empty tables give empty results; extra columns a
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -110,7 +112,7 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 300) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 150) -> np.ndarray:
     """Weights (bias last) of a class-balanced logistic regression by accelerated gradient steps."""
     mean, std = x.mean(0), x.std(0) + 1e-3
     z = np.hstack([(x - mean) / std, np.ones((len(x), 1), np.float32)]).astype(np.float32)
@@ -124,8 +126,9 @@ def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 300) -> np.
     w = np.zeros(z.shape[1], np.float32)
     u, t = w, 1.0
     for _ in range(steps):
-        g = z.T @ (weight * (_sigmoid(z @ u) - y)) + l2 * np.append(u[:-1], 0)
-        new, nt = u - rate * g, (1 + np.sqrt(1 + 4 * t * t)) / 2
+        g = z.T @ (weight * (_sigmoid(z @ u) - y)) + l2 * np.append(u[:-1], np.float32(0))
+        # plain floats keep the arrays in single precision
+        new, nt = u - rate * g, (1 + math.sqrt(1 + 4 * t * t)) / 2
         u, w, t = new + (t - 1) / nt * (new - w), new, nt
     raw = w[:-1] / std
     return np.append(raw, w[-1] - raw @ mean).astype(np.float64)
@@ -177,7 +180,7 @@ def _scored(table: DataFrame, models: Models) -> DataFrame:
     return table.select("doc_id", "th", "c", "m").mapInArrow(run, "doc_id long, th long, p_content double, p_meta double, p double")
 
 
-def train(table: DataFrame, labels: DataFrame, key: str = "doc_id", max_labelled: int = 20_000, per_round: int = 1_000, rounds: int = 3, sure: float = 0.97) -> tuple[Models | None, float]:
+def train(table: DataFrame, labels: DataFrame, key: str = "doc_id", max_labelled: int = 10_000, per_round: int = 500, rounds: int = 3, sure: float = 0.97) -> tuple[Models | None, float]:
     """Models from the stored feature ``table``; None with one class only, and the share of good labels."""
     lab = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("doc_id")).agg((F.min("quality") > 0).cast("int").alias("y"))
     sample = stored(lab.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(max_labelled))  # at most max_labelled rows of two numbers
