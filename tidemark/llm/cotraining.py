@@ -114,6 +114,7 @@ def _sigmoid(z):
 
 def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 150) -> np.ndarray:
     """Weights (bias last) of a class-balanced logistic regression by accelerated gradient steps."""
+    y = y.astype(np.float32)
     mean, std = x.mean(0), x.std(0) + 1e-3
     z = np.hstack([(x - mean) / std, np.ones((len(x), 1), np.float32)]).astype(np.float32)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())).astype(np.float32)
