@@ -28,22 +28,26 @@ class Query:
     sql: str | None
     doubles: tuple = ()
     digits: int = 6
+    fine: tuple = ()  # columns compared to six digits whatever ``digits`` says
     notes: str = ""
     tags: tuple = field(default_factory=tuple)
 
     def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.fn(spark, sf_dir)
         for c in self.doubles:
-            df = df.withColumn(c, F.round(F.col(c) * F.lit(1.0 + NUDGE) + F.lit(NUDGE), self.digits) + F.lit(0.0))
+            df = df.withColumn(c, F.round(F.col(c) * F.lit(1.0 + NUDGE) + F.lit(NUDGE), self._digits(c)) + F.lit(0.0))
         return df
 
+    def _digits(self, column: str) -> int:
+        return max(6, self.digits) if column in self.fine else self.digits
+
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
         if not self.doubles:
             return self.sql
         rep = ", ".join(
-            f"round({c} * CAST({1.0 + NUDGE!r} AS DOUBLE) + CAST({NUDGE!r} AS DOUBLE), {self.digits}) + 0.0 AS {c}"
+            f"round({c} * CAST({1.0 + NUDGE!r} AS DOUBLE) + CAST({NUDGE!r} AS DOUBLE), {self._digits(c)}) + 0.0 AS {c}"
             for c in self.doubles
         )
         return f"SELECT * REPLACE ({rep}) FROM (\n{self.sql}\n) _q"
@@ -52,11 +56,11 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
-def register(name: str, sql: str | None = None, doubles=(), digits: int = 6, notes: str = ""):
+def register(name: str, sql: str | None = None, doubles=(), digits: int = 6, notes: str = "", fine=()):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = Query(name, fn, sql, tuple(doubles), digits, notes)
+        QUERIES[name] = Query(name, fn, sql, tuple(doubles), digits, tuple(fine), notes)
         return fn
 
     return deco

@@ -93,3 +93,51 @@ def q_catalog_describe_forecasts(spark, sf_dir):
     )
     _, metrics, _ = cat.load_forecast(f1)
     return desc.join(metrics, "id").drop("forecast_id")
+
+
+@register(
+    "catalog_list_forecasts",
+    """SELECT CAST(1 AS BIGINT) AS id, CAST(1 AS BIGINT) AS dataset_id, 'lag24 forecast' AS name, CAST(1 AS BIGINT) AS forecast_horizon,
+  CAST(90 AS BIGINT) AS confidence_interval, 'lag24' AS models_used, true AS got WHERE EXISTS (SELECT 1 FROM events)""",
+)
+def q_catalog_list_forecasts(spark, sf_dir):
+    """The live forecasts of one dataset (the other dataset's went with it), and whether each is found by its id."""
+    cat, d1, f1 = catalog_scenario(spark, sf_dir)
+    got = cat.get_forecast(f1).select("id", F.lit(True).alias("got"))
+    rows = cat.list_forecasts(d1).select("id", "dataset_id", "name", "forecast_horizon", "confidence_interval", "models_used")
+    return rows.join(got, "id", "left")
+
+
+@register(
+    "catalog_delete_forecast",
+    S.with_(S.HF) + "SELECT CAST(0 AS BIGINT) AS forecasts, CAST(count(*) AS BIGINT) AS history_rows FROM hf",
+)
+def q_catalog_delete_forecast(spark, sf_dir):
+    """After a forecast is deleted none is listed, and the history of its dataset stays."""
+    cat, d1, f1 = catalog_scenario(spark, sf_dir)
+    assert cat.delete_forecast(f1) and not cat.delete_forecast(f1)
+    left = cat.list_forecasts(d1).count()
+    return cat.load_dataset(d1).agg(F.lit(left).cast("long").alias("forecasts"), F.count(F.lit(1)).alias("history_rows"))
+
+
+@register(
+    "catalog_failed_save",
+    S.with_(S.HF) + "SELECT series_id, ts AS \"timestamp\", price FROM hf",
+    doubles=("price",),
+)
+def q_catalog_failed_save(spark, sf_dir):
+    """A save that stops after its rows and before its header; the next save takes the same id and loads its own rows only."""
+    hf = fx.fixture_h_filled(spark, sf_dir).select(SERIES, TS, PRICE)
+
+    class Lost(Catalog):
+        def _append(self, table, df):
+            raise OSError("lost before the header")
+
+    root = shared_path(spark, "catalog", uuid.uuid4().hex)
+    Catalog(spark, root).initialize()
+    try:
+        Lost(spark, root).save_dataset(fx.fixture_d(spark, sf_dir), "lost")
+    except OSError:
+        pass
+    cat = Catalog(spark, root)
+    return cat.load_dataset(cat.save_dataset(hf, "kept"))

@@ -138,7 +138,10 @@ dh0 AS (SELECT g.series_id, g.ts, d.price FROM dh_g g LEFT JOIN d ON g.series_id
 )
 
 
-@register("engineer_features", _engineer_sql(), doubles=("price", *_FEAT_NAMES), digits=2)
+_SMALL = (*S.CAL_DBL, *[c for c in S.DECOMP_NAMES if c.endswith("_pct")])
+
+
+@register("engineer_features", _engineer_sql(), doubles=("price", *_FEAT_NAMES), digits=2, fine=_SMALL)
 def q_engineer_features(spark, sf_dir):
     feats, _ = fe.engineer_features(d_hourly(spark, sf_dir), 3600)
     return feats.select(SERIES, TS, PRICE, *_LAG_NAMES, *_ROLL_NAMES, *S.CAL_DBL, *S.CAL_INT, *fe.DECOMP_COLS)
