@@ -69,3 +69,21 @@ def test_empty_and_plain_texts(make_docs):
     assert S.summaries(make_docs([])).count() == 0
     got = S.summaries(make_docs([(1, "only words here")])).collect()
     assert [r["spans"] for r in got] == [""] and got[0]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_values_after_names_and_paths_are_candidates(make_docs):
+    rnd = random.Random(29)
+    a62, a64 = S.ENCODINGS["base62"][1], S.ENCODINGS["base64"][1]
+    short, plain, full = ("".join(rnd.choice(abc) for _ in range(n)) for abc, n in ((a62, 24), (a62, 40), (a64, 40)))
+    letters = "".join(rnd.choice(a62[10:]) for _ in range(16))  # no digit
+    cases = [("AUTH=", short, ""), ("see ?sig=", plain, "&x=1"), ("client_id=", full, "=="), ("org/a-b/", plain, ""), ("my-app/", plain, " end"), ("", letters, ""), ("é ", plain, "=x")]
+    rows = [(i, a + v + z) for i, (a, v, z) in enumerate(cases)]
+    got = {(r["__id"], r["start"], r["value"]) for r in S.matches(make_docs(rows)).where("kind = 3").collect()}
+    for i, (a, v, z) in enumerate(cases):
+        assert (i, len(a), v + ("==" if z == "==" else "")) in got, cases[i]
+
+
+def test_of_nested_claims_the_outermost_stays(spark):
+    rows = [(1, 7, 3, 0, 50), (1, 7, 3, 0, 20), (1, 7, 3, 21, 50), (1, 7, 3, 60, 80), (1, 8, 3, 0, 20), (None, 7, 3, 1, 30)]
+    got = S.outermost(spark.createDataFrame(rows, "__id long, __th long, kind int, start long, end long")).collect()
+    assert {tuple(r) for r in got} == {rows[0], rows[3], rows[4], rows[5]} and len(got) == 4

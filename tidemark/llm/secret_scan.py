@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns plus a randomness test battery (DataFrame functions only).
 
-Base spans come from three patterns (assignments to secret names, access keys, hex runs).  Further candidates are runs
-of 16 or more characters of the base-64 alphabets that hold a letter and a digit.  For each candidate the encoding
-is inferred (hex, base32, base62, base64, base64url) and three tests ask whether its symbols look uniform:
+Base spans come from three patterns (assignments to secret names, access keys, hex runs).  Further candidates are whole
+runs of 16 or more characters of the base62, base64 and base64url alphabets, each alphabet by itself: what one of
+them does not hold cuts its runs, so NAME=VALUE and paths leave the value as a run of its own; '=' belongs to a run only as
+padding at its end.  For each candidate the encoding is inferred (hex, base32, base62, base64, base64url) and three tests
+ask whether its symbols look uniform:
 
 * chi-squared of the symbol counts over the encoding's alphabet (Wilson-Hilferty tail),
 * runs of symbols below and above the middle of the alphabet,
@@ -15,8 +17,8 @@ there beyond that are false discoveries, and each class takes the lowest cut at
 ``fdr``.
 
 Places are code points.  Spans are rows (one per match) until they are put together per document.  Defined cases: null text
-is empty; a null id is an id; repeated rows get equal results; a candidate whose symbols fit no alphabet is not
-claimed; empty tables give empty results; extra columns are ignored.
+is empty; a null id is an id; repeated rows get equal results; of claimed runs that lie in one another the
+longest counts; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,13 @@ KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"  # whole runs, so a limit on their length is the same as a filter afterwards
-RANDOM = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
+_PAD = "(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
+#: Runs of each alphabet; those of the last two hold a symbol that base62 has not, so no run is found twice.
+RANDOM = [
+    "(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+" + _PAD,
+    "(?<![A-Za-z0-9+/])(?=[A-Za-z0-9]*+[+/])[A-Za-z0-9+/]{16,}+" + _PAD,
+    "(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*+[_-])[A-Za-z0-9_-]{16,}+" + _PAD,
+]
 ASSIGN_LEAST = 12
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -65,11 +73,12 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """(__id, __th, kind, start, end, value): all matches, in code points, one row for each of equal documents."""
     df = docs.select(F.col(key).alias("__id"), text_of(text).alias("__t")).withColumn("__th", F.xxhash64("__t"))
     t = F.col("__t")
-    found = F.concat(_found(t, 0, ASSIGN, 1), _found(t, 1, ACCESS, 0), _found(t, 2, HEX, 0), _found(t, 3, RANDOM, 0))
+    found = F.concat(_found(t, 0, ASSIGN, 1), _found(t, 1, ACCESS, 0), _found(t, 2, HEX, 0), *[_found(t, 3 + i, r, 0) for i, r in enumerate(RANDOM)])
     rows = df.select("__id", "__th", F.explode(found).alias("m")).select("__id", "__th", "m.*")
     rows = rows.groupBy("__id", "__th", "kind", "j").agg(*[F.first(c).alias(c) for c in ("gap", "len", "value")])  # repeated documents
     order = Window.partitionBy("__id", "__th", "kind").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)  # of one document
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(order)).withColumn("start", F.col("end") - F.col("len"))
+    rows = rows.withColumn("kind", F.least("kind", F.lit(3)))
     return rows.where((F.col("kind") != 0) | (F.char_length("value") >= ASSIGN_LEAST)).drop("j", "gap", "len")
 
 
@@ -82,16 +91,23 @@ def _upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+def _places(chars: Column, alphabet: str) -> Column:
+    return F.transform(chars, lambda c: F.call_function("locate", c, F.lit(alphabet)) - 1)
+
+
 def battery(rows: DataFrame, value: str = "value") -> DataFrame:
     """``rows`` whose ``value`` fits an alphabet, with encoding, n_symbols and p_value."""
     df = rows.withColumn("__s", F.rtrim(F.col(value), F.lit("=")))
-    enc, size, symbols = F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("string")
+    enc, size = F.lit(None).cast("string"), F.lit(None).cast("int")
     for name, (pattern, alphabet) in reversed(ENCODINGS.items()):
         fits = F.col("__s").rlike(pattern)
-        enc, size, symbols = F.when(fits, name).otherwise(enc), F.when(fits, len(alphabet)).otherwise(size), F.when(fits, alphabet).otherwise(symbols)
-    df = df.withColumns({"encoding": enc, "__k": size, "__abc": symbols}).where(F.col("encoding").isNotNull())
+        enc, size = F.when(fits, name).otherwise(enc), F.when(fits, len(alphabet)).otherwise(size)
+    df = df.withColumns({"encoding": enc, "__k": size}).where(F.col("encoding").isNotNull())
     df = df.withColumn("__s", F.when(F.col("encoding") == "hex", F.lower("__s")).otherwise(F.col("__s")))
-    df = df.withColumn("__a", F.transform(F.filter(F.split("__s", ""), lambda c: c != ""), lambda c: F.call_function("locate", c, F.col("__abc")) - 1))
+    at, chars = F.lit(None).cast("array<int>"), F.filter(F.split("__s", ""), lambda c: c != "")
+    for name, (_, alphabet) in ENCODINGS.items():  # a literal alphabet: a column would be worked out again for every symbol
+        at = F.when(F.col("encoding") == name, _places(chars, alphabet)).otherwise(at)
+    df = df.withColumn("__a", at)
     a, k = F.col("__a"), F.col("__k").cast("double")
     n = F.size(a)
     df = df.withColumn("n_symbols", n.cast("long")).where("n_symbols >= 2")
@@ -127,7 +143,7 @@ def battery(rows: DataFrame, value: str = "value") -> DataFrame:
     df = df.withColumns({"__p1": _upper_tail(z_chi), "__p2": 2 * _upper_tail(F.abs(z_runs)), "__p3": 2 * _upper_tail(F.abs(z_serial))})
     half = -sum((F.log(F.greatest(F.least(F.col(c), F.lit(1.0)), F.lit(1e-300))) for c in ("__p1", "__p2", "__p3")), F.lit(0.0))
     df = df.withColumn("__h", half).withColumn("p_value", F.exp(-F.col("__h")) * (1 + F.col("__h") + F.col("__h") * F.col("__h") / 2))
-    return df.drop("__s", "__k", "__abc", "__a", "__sq", "__w", "__p1", "__p2", "__p3", "__h")
+    return df.drop("__s", "__k", "__a", "__sq", "__w", "__p1", "__p2", "__p3", "__h")
 
 
 def claim(tested: DataFrame, fdr: float = 0.1) -> DataFrame:
@@ -141,11 +157,17 @@ def claim(tested: DataFrame, fdr: float = 0.1) -> DataFrame:
     return attach(df, cuts, ["encoding", "__len"], "inner").where(F.col("__bin") >= F.col("__cut")).drop("__len", "__bin", "__cut")
 
 
+def outermost(claimed: DataFrame) -> DataFrame:
+    """The rows of ``claimed`` that lie in no other one of their document."""
+    before = Window.partitionBy("__id", "__th").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)  # of one document
+    return claimed.withColumn("__reach", F.max("end").over(before)).where(F.col("__reach").isNull() | (F.col("end") > F.col("__reach"))).drop("__reach")
+
+
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", fdr: float = 0.1) -> DataFrame:
     """(__id, __th, kind, start, end): base spans and claimed ones; __th is the hash of the text."""
     found = stored(matches(docs, key, text))  # the matches alone, not the texts
-    claimed = claim(battery(found.where(F.col("kind") == 3)), fdr)
     cols = ["__id", "__th", "kind", "start", "end"]
+    claimed = outermost(claim(battery(found.where(F.col("kind") == 3)), fdr).select(cols))
     return found.where(F.col("kind") < 3).select(cols).unionByName(claimed.select(cols))
 
 
