@@ -87,3 +87,27 @@ def test_of_nested_claims_the_outermost_stays(spark):
     rows = [(1, 7, 3, 0, 50), (1, 7, 3, 0, 20), (1, 7, 3, 21, 50), (1, 7, 3, 60, 80), (1, 8, 3, 0, 20), (None, 7, 3, 1, 30)]
     got = S.outermost(spark.createDataFrame(rows, "__id long, __th long, kind int, start long, end long")).collect()
     assert {tuple(r) for r in got} == {rows[0], rows[3], rows[4], rows[5]} and len(got) == 4
+
+
+def claimed(spark, values):
+    return {r["value"] for r in S.claim(S.battery(spark.createDataFrame([(v,) for v in values], "value string"))).collect()}
+
+
+def test_few_secrets_among_many_identifiers_are_found(spark):
+    rnd = random.Random(31)
+    names = ["Amber", "Basket", "Cobalt", "Dragon", "Engine", "Falcon", "Garnet", "Harbor", "Island", "Jacket", "Kettle", "Lantern"]
+    plain = {"".join(rnd.choice(names) for _ in range(9))[: rnd.randint(34, 44)] for _ in range(400)}
+    secrets = {"".join(rnd.choice(S.ENCODINGS["base62"][1]) for _ in range(40)) for _ in range(5)}
+    got = claimed(spark, plain | secrets)
+    assert len(got & secrets) >= 4 and len(got - secrets) <= 1
+
+
+def test_a_class_of_identifiers_claims_nothing_and_one_secret_is_enough(spark):
+    made = [r["value"] for r in S.known(spark).where("length(value) between 16 and 22 and value rlike '^[A-Z][a-z]+[A-Z][A-Za-z]*$'").collect()]
+    words = S.battery(spark.createDataFrame([(v,) for v in made], "value string")).where("encoding = 'base62'").collect()
+    weak = {r["value"] for r in words if r["p_value"] < 0.5} | {max(words, key=lambda r: r["p_value"])["value"]}  # one above 1/2
+    assert max(r["p_value"] for r in words) > 0.5 and not claimed(spark, weak)
+    rnd = random.Random(37)
+    many = ["".join(rnd.choice(S.ENCODINGS["base62"][1]) for _ in range(40)) for _ in range(60)]
+    one = next(r["value"] for r in S.battery(spark.createDataFrame([(v,) for v in many], "value string")).collect() if 0.2 < r["p_value"] < 0.4)
+    assert claimed(spark, [one]) == {one}
