@@ -1,3 +1,4 @@
+import base64
 import random
 
 import pytest
@@ -19,6 +20,15 @@ def test_pieces_give_the_ids_of_the_whole_text(vocabulary):
         assert list(B.encode_text(enc, t, rnd.randint(1, 40))) == enc.encode_ordinary(t)
 
 
+def test_control_characters_are_no_white_space_of_the_library(vocabulary):
+    tokens = [bytes([b]) for b in range(256)] + [b"!" + bytes([b]) for b in range(0x1C, 0x20)]
+    enc = B.coder(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens)), vocabulary[1])
+    rnd = random.Random(2)
+    for _ in range(2_000):
+        t = "".join(rnd.choice("a! \n\x1c\x1d\x1e\x1f\x85") for _ in range(rnd.randint(2, 30)))
+        assert list(B.encode_text(enc, t, rnd.randint(1, 10))) == enc.encode_ordinary(t)
+
+
 def test_round_trip_and_columns(make_docs, vocabulary, prose):
     rows = [(1, None), (2, ""), (3, "it's 日本\n\n  é"), (3, "it's 日本\n\n  é"), (None, prose(50, 1)), (5, prose(30_000, 2)), (6, "x" * 300_000)]
     docs = make_docs(rows)

@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 PIECE_CHARS = 20_000
 SLICE_BYTES = 1_000_000
 MAX_RANK_BYTES = 32_000_000
-_BOUNDARY = re.compile(r"(?<=\S)(?=\s)")
+#: The library counts U+001C to U+001F as no white space, Python does.
+_BOUNDARY = re.compile(r"(?<=[\S\x1c-\x1f])(?=[^\S\x1c-\x1f])")
 _CODERS: dict[int, object] = {}
 
 
