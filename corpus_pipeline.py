@@ -23,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines found on many sites; a document left without a word by that goes."""
-    out = line_dedup.remove_boilerplate(docs)
+    """Removes lines found on many sites, whatever their length; a document left without a word by that goes."""
+    out = line_dedup.remove_boilerplate(docs, min_words=1)
     return out.where((out["lines_removed"] == 0) | out["text"].rlike(WORD_CLASS)).select(*docs.columns)
 
 

@@ -62,3 +62,15 @@ def test_estimates_near_the_threshold_are_counted_exactly(make_docs):
 
 def test_empty(make_docs):
     assert L.remove_boilerplate(make_docs([])).count() == 0
+
+
+def test_pipeline_removes_short_lines_and_lines_without_spaces(spark, make_docs, prose):
+    import corpus_pipeline
+
+    shared = ["All rights reserved.", "本网站的所有内容均受版权保护未经许可不得转载", "Home"]
+    rows = [(i, "\n".join([prose(8, 50 + i), *shared, "On few" if i < 4 else f"own {i}", " ", ""]), "en", f"s{i}") for i in range(6)]
+    rows.append((9, "Home\nAll rights reserved.", "en", "s0"))  # loses all its words
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, make_docs(rows), "").collect()}
+    want = brute(rows, 5, 1)
+    assert want.pop(9) == "" and got == want
+    assert all(line not in got[i].split("\n") for line in shared for i in range(1, 6))
