@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, cotraining, jaccard_join, line_dedup, merkle, mixing, periodic_runs, quality_rules, secret_scan, topk_search, warc
+from . import byte_bpe, chat_format, cotraining, fingerprints, jaccard_join, line_dedup, merkle, mixing, periodic_runs, quality_rules, secret_scan, topk_search, warc
 
 QUERIES = {
     "op1_cotraining": cotraining.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.query,
     "op9_source_mixing": mixing.query,
     "op10_secret_scan": secret_scan.query,
+    "op11_fingerprints": fingerprints.query,
     "op12_merkle_manifest": merkle.query,
     "op13_periodic_runs": periodic_runs.query,
 }
@@ -25,5 +26,6 @@ ORACLES = {
     "op5_warc": warc.oracle,
     "op6_quality_rules": quality_rules.oracle,
     "op9_source_mixing": mixing.oracle,
+    "op11_fingerprints": fingerprints.oracle,
     "op12_merkle_manifest": merkle.oracle,
 }
