@@ -74,3 +74,12 @@ def test_pipeline_removes_short_lines_and_lines_without_spaces(spark, make_docs,
     want = brute(rows, 5, 1)
     assert want.pop(9) == "" and got == want
     assert all(line not in got[i].split("\n") for line in shared for i in range(1, 6))
+
+
+def test_query_takes_lines_of_any_length(spark, make_docs, prose, tmp_path):
+    lines = ["All rights reserved.", "本网站的所有内容均受版权保护", "Home", "four words stand here"]
+    rows = [(i, "\n".join([prose(5, 70 + i), *lines[: 1 + i % 4], "|", f"own {i}"]), "en", f"s{i}") for i in range(24)]
+    make_docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["text"] for r in L.query(spark, str(tmp_path)).collect()}
+    assert got == brute(rows, 5, 1)
+    assert got[23] == "\n".join([prose(5, 93), "own 23"])

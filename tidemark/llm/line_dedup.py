@@ -5,8 +5,8 @@ Lines whose estimate lies clearly above ``min_sites`` are boilerplate, lines cle
 the threshold get an exact distinct count.  A boilerplate line stays once, where (document id, place) is
 smallest, and goes everywhere else, so no content is lost.
 
-A line is compared without white space at its ends; lines of fewer than ``min_words`` words repeat by chance and
-never go.  Defined cases: null text has no lines and stays null; a null site counts as one site; a null id is an
+A line is compared without white space at its ends.  Every line with a word takes part, however short (a line of a script
+without spaces is one word); a caller who asks for more ``min_words`` spares shorter lines.  Defined cases: null text has no lines and stays null; a null site counts as one site; a null id is an
 id of its own (the smallest); repeated rows get equal results and keep what the first of them keeps; lines keep
 their order and bytes; a text without removed lines is returned unchanged.  Extra columns pass through.
 """
@@ -51,7 +51,7 @@ def spread(lines: DataFrame, min_sites: int) -> DataFrame:
     return per_line.where(F.col("est") > min_sites + margin).select("__h", "__first").unionByName(counted)
 
 
-def remove_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 5, min_words: int = 4) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 5, min_words: int = 1) -> DataFrame:
     """``docs`` with the cleaned ``text`` and ``lines_removed`` (long)."""
     lines = _lines(docs, key, text, site, min_words)
     flagged = stored(spread(lines, min_sites))
@@ -81,7 +81,7 @@ WITH l AS (
   SELECT doc_id, source, i - 1 AS pos, parts[i] AS line, trim(parts[i], chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS bare
   FROM (SELECT doc_id, source, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents))),
 c AS (
-  SELECT *, len(regexp_extract_all(bare, '[^\\x20\\x09-\\x0D]+')) >= 4 AS counts FROM l),
+  SELECT *, len(regexp_extract_all(bare, '[^\\x20\\x09-\\x0D]+')) >= 1 AS counts FROM l),
 s AS (
   SELECT bare FROM c WHERE counts GROUP BY bare HAVING count(DISTINCT source) >= 5),
 f AS (
