@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import topk_search as K
@@ -51,5 +52,24 @@ def test_large_components_are_exact_and_few_candidates_give_all(spark):
     assert run(spark, rows, 20, 2) == brute(rows, 20, 2)
 
 
+def test_no_vector_is_left_out_for_its_size(spark):
+    rnd = random.Random(8)
+    rows = [(0, [1.0, 0.5]), (1, [2e6, 1.0]), (2, [0.25, -3.0]), (20, [1e7, -1e7])]
+    want = brute(rows, 20, 20)
+    assert run(spark, rows, 20, 20) == want and len(want) == 6
+    # sums that doubles, or partial sums that longs, do not hold
+    rows += [(i, [rnd.choice([1, -1]) * rnd.uniform(1e5, 6e6), rnd.uniform(-6e6, 6e6)]) for i in range(21, 90)]
+    assert run(spark, rows, 5, 3) == brute(rows, 5, 3)
+    rows = [(0, [1e9, 1e9, 3.0])] + [(i, [x, -x + rnd.randint(-5, 5), rnd.uniform(-9, 9)]) for i in range(1, 30) for x in [rnd.uniform(1e8, 1e9)]]
+    assert run(spark, rows, 5, 1000) == brute(rows, 5, 1000)
+
+
+def test_what_no_long_holds_is_an_error(spark):
+    with pytest.raises(Exception, match="does not fit into a long"):
+        run(spark, [(0, [1e300]), (1, [1.0])], 3, 2)
+    with pytest.raises(Exception, match="does not fit into a long"):
+        run(spark, [(0, [1e12]), (1, [1e12])], 3, 2)
+
+
 def test_empty(spark):
     assert run(spark, [], 5, 2) == set()

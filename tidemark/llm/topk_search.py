@@ -16,8 +16,9 @@ Vectors are packed in blocks of a fixed number of rows; query blocks are dealt t
 on the shard, so a task holds one block of each and nothing is broadcast whole.  The work is queries times candidates,
 as the contract of the search asks.
 
-Components become floor(scale * x).  Defined cases: vectors that are null, empty, or hold a null, non-finite or (scaled)
-over 2 ** 26 component take no part; queries meet only candidates of their own length; a query's own id is no candidate, and
+Components become floor(scale * x), a long.  Products are sums of doubles where these hold every partial sum exactly, else of longs,
+else of integers without bound; a component of 2 ** 62 or more after scaling, or a score that no long holds, is an error and never
+leaves a row out.  Defined cases: vectors that are null, empty, or hold a null or non-finite component take no part; queries meet only candidates of their own length; a query's own id is no candidate, and
 neither is a null id; rows that repeat an id are scored each, as often as they occur, and ask once, with the smallest vector; fewer than k candidates give all; empty
 tables give an empty result.  Extra columns are ignored.
 """
@@ -33,17 +34,18 @@ from .common import stored
 
 BLOCK = 2048  # candidates in a block
 QUERY_BLOCK = 256  # queries in a block
-LIMIT = float(2**26)
+LARGEST = float(2**62)
 
 
 def integer_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
-    """(vec_id, v array<int>, d): the vectors that take part."""
+    """(vec_id, v array<long>, d): the vectors that take part."""
     v = F.transform(F.col(vector), lambda x: F.lit(scale) * x.cast("double"))
-    ok = F.forall("__v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(LIMIT)))
+    ok = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    whole = lambda x: F.when(F.abs(x) < F.lit(LARGEST), F.floor(x).cast("long")).otherwise(F.raise_error(F.lit("a scaled component does not fit into a long")).cast("long"))
     return (
-        df.select(F.col(key).cast("long").alias("vec_id"), v.alias("__v"))
-        .where(F.col("vec_id").isNotNull() & F.col("__v").isNotNull() & (F.size("__v") > 0) & F.coalesce(ok, F.lit(False)))
-        .select("vec_id", F.transform("__v", lambda x: F.floor(x).cast("int")).alias("v"), F.size("__v").alias("d"))
+        df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & F.coalesce(ok, F.lit(False)))
+        .select(F.col(key).cast("long").alias("vec_id"), v.alias("__v"))
+        .select("vec_id", F.transform("__v", whole).alias("v"), F.size("__v").alias("d"))
     )
 
 
@@ -61,7 +63,9 @@ def _pack(df: DataFrame, rows: int) -> DataFrame:
 
         ids = pdf["vec_id"].to_numpy(np.int64)
         order = np.argsort(ids, kind="stable")
-        m = np.stack(pdf["v"].to_numpy()).astype(np.int32)[order]
+        m = np.stack(pdf["v"].to_numpy()).astype(np.int64)[order]
+        if np.abs(m).max(initial=0) < 2**31:
+            m = m.astype(np.int32)  # read back by the number of bytes
         out = []
         for i in range(0, len(ids), rows):  # a block is never larger, whatever repeats
             out.append((int(pdf["d"].iloc[0]), int(pdf["block"].iloc[0]) * 1_000_003 + i // rows, ids[order][i : i + rows].tobytes(), m[i : i + rows].tobytes()))
@@ -79,13 +83,17 @@ def _pairs(cands: DataFrame, queries: DataFrame) -> DataFrame:
     return c.hint("shuffle_hash").join(dealt.repartition(parts, "d", "block"), ["d", "block"])
 
 
+def _matrix(data: bytes, rows: int, d: int) -> np.ndarray:
+    return np.frombuffer(data, np.int32 if len(data) == 4 * rows * d else np.int64).reshape(rows, d)
+
+
 def _scores(row: dict, slices: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
     """Ids of queries and candidates, local scores per slice (exact integers), and which pairs are no candidates."""
     d = row["d"]
     q_ids, c_ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
-    q, c = np.frombuffer(row["q_m"], np.int32).reshape(-1, d), np.frombuffer(row["c_m"], np.int32).reshape(-1, d)
-    exact = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * d < 2**53
-    kind = np.float64 if exact else np.int64  # doubles hold the sums exactly, and use the fast product
+    q, c = _matrix(row["q_m"], len(q_ids), d), _matrix(row["c_m"], len(c_ids), d)
+    most = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * d
+    kind = np.float64 if most < 2**53 else np.int64 if most < 2**62 else object  # doubles hold the sums exactly, and use the fast product
     cuts = np.linspace(0, d, min(slices, d) + 1).astype(int)
     local = [q[:, a:b].astype(kind) @ c[:, a:b].astype(kind).T for a, b in zip(cuts, cuts[1:])]
     return q_ids, c_ids, local, q_ids[:, None] == c_ids[None, :]
@@ -98,9 +106,17 @@ def _rows(batches):
             yield {n: batch.column(j)[i].as_py() for j, n in enumerate(names)}
 
 
+#: Below every score of the kind (double, long, integer without bound).
+_LEAST = {"f": -np.inf, "i": np.iinfo(np.int64).min // 2, "O": -(10**60)}
 _OUT = "query_id long, vec_id long, score long"
 
 
+def _longs(scores: np.ndarray) -> np.ndarray:
+    if scores.dtype == object and any(abs(x) >= 2**63 for x in scores):
+        raise OverflowError("a score does not fit into a long")
+    return scores.astype(np.int64)
+
+
 def _batch(q, v, s):
     return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], ["query_id", "vec_id", "score"])
 
@@ -127,12 +143,12 @@ def _gather(k: int, slices: int):
             total = sum(local)
             seen = np.zeros(total.shape, bool)
             for part in local:
-                part = np.where(own, np.iinfo(np.int64).min // 2 if part.dtype == np.int64 else -np.inf, part)
+                part = np.where(own, _LEAST[part.dtype.kind], part)
                 n = min(k, part.shape[1])
                 seen[np.arange(len(q_ids))[:, None], np.argpartition(part, part.shape[1] - n, axis=1)[:, part.shape[1] - n :]] = True
             # of the entries in the local lists those k that can move the cutoff
             r, c = _best(total, seen & ~own, k)
-            yield _batch(q_ids[r], c_ids[c], total[r, c].astype(np.int64))
+            yield _batch(q_ids[r], c_ids[c], _longs(total[r, c]))
 
     return run
 
@@ -141,18 +157,21 @@ def _resolve(k: int, slices: int):
     def run(batches):
         for row in _rows(batches):
             q_ids, c_ids, local, own = _scores(row, slices)
-            cutoff = np.frombuffer(row["q_cut"], np.int64)[:, None].astype(np.float64 if local[0].dtype == np.float64 else np.int64)
-            none = cutoff <= -(2**62)
-            threshold = cutoff / len(local)
-            bound, some = np.zeros(own.shape), np.zeros(own.shape, bool)
+            none = np.frombuffer(row["q_none"], bool)[:, None]
+            cutoff = np.frombuffer(row["q_cut"], np.int64)[:, None].astype(local[0].dtype)
+            threshold = cutoff.astype(np.float64) / len(local)
+            bound, some, error = np.zeros(own.shape), np.zeros(own.shape, bool), 1 + 1e-6 * np.abs(cutoff.astype(np.float64))
             for part in local:  # collected entries count as they are, missing ones at most the threshold
-                has = part >= threshold
+                part = part.astype(np.float64)
+                has = part >= threshold - error
                 some |= has
                 bound += np.where(has, part, threshold)
-            alive = ((some & (bound >= cutoff - 1e-6 * np.abs(cutoff) - 1)) | none) & ~own
+                if local[0].dtype.kind != "f":  # the doubles of the bound are rounded
+                    error = error + 1e-9 * np.abs(part)
+            alive = ((some & (bound >= cutoff.astype(np.float64) - error)) | none) & ~own
             total = sum(local)
-            r, c = _best(total, alive & (none | (total >= cutoff)), k)
-            yield _batch(q_ids[r], c_ids[c], total[r, c].astype(np.int64))
+            r, c = _best(total, alive & (none | (total >= cutoff).astype(bool)), k)
+            yield _batch(q_ids[r], c_ids[c], _longs(total[r, c]))
 
     return run
 
@@ -169,8 +188,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
     cut = gathered.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", F.col("score").alias("cut"))
     # the cutoffs go back into the query blocks
     ids = queries.select("d", "q_block", "q_ids").mapInArrow(_unpack, "d int, q_block long, place int, query_id long")
-    cuts = ids.join(cut, "query_id", "left").groupBy("d", "q_block").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("cut", F.lit(-(2**63))).alias("cut")))).alias("cuts"))  # a block of queries
-    packed = cuts.select("d", "q_block", F.transform("cuts", lambda x: x["cut"]).alias("cuts")).mapInArrow(_pack_cuts, "d int, q_block long, q_cut binary")
+    cuts = ids.join(cut, "query_id", "left").groupBy("d", "q_block").agg(F.sort_array(F.collect_list(F.struct("place", "cut"))).alias("cuts"))  # a block of queries
+    packed = cuts.select("d", "q_block", F.transform("cuts", lambda x: x["cut"]).alias("cuts")).mapInArrow(_pack_cuts, "d int, q_block long, q_cut binary, q_none binary")
     with_cut = stored(queries.join(packed, ["d", "q_block"]))
 
     found = _pairs(cands, with_cut).mapInArrow(_resolve(k, slices), _OUT)
@@ -188,7 +207,11 @@ def _unpack(batches):
 
 def _pack_cuts(batches):
     for row in _rows(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([row["d"]], pa.int32()), pa.array([row["q_block"]], pa.int64()), pa.array([np.array(row["cuts"], np.int64).tobytes()], pa.binary())], ["d", "q_block", "q_cut"])
+        cut = np.array([x or 0 for x in row["cuts"]], np.int64).tobytes()
+        none = np.array([x is None for x in row["cuts"]], bool).tobytes()  # fewer than k candidates: no cutoff
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([row["d"]], pa.int32()), pa.array([row["q_block"]], pa.int64()), pa.array([cut], pa.binary()), pa.array([none], pa.binary())], ["d", "q_block", "q_cut", "q_none"]
+        )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
