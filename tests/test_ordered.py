@@ -1,5 +1,7 @@
 """The bucketed (skew-proof) paths must equal plain whole-series windows."""
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
@@ -103,3 +105,32 @@ def test_post_lags_equal_two_passes(spark):
     a = one.select(*cols).orderBy("series_id", "idx").toPandas()
     b = two.select(*cols).orderBy("series_id", "idx").toPandas()
     np.testing.assert_allclose(a[["pm", "ps"]].astype(float), b[["pm", "ps"]].astype(float), rtol=1e-12, equal_nan=True)
+
+
+def test_time_buckets_hold_equal_counts_however_stamps_are_spread(spark):
+    """One stamp in 2000 and 400,000 in 2024; and a third of the rows on one stamp, beside an even series."""
+    from tidemark.plans.ordered import with_time_buckets
+
+    late = spark.range(400_000).select(F.lit("burst").alias("series_id"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id)").alias("ts"))
+    one = spark.range(1).select(F.lit("burst").alias("series_id"), F.expr("timestamp_ntz'2000-01-01'").alias("ts"))
+    tied = spark.range(60_000).select(F.lit("tied").alias("series_id"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, if(id % 3 = 0, 777, id))").alias("ts"))
+    few = spark.range(10).select(F.lit("few").alias("series_id"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, id)").alias("ts"))
+    df = late.unionByName(one).unionByName(tied).unionByName(few)
+    for target in (8192, 64):
+        d = with_time_buckets(df, "ts", rows_per_bucket=target)
+        per = d.groupBy("series_id", "_tb").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")).toPandas()
+        assert per["n"].sum() == 460_011
+        assert (per["n"] <= 4 * target)[per["a"] != per["b"]].all()  # equal stamps stay together
+        assert per[per["series_id"] == "burst"]["n"].max() <= 4 * target
+        assert len(per[per["series_id"] == "few"]) == 1
+        for _, own in per.sort_values("_tb").groupby("series_id"):  # monotone in time
+            assert (own["b"].values[:-1] < own["a"].values[1:]).all()
+
+
+def test_null_stamps_lie_in_the_first_bucket(spark):
+    from tidemark.plans.ordered import time_position
+
+    rows = [("s", None if i < 3 else dt.datetime(2024, 1, 1, 0, i), i) for i in range(40)]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, k int")
+    got = time_position(df, "ts", tie=["k"], rows_per_bucket=4).toPandas()
+    assert (got["k"] == got["idx"]).all()

@@ -8,20 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefn import epoch_micros
-from ..plans.ordered import BUCKET, drop_halo, time_position, with_halo
+from ..plans.ordered import BUCKET, drop_halo, previous_time, with_halo
 from ..session import IDX, SERIES, TS
 
 
 def row_deltas(df: DataFrame, keys: Sequence[str] = (SERIES,), ts: str = TS, idx: str = IDX) -> DataFrame:
     """Add ``delta_seconds``: seconds since the previous row of the series (NULL on the first)."""
-    d = df if idx in df.columns else time_position(df, ts, keys, idx)
-    d = with_halo(d, 1, 0, 1 << 16, idx)
+    since = lambda prev: ((epoch_micros(ts) - epoch_micros(prev)).cast("double") / 1e6).alias("delta_seconds")
+    if idx not in df.columns:
+        d = previous_time(df, ts, keys)
+        return d.select(*df.columns, since("_prev_ts"))
+    d = with_halo(df, 1, 0, 1 << 16, idx)
     w = Window.partitionBy(*keys, BUCKET).orderBy(idx)
-    d = d.withColumn(
-        "delta_seconds", (epoch_micros(ts) - epoch_micros(F.lag(ts, 1).over(w))).cast("double") / 1e6
-    )
-    d = drop_halo(d)
-    return d if idx in df.columns else d.drop(idx)
+    return drop_halo(d.select("*", since(F.lag(ts, 1).over(w))))
 
 
 def detect_step(df: DataFrame, keys: Sequence[str] = (SERIES,), ts: str = TS) -> DataFrame:

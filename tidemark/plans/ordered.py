@@ -198,25 +198,57 @@ def materialize(df: DataFrame) -> DataFrame:
 TIME_BUCKET = "_tb"
 
 
+# One level of equi-depth cuts: edges per crowded group, and the sketch's accuracy (rank error rows / _SKETCH).
+_EDGES = 255
+_SKETCH = 2048
+_MOST_LEVELS = 6
+
+
 def with_time_buckets(
     df: DataFrame, ts: str, keys: Sequence[str] = (SERIES,), rows_per_bucket: int = DEFAULT_BUCKET_ROWS, name: str = TIME_BUCKET
 ) -> DataFrame:
-    """Add ``name``: a bucket of consecutive time per series, sized from the
-    series' own density to hold about ``rows_per_bucket`` rows
-    (``width = span * rows_per_bucket / rows``).  Monotone in time, so
-    per-bucket work plus a small carry table covers a whole series; a long
-    series spreads over many buckets (and tasks).
+    """Add ``name``: a bucket of consecutive time per series, holding about ``rows_per_bucket`` rows however the stamps
+    are spread (never over four times that, but for equal stamps, which stay together).
+
+    The edges are quantiles of the series' own stamps: a mergeable sketch gives up to 255 of them per series, and a group
+    that is still crowded is cut again by a sketch of its own, so a series of ``n`` rows needs about
+    ``log(n / rows_per_bucket) / log(256)`` passes and one of up to twice the target none.  An edge that many rows share
+    gets a bucket of its own.  Monotone in time, so per-bucket work plus a small carry table covers a whole series;
+    bucket numbers have gaps.  NULL stamps lie in the first bucket.
     """
+    return _time_buckets(df, ts, keys, rows_per_bucket, name)[0]
+
+
+def _time_buckets(df: DataFrame, ts: str, keys: Sequence[str], rows_per_bucket: int, name: str) -> tuple[DataFrame, bool]:
+    """The rows with their bucket, and whether any series has more than one."""
     from ..functions.timefn import epoch_micros
 
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_tn"), F.min(ts).alias("_t0"), F.max(ts).alias("_t1")
-    )
-    span = epoch_micros("_t1") - epoch_micros("_t0")
-    width = F.greatest(F.lit(1.0), span.cast("double") * F.lit(float(rows_per_bucket)) / F.col("_tn"))
-    stats = stats.select(*keys, "_t0", width.alias("_tw"))
-    out = df.join(stats, list(keys))
-    return out.withColumn(name, F.floor((epoch_micros(ts) - epoch_micros("_t0")).cast("double") / F.col("_tw")).cast("long")).drop("_t0", "_tw")
+    t = epoch_micros(ts)
+    group = [*keys, name]
+    out, cut = df.withColumn(name, F.lit(0).cast("long")), False
+    for _ in range(_MOST_LEVELS):
+        counts = out.groupBy(*group).agg(F.count(F.lit(1)).alias("_tn"), F.min(t).alias("_t0"), F.max(t).alias("_t1"))
+        crowded = counts.filter((F.col("_tn") > 2 * rows_per_bucket) & (F.col("_t1") > F.col("_t0")))
+        crowded = materialize(crowded.select(*group, "_tn"))  # fewer rows than the data by rows_per_bucket
+        if crowded.isEmpty():
+            break
+        quantiles = F.percentile_approx(t, [i / (_EDGES + 1) for i in range(1, _EDGES + 1)], _SKETCH)
+        edges = out.join(crowded, group).groupBy(*group, "_tn").agg(quantiles.alias("_q"))
+        wanted = F.least(F.lit(_EDGES + 1), F.ceil(F.col("_tn") / rows_per_bucket)).cast("int")
+        picked = F.transform(F.sequence(F.lit(1), wanted - 1), lambda j: F.get("_q", F.floor(j * (_EDGES + 1) / wanted).cast("int") - 1))
+        edges = materialize(edges.select(*group, F.array_distinct(picked).alias("_edges")))
+        out = out.join(edges, group, "left")
+        below = _edges_below(F.col("_edges"), t)
+        at_edge = F.coalesce((F.get("_edges", below) == t).cast("long"), F.lit(0).cast("long"))
+        out = out.withColumn(name, F.col(name) * (2 * (_EDGES + 1)) + 2 * below + at_edge).drop("_edges")
+        cut = True
+    return out, cut
+
+
+def _edges_below(edges: Column, value: Column) -> Column:
+    """How many of the ascending ``edges`` (at most _EDGES) lie below ``value``, by halving; 0 for a NULL."""
+    steps = F.array(*[F.lit(1 << i) for i in range(_EDGES.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(edges, n + step - 1) < value, n + step).otherwise(n))
 
 
 def time_position(
@@ -229,11 +261,14 @@ def time_position(
 ) -> DataFrame:
     """``row_number() - 1`` over ``(keys) order by ts`` without a whole-series window.
 
-    Rows are numbered inside density-sized time buckets and shifted by the
+    Rows are numbered inside time buckets of about equal row counts and shifted by the
     row count of the earlier buckets (a table with one row per bucket).
     Deterministic: nothing depends on how the input happens to be ordered.
     """
-    d = with_time_buckets(df, ts, keys, rows_per_bucket)
+    d, cut = _time_buckets(df, ts, keys, rows_per_bucket, TIME_BUCKET)
+    if not cut:  # every series fits into one bucket
+        w = Window.partitionBy(*keys).orderBy(F.col(ts), *[F.col(c) for c in tie])
+        return d.withColumn(name, (F.row_number().over(w) - 1).cast("long")).drop(TIME_BUCKET)
     counts = d.groupBy(*keys, TIME_BUCKET).agg(F.count(F.lit(1)).alias("_bn"))
     wb = Window.partitionBy(*keys).orderBy(TIME_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_boff", F.coalesce(F.sum("_bn").over(wb), F.lit(0))).drop("_bn")
@@ -242,3 +277,20 @@ def time_position(
     return d.join(counts, [*keys, TIME_BUCKET]).withColumn(name, (F.col("_boff") + F.col("_rn") - 1).cast("long")).drop(
         "_boff", "_rn", TIME_BUCKET
     )
+
+
+def previous_time(df: DataFrame, ts: str, keys: Sequence[str] = (SERIES,), name: str = "_prev_ts", rows_per_bucket: int = DEFAULT_CARRY_ROWS) -> DataFrame:
+    """Add ``name``: the stamp of the row before in time order (NULL on the first row of a series).
+
+    Inside a time bucket it is a lag; the first row of a bucket takes the last stamp of the bucket before, from a table
+    with one row per bucket.  No positions are needed.
+    """
+    d, cut = _time_buckets(df, ts, keys, rows_per_bucket, TIME_BUCKET)
+    w = Window.partitionBy(*keys, TIME_BUCKET).orderBy(ts)
+    if not cut:
+        return d.withColumn(name, F.lag(ts, 1).over(w)).drop(TIME_BUCKET)
+    before = Window.partitionBy(*keys).orderBy(TIME_BUCKET)
+    last = d.groupBy(*keys, TIME_BUCKET).agg(F.max(ts).alias("_last")).withColumn("_last", F.lag("_last", 1).over(before))
+    d = d.withColumn("_own", F.lag(ts, 1).over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    d = d.join(last, [*keys, TIME_BUCKET])
+    return d.withColumn(name, F.when(F.col("_first"), F.col("_last")).otherwise(F.col("_own"))).drop("_own", "_first", "_last", TIME_BUCKET)

@@ -66,6 +66,10 @@ U = (
     + grid_cte("u", "u_b", "1 HOUR", ["price"])
 )
 
+BURSTY = """bursty AS (SELECT event_id, event_type AS series_id,
+  CASE WHEN event_id = min(event_id) OVER (PARTITION BY event_type) THEN TIMESTAMP '2000-01-01' ELSE CAST(ts AS TIMESTAMP) END AS ts,
+  CASE WHEN event_id % 3 <> 0 THEN value END AS price FROM events)"""
+
 # F: forecast table over filled H (history: lag-24 prediction, bands by stddev_pop;
 # future: last 24 hours a day on, actual NULL, bands 10 % of the prediction).
 F = (

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import clean, fill, resample, step
 from ..operators.detect import flag_moves
 from ..plans import sqlref as S
+from ..plans.ordered import previous_time, time_position, with_time_buckets
 from ..plans.registry import register
 from ..session import IDX, PRICE, SERIES, TS
 from ..sources import fixtures as fx
@@ -298,3 +300,48 @@ def q_fill_constant(spark, sf_dir):
 def q_drop_incomplete(spark, sf_dir):
     hx = fx.fixture_hx(spark, sf_dir).select(SERIES, TS, PRICE, "load", "temperature")
     return fill.drop_incomplete(hx)
+
+
+# ---------------------------------------------------------------- bursty series: equi-depth time buckets
+
+#: Rows a bucket is made for: small, so that the series of every scale are cut.
+_BURST_ROWS = 64
+
+
+@register(
+    "bursty_buckets",
+    S.with_(S.BURSTY) + "SELECT series_id, count(*) AS n_rows, true AS even_counts, true AS monotone FROM bursty GROUP BY series_id",
+)
+def q_bursty_buckets(spark, sf_dir):
+    """Whether no time bucket of a series with one stamp in 2000 holds over four times its target, and buckets follow each other in time."""
+    d = with_time_buckets(fx.fixture_bursty(spark, sf_dir), TS, rows_per_bucket=_BURST_ROWS)
+    per = d.groupBy(SERIES, "_tb").agg(F.count(F.lit(1)).alias("n"), F.min(TS).alias("a"), F.max(TS).alias("b"))
+    before = Window.partitionBy(SERIES).orderBy("_tb")
+    per = per.withColumn("after", F.coalesce(F.col("a") > F.lag("b", 1).over(before), F.lit(True)))
+    return per.groupBy(SERIES).agg(
+        F.sum("n").alias("n_rows"), (F.max("n") <= 4 * _BURST_ROWS).alias("even_counts"), F.bool_and("after").alias("monotone")
+    )
+
+
+@register(
+    "bursty_positions",
+    S.with_(S.BURSTY)
+    + """SELECT series_id, event_id, row_number() OVER w - 1 AS idx, CAST(coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w), -1) AS BIGINT) AS since_micros
+  FROM bursty WINDOW w AS (PARTITION BY series_id ORDER BY ts, event_id)""",
+)
+def q_bursty_positions(spark, sf_dir):
+    """Position and time since the row before (-1 on the first) of every tick of a bursty series."""
+    d = time_position(fx.fixture_bursty(spark, sf_dir), TS, tie=["event_id"], rows_per_bucket=_BURST_ROWS)
+    d = previous_time(d, TS, rows_per_bucket=_BURST_ROWS)
+    return d.select(SERIES, "event_id", IDX, F.coalesce(tf.epoch_micros(TS) - tf.epoch_micros("_prev_ts"), F.lit(-1).cast("long")).alias("since_micros"))
+
+
+@register(
+    "fill_bursty",
+    S.with_(S.BURSTY + "," + S.fill_cte("filled", "bursty", ["price"])) + "SELECT series_id, event_id, ts, price FROM filled",
+    doubles=("price",),
+)
+def q_fill_bursty(spark, sf_dir):
+    """Time-linear fill of ticks without a grid position, one of them 24 years before the others."""
+    d = fx.fixture_bursty(spark, sf_dir)
+    return fill.fill_time_linear(d, [PRICE], carry_rows=_BURST_ROWS).select(SERIES, "event_id", TS, PRICE)

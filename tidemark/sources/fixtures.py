@@ -70,6 +70,15 @@ def fixture_m5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(resample_mean(ev, 300))
 
 
+def fixture_bursty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event ticks per type whose first one (by id) is stamped in 2000 and whose every third price is missing."""
+    ev = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias(SERIES), "ts", "value")
+    first = ev.groupBy(SERIES).agg(F.min("event_id").alias("_first"))
+    early = F.when(F.col("event_id") == F.col("_first"), F.lit("2000-01-01").cast("timestamp_ntz")).otherwise(F.col("ts").cast("timestamp_ntz"))
+    price = F.when(F.col("event_id") % 3 != 0, F.col("value"))
+    return materialize(ev.join(first, SERIES).select("event_id", SERIES, early.alias(TS), price.alias(PRICE)))
+
+
 def fixture_u(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U: hourly mean per user on each user's dense grid (many series)."""
     ev = table(spark, sf_dir, "events").select(
