@@ -116,7 +116,7 @@ def test_time_buckets_hold_equal_counts_however_stamps_are_spread(spark):
     tied = spark.range(60_000).select(F.lit("tied").alias("series_id"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, if(id % 3 = 0, 777, id))").alias("ts"))
     few = spark.range(10).select(F.lit("few").alias("series_id"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, id)").alias("ts"))
     df = late.unionByName(one).unionByName(tied).unionByName(few)
-    for target in (8192, 64):
+    for target in (8192, 512):
         d = with_time_buckets(df, "ts", rows_per_bucket=target)
         per = d.groupBy("series_id", "_tb").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")).toPandas()
         assert per["n"].sum() == 460_011

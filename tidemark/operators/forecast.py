@@ -14,12 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import BUCKET, drop_halo, materialize, time_position, with_halo
-from ..session import IDX, PRICE, SERIES, TS
+from ..plans.ordered import BUCKET, drop_halo, gather, materialize, time_position, with_halo
+from ..session import DRIVERS, IDX, PRICE, SERIES, TS
 from ..sources.grids import future_grid
 from .decompose import decompose, season_rows
 from .evaluate import forecast_metrics, future_bands, historical_bands
-from .features import ROLL_DAYS, lag_rows, temporal_features
+from .features import DRIVER_LAG_HOURS, ROLL_DAYS, lag_rows, rows_in, temporal_features
 
 RECENT_ROWS = 100  # fixed value: rows behind the future rolling constants
 
@@ -52,29 +52,30 @@ def future_features(
 
     Calendar columns are exact.  A lag of ``k`` rows at future row ``h`` is
     the history value at position ``n + h - k``, clamped to the first/last
-    history row (equi join on the clamped position).  Rolling columns are the
-    mean, std (population by default, as the reference), min, max and range
-    of the last 100 history rows.  ``carry_cols`` take the last history value.
+    history row; all lags of all columns come from one join (``gather``).
+    Rolling columns are the mean, std (population by default, as the
+    reference), min, max and range of the last 100 history rows.  Every driver
+    in the history gets its 24-hour lag and its 1-day mean and std in the same
+    way, from its own values.  ``carry_cols`` take the last history value.
     """
     hist = history if idx in history.columns else time_position(history, ts, keys, idx)
+    drivers = [c for c in DRIVERS if c in hist.columns]
     n = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(idx).alias("_last"))
     grid = future_grid(hist, horizon_days, step_seconds, keys, ts).join(n, list(keys))
-    out = temporal_features(grid, ts)
-    lags = [(f"price_lag_{name}", k) for name, k in lag_rows(step_seconds)]
-    # only the history tail the longest lag reaches (and row 0, the clamp
-    # target) is ever looked up: the joins below never touch the whole history
-    kmax = max([0, *[k for _, k in lags]])
+    day = rows_in(DRIVER_LAG_HOURS * 3600, step_seconds)
+    wanted = [(f"price_lag_{name}", PRICE, k) for name, k in lag_rows(step_seconds)]
+    wanted += [(f"{c}_lag_24h", c, day) for c in drivers if day]
+    # only the history tail the longest lag reaches (and row 0, the clamp target) is ever looked up
+    kmax = max([0, *[k for _, _, k in wanted]])
     tail = hist.join(n, list(keys)).filter((F.col(idx) >= F.col("_n") - kmax) | (F.col(idx) == 0))
-    tail = materialize(tail)  # read by every lag join
-    vals = tail.select(*keys, F.col(idx).alias("_pos"), F.col(PRICE).alias("_v"))
-    for name, k in lags:
-        pos = F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.col("_n") + F.col("h") - k))
-        out = out.withColumn("_pos", pos).join(vals, [*keys, "_pos"], "left").withColumnRenamed("_v", name).drop("_pos")
+    clamped = lambda k: F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.col("_n") + F.col("h") - k))
+    out = temporal_features(gather(grid, tail, wanted, clamped, keys, idx), ts)
     recent = hist.join(n, list(keys)).filter(F.col(idx) > F.col("_last") - RECENT_ROWS)
     std = F.stddev_pop if ddof == 0 else F.stddev_samp
+    of_drivers = [a for c in drivers if day for a in (F.avg(c).alias(f"{c}_rolling_mean_1d"), std(c).alias(f"{c}_rolling_std_1d"))]
     stats = recent.groupBy(*keys).agg(
         F.avg(PRICE).alias("_mean"), std(PRICE).alias("_std"), F.min(PRICE).alias("_min"), F.max(PRICE).alias("_max"),
-        *[F.max_by(F.col(c), F.col(idx)).alias(c) for c in carry_cols],
+        *of_drivers, *[F.max_by(F.col(c), F.col(idx)).alias(c) for c in carry_cols],
     )
     out = out.join(stats, list(keys), "left")
     for d in ROLL_DAYS:

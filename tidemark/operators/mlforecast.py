@@ -10,6 +10,10 @@ that ends there (predictions are never fed back), so every row is
 independent and scoring is one ``transform``.  After ``fit``, ``skipped`` holds
 ``(series_id, reason)`` of every series without a forecast.
 
+With ``seq_len`` the inputs are instead the last ``seq_len`` rows of price and ``drivers`` as one vector (``sequences``:
+rows are packed once per block, the vector is cut out of the block), beside the calendar and the level; future rows
+take the last history rows, clamped.
+
 Backends: ``linear`` (``LinearRegression``, standardised inputs) and ``gbt``
 (``GBTRegressor`` with a validation split of the train part for early stop).
 """
@@ -20,17 +24,19 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import materialize
+from ..plans.ordered import gather, materialize
 from ..plans.rolling import Lag, Roll, ordered_features
 from ..session import IDX, PRICE, SERIES, TS
 from .clean import flag_extreme
 from .evaluate import forecast_metrics, future_bands, historical_bands
 from .features import lag_rows, rows_in, temporal_features
 from .forecast import combine_forecast
+from .sequences import future_examples, last_rows, sequence_blocks, sequence_examples, sequence_names
 from ..sources.grids import future_grid
 
 CAL_INPUTS = ["hour_sin", "hour_cos", "day_of_week_sin", "day_of_week_cos", "month_sin", "month_cos", "is_weekend", "is_business_hour"]
@@ -68,14 +74,11 @@ def future_frame(series: DataFrame, horizon_days: int, step_seconds: int = 3600,
     """Inputs for the future rows: clamped history lags, rolling values of the window before the first of them."""
     n = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(idx).alias("_last"))
     grid = future_grid(series, horizon_days, step_seconds, keys, ts).join(n, list(keys))
-    kmax = max(k for _, k in _lag_list(step_seconds))
+    lags = _lag_list(step_seconds)
+    kmax = max(k for _, k in lags)
     tail = series.join(n, list(keys)).filter((F.col(idx) >= F.col("_n") - kmax) | (F.col(idx) == 0))
-    tail = materialize(tail)  # read by every lag join
-    vals = tail.select(*keys, F.col(idx).alias("_pos"), F.col(PRICE).alias("_v"))
-    out = grid
-    for name, k in _lag_list(step_seconds):
-        pos = F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.col("_n") + F.col("h") - k))
-        out = out.withColumn("_pos", pos).join(vals, [*keys, "_pos"], "left").withColumnRenamed("_v", name).drop("_pos")
+    clamped = lambda k: F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.col("_n") + F.col("h") - k))
+    out = gather(grid, tail, [(name, PRICE, k) for name, k in lags], clamped, keys, idx)
     recent = series.join(n, list(keys)).filter(F.col(idx) > F.col("_last") - _window_rows(step_seconds))
     stats = recent.groupBy(*keys).agg(F.avg(PRICE).alias("roll_mean_1d"), F.stddev_samp(PRICE).alias("roll_std_1d"))
     out = out.join(stats, list(keys), "left").withColumn(idx, F.col("_n") + F.col("h")).drop("_n", "_last")
@@ -86,19 +89,48 @@ class MLForecaster:
     """``fit`` on the train part of every series, ``forecast`` test + future rows."""
 
     def __init__(self, backend: str = "linear", horizon_days: int = 7, step_seconds: int = 3600, test_size: float = 0.2,
-                 z: float = 1.96, keys: Sequence[str] = (SERIES,), max_iter: int = 50, seed: int = 7):
+                 z: float = 1.96, keys: Sequence[str] = (SERIES,), max_iter: int = 50, seed: int = 7, seq_len: int | None = None,
+                 drivers: Sequence[str] = (), context: bool = True, reg: float = 1e-3):
+        """``seq_len`` rows of price and ``drivers`` as inputs; ``context=False`` leaves out calendar and level; ``reg``: ridge weight."""
         if backend not in ("linear", "gbt"):
             raise ValueError(backend)
+        if drivers and not seq_len:
+            raise ValueError("drivers are inputs of sequences: give seq_len too")
         self.backend, self.horizon_days, self.step_seconds = backend, horizon_days, step_seconds
         self.test_size, self.z, self.keys, self.max_iter, self.seed = test_size, z, list(keys), max_iter, seed
+        self.seq_len, self.columns, self.reg = seq_len, [PRICE, *drivers], reg
         self.model = None
-        self.inputs = model_inputs(step_seconds)
+        extra = CAL_INPUTS + SERIES_INPUTS if context else []
+        # assembled columns, and the name of each place of the assembled vector
+        self.inputs = ["sequence", *extra] if seq_len else model_inputs(step_seconds)
+        self.names = [*sequence_names(self.columns, seq_len), *extra] if seq_len else list(self.inputs)
+
+    def _history(self, series: DataFrame) -> DataFrame:
+        """Inputs of every history row that has them."""
+        if not self.seq_len:
+            return history_frame(series, self.step_seconds, self.keys)
+        blocks = sequence_blocks(series, self.columns, PRICE, self.seq_len, self.keys)
+        rows = sequence_examples(blocks, self.seq_len, self.keys, flat=True).withColumnRenamed("y", PRICE)
+        return temporal_features(self._vectors(rows), TS)
+
+    def _future(self, series: DataFrame) -> DataFrame:
+        """Inputs of the future rows."""
+        if not self.seq_len:
+            return future_frame(series, self.horizon_days, self.step_seconds, self.keys).fillna(0.0, subset=["roll_std_1d"])
+        grid = future_grid(series, self.horizon_days, self.step_seconds, self.keys)
+        rows = future_examples(grid, last_rows(series, self.columns, self.seq_len, self.keys), self.seq_len, self.keys)
+        return temporal_features(self._vectors(rows), TS)
+
+    def _vectors(self, rows: DataFrame) -> DataFrame:
+        """Flat examples without a NULL as ML vectors."""
+        whole = ~F.exists("X", lambda v: v.isNull() | F.isnan(v))
+        return rows.filter(whole).withColumn("sequence", array_to_vector("X")).drop("X")
 
     def _stages(self):
         stages = [VectorAssembler(inputCols=list(self.inputs), outputCol="_raw", handleInvalid="error")]
         if self.backend == "linear":
             stages.append(StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True))
-            stages.append(LinearRegression(featuresCol="features", labelCol=PRICE, maxIter=self.max_iter, regParam=1e-3, elasticNetParam=0.0))
+            stages.append(LinearRegression(featuresCol="features", labelCol=PRICE, maxIter=self.max_iter, regParam=self.reg, elasticNetParam=0.0))
         else:
             stages.append(
                 GBTRegressor(featuresCol="_raw", labelCol=PRICE, maxIter=self.max_iter, maxDepth=5, seed=self.seed,
@@ -106,13 +138,13 @@ class MLForecaster:
             )
         return stages
 
-    def _split(self, frame: DataFrame) -> DataFrame:
-        n = frame.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n"))
+    def _split(self, frame: DataFrame, series: DataFrame) -> DataFrame:
+        n = series.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n"))
         return frame.join(n, self.keys).withColumn("_m", F.col("_n") - F.ceil(F.col("_n") * self.test_size))
 
-    def _levels(self, frame: DataFrame) -> DataFrame:
+    def _levels(self, series: DataFrame) -> DataFrame:
         """Level and scale of each series' train part."""
-        train = frame.filter(F.col(IDX) < F.col("_m"))
+        train = self._split(series.select(*self.keys, IDX, PRICE), series).filter(F.col(IDX) < F.col("_m"))
         return train.groupBy(*self.keys).agg(F.avg(PRICE).alias("series_level"), F.stddev_pop(PRICE).alias("series_scale"))
 
     def fit(self, series: DataFrame) -> MLForecaster:
@@ -120,13 +152,17 @@ class MLForecaster:
         extreme = flag_extreme(series, keys=self.keys).filter(F.col("is_extreme")).select(*self.keys).distinct()
         every = series.select(*self.keys).distinct()
         series = series.join(extreme, self.keys, "left_anti")
-        frame = self._split(history_frame(series, self.step_seconds, self.keys))
-        self._level_table = materialize(self._levels(frame))  # one row per series
+        frame = self._split(self._history(series), series)
+        self._level_table = materialize(self._levels(series))  # one row per series
         frame = frame.join(self._level_table, self.keys)
-        train = frame.filter(F.col(IDX) < F.col("_m")).dropna(subset=self.inputs)
+        train = frame.filter((F.col(IDX) < F.col("_m")) & F.col(PRICE).isNotNull()).dropna(subset=self._scalars())
         reasons = extreme.withColumn("reason", F.lit("extreme_price")).unionByName(
             every.join(extreme, self.keys, "left_anti").join(train.select(*self.keys).distinct(), self.keys, "left_anti").withColumn("reason", F.lit("no_complete_train_row"))
         )
+        if self.seq_len:  # the last rows are the input of every future row
+            tails = last_rows(series, self.columns, self.seq_len, self.keys)
+            holes = tails.filter(F.exists("tail", lambda row: F.exists(row, lambda v: v.isNull() | F.isnan(v)))).select(*self.keys)
+            reasons = reasons.unionByName(holes.join(reasons.select(*self.keys), self.keys, "left_anti").withColumn("reason", F.lit("gap_in_last_rows")))
         self.skipped = materialize(reasons)
         if self.backend == "gbt":
             # last tenth of each series' train part validates (early stop)
@@ -136,13 +172,17 @@ class MLForecaster:
         self._series = series.join(self.skipped.select(*self.keys), self.keys, "left_anti")
         return self
 
+    def _scalars(self) -> list[str]:
+        """Assembled columns that are numbers (a sequence has no NULL)."""
+        return [c for c in self.inputs if c != "sequence"]
+
     def forecast(self) -> tuple[DataFrame, DataFrame]:
         """``(forecast table, metrics)`` as the seasonal backends return them."""
-        frame = self._split(history_frame(self._series, self.step_seconds, self.keys)).join(self._level_table, self.keys)
-        test = frame.filter(F.col(IDX) >= F.col("_m")).dropna(subset=self.inputs)
+        frame = self._split(self._history(self._series), self._series).join(self._level_table, self.keys)
+        test = frame.filter(F.col(IDX) >= F.col("_m")).dropna(subset=self._scalars())
         scored = self.model.transform(test).select(*self.keys, TS, F.col(PRICE).alias("actual"), F.col("prediction").alias("predicted"))
-        fut = future_frame(self._series, self.horizon_days, self.step_seconds, self.keys).join(self._level_table, self.keys).fillna(0.0, subset=["roll_std_1d"])
-        fut = fut.dropna(subset=self.inputs)
+        fut = self._future(self._series).join(self._level_table, self.keys)
+        fut = fut.dropna(subset=self._scalars())
         fpred = self.model.transform(fut).select(*self.keys, TS, F.col("prediction").alias("predicted"))
         tested = historical_bands(scored, self.z, self.keys)
         future = future_bands(fpred, self.z)
@@ -157,7 +197,7 @@ class MLForecaster:
         """``feature, importance``: GBT split importances, or |standardised coefficient| shares."""
         spark = self._series.sparkSession
         last = self.model.stages[-1]
-        names = list(self.inputs)
+        names = self.names
         if self.backend == "gbt":
             vals = last.featureImportances.toArray().tolist()
         else:
@@ -166,3 +206,13 @@ class MLForecaster:
             vals = [c / tot for c in coef]
         rows = list(zip(names, vals[: len(names)]))
         return spark.createDataFrame(rows, "feature string, importance double")
+
+    def coefficients(self) -> DataFrame:
+        """``feature, coefficient`` of the linear backend in the inputs' own units, with the ``intercept``."""
+        if self.backend != "linear":
+            raise ValueError("only the linear backend has coefficients")
+        scaler, last = self.model.stages[-2], self.model.stages[-1]
+        slopes = [c / s if s else 0.0 for c, s in zip(last.coefficients.toArray().tolist(), scaler.std.toArray().tolist())]
+        shift = sum(b * m for b, m in zip(slopes, scaler.mean.toArray().tolist()))
+        rows = [*zip(self.names, slopes), ("intercept", float(last.intercept) - shift)]
+        return self._series.sparkSession.createDataFrame(rows, "feature string, coefficient double")

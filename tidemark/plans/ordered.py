@@ -20,7 +20,7 @@ All three are built from DataFrame operations only (no UDF, no collect).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -294,3 +294,29 @@ def previous_time(df: DataFrame, ts: str, keys: Sequence[str] = (SERIES,), name:
     d = d.withColumn("_own", F.lag(ts, 1).over(w)).withColumn("_first", F.row_number().over(w) == 1)
     d = d.join(last, [*keys, TIME_BUCKET])
     return d.withColumn(name, F.when(F.col("_first"), F.col("_last")).otherwise(F.col("_own"))).drop("_own", "_first", "_last", TIME_BUCKET)
+
+
+def gather(
+    rows: DataFrame,
+    source: DataFrame,
+    wanted: Sequence[tuple[str, str, int]],
+    position: Callable[[int], Column],
+    keys: Sequence[str] = (SERIES,),
+    idx: str = IDX,
+) -> DataFrame:
+    """``rows`` with a column per ``(name, column, k)`` of ``wanted``: ``column`` of the ``source`` row at ``position(k)``.
+
+    The positions of a row are dealt out as rows (one per distinct ``k``), met with ``source`` in a single join on
+    ``(keys, idx)`` that brings all its columns, and put side by side again by name.  ``position`` is an expression over
+    ``rows``; a position that ``source`` lacks gives NULL.  Rows must differ in some column.
+    """
+    if not wanted:
+        return rows
+    offsets = sorted({k for _, _, k in wanted})
+    columns = list(dict.fromkeys(c for _, c, _ in wanted))
+    points = F.explode(F.array(*[F.struct(F.lit(i).alias("_slot"), position(k).cast("long").alias("_pos")) for i, k in enumerate(offsets)]))
+    points = rows.select("*", points.alias("_at")).select(*rows.columns, "_at.*")
+    there = source.select(*keys, F.col(idx).alias("_pos"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    found = points.join(there, [*keys, "_pos"], "left")
+    value = lambda c, k: F.max(F.when(F.col("_slot") == offsets.index(k), F.col(f"_v{columns.index(c)}")))
+    return found.groupBy(*rows.columns).agg(*[value(c, k).alias(name) for name, c, k in wanted])

@@ -55,6 +55,7 @@ HX = (
   FROM events GROUP BY ALL),"""
     + grid_cte("hx", "hx_b", "1 HOUR", ["price", "load", "temperature"])
 )
+HXF = HX + "," + fill_cte("hxf", "hx", ["price", "load", "temperature"])
 D = """d AS (SELECT o_orderpriority AS series_id, CAST(o_orderdate AS TIMESTAMP) AS ts, sum(o_totalprice) AS price
   FROM orders GROUP BY ALL)"""
 M5 = (

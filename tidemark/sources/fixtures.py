@@ -54,6 +54,11 @@ def fixture_hx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(on_grid(agg, HOUR))
 
 
+def fixture_hx_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HX after the time-linear fill of price and drivers."""
+    return materialize(fill_time_linear(fixture_hx(spark, sf_dir)))
+
+
 def fixture_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D: daily total order price per order priority (irregular: days without orders are absent)."""
     o = table(spark, sf_dir, "orders")
