@@ -45,7 +45,7 @@ def test_bucketed_rolling_equals_plain_window(spark):
     df = _random_series(spark)
     rolls = [Roll("price", k, (("mean", f"m{k}"), ("std", f"s{k}"), ("min", f"lo{k}"), ("max", f"hi{k}"))) for k in (5, 24, 70)]
     lags = [Lag("l1", "price", 1), Lag("l30", "price", 30)]
-    small = ordered_features(df, lags, rolls, bucket_rows=80, method="prefix").toPandas()
+    small = ordered_features(df, lags, rolls, bucket_rows=80, method="ladder").toPandas()
     frame = ordered_features(df, lags, rolls, bucket_rows=80, method="frame").toPandas()
     w = Window.partitionBy("series_id").orderBy("idx")
     plain = df
