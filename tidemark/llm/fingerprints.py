@@ -139,28 +139,28 @@ def with_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     """
     keep = [c for c in keep or [] if c not in (key, text, *RESULTS)]
     columns = [F.col(c).alias(f"__c{i}") for i, c in enumerate(keep)]
-    null_safe = lambda c: [F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).isNull()]
-    own = docs.select(F.col(key).alias("__key"), text_of(text).alias("__text"), *columns)
-    ids = own.select("__key", F.length("__text").alias("__n")).groupBy("__key").agg(F.floor(F.max("__n") / 4).cast("int").alias("__need"))
+    # in a struct a null key equals a null key
+    own = docs.select(F.struct(F.col(key).alias("key")).alias("__id"), text_of(text).alias("__text"), *columns)
+    ids = own.select(F.col("__id.key").alias("__key"), F.length("__text").alias("__n")).groupBy("__key").agg(F.floor(F.max("__n") / 4).cast("int").alias("__need"))
     placed = stored(place(ids, ["__key"]))
     n = placed.count()
     before = placed.select(((F.col("__place") + 1) % max(n, 1)).alias("__place"), F.col("__key").alias("__before"), "__need")
-    (name, none), (name_before, none_before) = null_safe("__key"), null_safe("__before")
-    before = placed.select("__place", name.alias("__k"), none.alias("__null")).join(before, "__place")
-    before = stored(before.select("__k", "__null", name_before.alias("__k_before"), none_before.alias("__null_before"), "__need"))
-    own = own.select("*", name.alias("__k"), none.alias("__null"), fingerprint(F.col("__text")).alias("__fp"))
-    # both joins with ``own`` are by its key and read the same columns, so its rows are dealt once for both; what a row
-    # is given is grouped by that key too, and not dealt again for the join
+    id_of = lambda c: F.struct(F.col(c).alias("key"))
+    before = placed.select("__place", id_of("__key").alias("__id")).join(before.select("__place", id_of("__before").alias("__before"), "__need"), "__place")
+    before = stored(before.drop("__place"))
+    own = own.withColumn("__fp", fingerprint(F.col("__text")))
+    # both joins with ``own`` are by its key and read the same columns (but for ``keep``), so its rows are dealt once for
+    # both; what a row is given is grouped by that key too, and not dealt again for the join
     given = F.struct(F.substring(F.col("__text"), F.lit(1), F.col("__need")).alias("head"), F.col("__fp").alias("fp"))
-    there = own.join(before, ["__k", "__null"]).select("__k_before", "__null_before", given.alias("__given"))
-    given = there.groupBy("__k_before", "__null_before").agg(F.min("__given").alias("__given"))
-    out = own.join(given, (own["__k"] == given["__k_before"]) & (own["__null"] == given["__null_before"]))
+    there = own.join(before, "__id").select("__before", given.alias("__given"))
+    given = there.groupBy("__before").agg(F.min("__given").alias("__given"))
+    out = own.join(given, own["__id"] == given["__before"])
     chars = F.length("__text")
     cut = F.floor(chars / 4).cast("int")
     edited = F.concat(F.substring(F.col("__text"), F.lit(1), chars - cut), F.substring(F.col("__given.head"), F.lit(1), cut))
     out = out.withColumn("__edited", edited).withColumn("__fp2", fingerprint(F.col("__edited")))
     return out.select(
-        F.col("__key").alias(key),
+        F.col("__id.key").alias(key),
         *[F.col(f"__c{i}").alias(c) for i, c in enumerate(keep)],
         F.col("__text").alias(text),
         chars.cast("long").alias("n_chars"),
