@@ -48,3 +48,17 @@ def test_windows_keep_gaps(spark):
     df = spark.createDataFrame([("a", i, None if i == 3 else float(i)) for i in range(10)], "series_id string, idx long, price double")
     got = {r["idx"]: r["window"] for r in sequence_windows(df, seq_len=4).collect()}
     assert sorted(got) == [4, 5, 6, 7, 8, 9] and got[5] == [1.0, 2.0, None, 4.0]
+
+
+def test_written_dates(spark):
+    import datetime as dt
+
+    from tidemark.functions.timefn import parse_timestamp
+
+    day, minute = dt.datetime(2024, 1, 24), dt.datetime(2024, 1, 24, 0, 5)
+    want = {
+        "January 24, 2024": day, "24 January 2024": day, "20240124": day, "24/01/2024 00:05": minute, "24.1.2024": day, "1/24/24 0:05": minute,
+        "2024-01-24 00:05:00": minute, "Jan 24, 2024 12:05 AM": minute, "3/4/2024": dt.datetime(2024, 3, 4), "13/13/2024": None, "no date": None, "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string").select("t", parse_timestamp("t").alias("ts"))
+    assert {r["t"]: r["ts"] for r in df.collect()} == want

@@ -46,12 +46,11 @@ def whole_days_between(start, end) -> Column:
     return F.floor((_epoch_micros(_c(end)) - _epoch_micros(_c(start))) / F.lit(86_400_000_000)).cast("long")
 
 
-#: Forms tried after the general parse, month before day as in ``1/24/24 0:05``.
-TIME_FORMS = [
-    f"{day} {clock}".strip()
-    for day in ("M/d/yy", "M/d/yyyy", "yyyy/M/d", "yyyy-M-d", "MMM d yyyy", "MMM d, yyyy", "d MMM yyyy")
-    for clock in ("H:mm", "H:mm:ss", "h:mm a", "")
-] + ["yyyy-MM-dd'T'HH:mm:ss"]
+#: Forms tried after the general parse: month before day as in ``1/24/24 0:05``, day before month only where that fails.
+_DAYS = ["M/d/yy", "M/d/yyyy", "yyyy/M/d", "yyyy-M-d", "yyyyMMdd", "MMM d yyyy", "MMM d, yyyy", "d MMM yyyy"]
+_DAYS += ["MMMM d yyyy", "MMMM d, yyyy", "d MMMM yyyy", "d/M/yyyy", "d/M/yy", "d.M.yyyy"]
+_CLOCKS = ["H:mm", "H:mm:ss", "h:mm a", ""]
+TIME_FORMS = [f"{day} {clock}".strip() for day in _DAYS for clock in _CLOCKS] + ["yyyy-MM-dd'T'HH:mm:ss"]
 
 
 def parse_timestamp(c) -> Column:

@@ -302,6 +302,26 @@ def q_drop_incomplete(spark, sf_dir):
     return fill.drop_incomplete(hx)
 
 
+# ---------------------------------------------------------------- written dates
+
+#: How the event with this remainder of its id writes its stamp, and what is left of the stamp.
+_WRITTEN = ["MMMM d, yyyy", "yyyyMMdd", "d/M/yyyy H:mm", "d MMMM yyyy H:mm:ss", "MMM d yyyy h:mm a", "d.M.yyyy"]
+_LEFT = ["day", "day", "minute", "second", "minute", "day"]
+
+
+@register(
+    "parse_written_dates",
+    "SELECT event_id, CASE "
+    + " ".join(f"WHEN event_id % {len(_LEFT)} = {i} THEN date_trunc('{part}', CAST(ts AS TIMESTAMP))" for i, part in enumerate(_LEFT))
+    + " END::TIMESTAMP AS ts FROM events WHERE day(ts) > 12",
+)
+def q_parse_written_dates(spark, sf_dir):
+    """Stamps written with month names, without separators and day first (after the 12th, where that is no month) read back."""
+    ev = fx.table(spark, sf_dir, "events").where(F.dayofmonth("ts") > 12)
+    text = F.coalesce(*[F.when(F.col("event_id") % len(_WRITTEN) == i, F.date_format("ts", form)) for i, form in enumerate(_WRITTEN)])
+    return ev.select("event_id", tf.parse_timestamp(text).alias(TS))
+
+
 # ---------------------------------------------------------------- bursty series: equi-depth time buckets
 
 #: Rows a bucket is made for: small, so that the series of every scale are cut.
