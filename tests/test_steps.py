@@ -62,3 +62,22 @@ def test_written_dates(spark):
     }
     df = spark.createDataFrame([(t,) for t in want], "t string").select("t", parse_timestamp("t").alias("ts"))
     assert {r["t"]: r["ts"] for r in df.collect()} == want
+
+
+def test_a_series_on_the_step_keeps_its_phase(spark):
+    import datetime as dt
+
+    from tidemark.operators.clean import preprocess
+    from tidemark.operators.resample import resample
+
+    at = lambda minute, hours: [dt.datetime(2024, 1, 1, 0, minute) + dt.timedelta(hours=i) for i in hours]
+    stamps = {"half": at(30, [0, 1, 2, 4, 5]), "seven": at(7, range(6)), "full": at(0, range(4)), "fine": [dt.datetime(2024, 1, 1, 0, 10 * i) for i in range(6)], "one": at(44, [0])}
+    rows = [(s, t, float(i)) for s, ts in stamps.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, price double")
+    got = {}
+    for r in resample(df, 3600).orderBy("ts").collect():
+        got.setdefault(r["series_id"], []).append((r["ts"], r["price"], r["idx"]))
+    assert got["half"] == [(t, p, i) for i, (t, p) in enumerate(zip(at(30, range(6)), [0.0, 1.0, 2.0, None, 3.0, 4.0]))]
+    assert [t for t, _, _ in got["seven"]] == stamps["seven"] and [t for t, _, _ in got["full"]] == stamps["full"]
+    assert got["fine"] == [(dt.datetime(2024, 1, 1), 2.5, 0)]
+    assert {r["ts"] for r in preprocess(df, 3600).filter("series_id = 'half'").collect()} == set(at(30, range(6)))

@@ -97,21 +97,34 @@ def resample(
 ) -> DataFrame:
     """Bring every series to ``step_seconds``, choosing per series by its modal step:
     finer or equal -> bucket mean (identity on a regular series already on the
-    grid), coarser -> time interpolation.
+    grid), coarser -> time interpolation.  A series whose modal step is the target keeps its
+    phase: its grid starts at its most frequent offset (ties: the smaller), so hourly stamps at :30 stay at :30.
     """
     cols = list(cols) if cols is not None else value_columns(df)
     steps = steps if steps is not None else detect_step(df, keys, ts)
-    steps = materialize(steps.select(*keys, "step_seconds"))  # one row per series
+    steps = steps.select(*keys, "step_seconds")
+    step_us = int(step_seconds) * 1_000_000
+    own = df.join(steps.filter(F.col("step_seconds") == float(step_seconds)).select(*keys), list(keys), "left_semi")
+    offsets = own.groupBy(*keys, F.pmod(epoch_micros(ts), F.lit(step_us)).alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    phase = offsets.groupBy(*keys).agg(F.max_by(F.col("_at"), F.struct(F.col("_n"), -F.col("_at"))).alias("_phase"))
+    steps = steps.join(phase, list(keys), "left").withColumn("_phase", F.coalesce("_phase", F.lit(0).cast("long")))
+    steps = materialize(steps)  # one row per series
     coarse = F.coalesce(F.col("step_seconds"), F.lit(0.0)) > float(step_seconds)
-    # which paths are needed at all: two booleans reach the driver
-    kinds = steps.agg(F.max(coarse.cast("int")).alias("c"), F.min(coarse.cast("int")).alias("f")).first()
+    # which paths are needed at all: three values reach the driver
+    kinds = steps.agg(F.max(coarse.cast("int")).alias("c"), F.min(coarse.cast("int")).alias("f"), F.max("_phase").alias("p")).first()
     any_coarse, any_fine = bool(kinds["c"]), not bool(kinds["f"]) if kinds["f"] is not None else True
     tagged = df.join(steps, list(keys), "left")
     parts = []
     if any_fine:
-        parts.append(resample_mean(tagged.filter(~coarse).drop("step_seconds"), step_seconds, cols, keys, ts))
+        fine = tagged.filter(~coarse)
+        if kinds["p"]:  # work on stamps moved back by the phase, and move the grid on again
+            fine = fine.withColumn(ts, F.timestamp_add("MICROSECOND", -F.col("_phase"), F.col(ts)))
+        fine = resample_mean(fine.drop("step_seconds", "_phase"), step_seconds, cols, keys, ts)
+        if kinds["p"]:
+            fine = fine.join(steps.select(*keys, "_phase"), list(keys)).withColumn(ts, F.timestamp_add("MICROSECOND", F.col("_phase"), F.col(ts))).drop("_phase")
+        parts.append(fine)
     if any_coarse:
-        parts.append(resample_interpolate(tagged.filter(coarse).drop("step_seconds"), step_seconds, cols, keys, ts))
+        parts.append(resample_interpolate(tagged.filter(coarse).drop("step_seconds", "_phase"), step_seconds, cols, keys, ts))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

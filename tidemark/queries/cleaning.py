@@ -302,6 +302,28 @@ def q_drop_incomplete(spark, sf_dir):
     return fill.drop_incomplete(hx)
 
 
+# ---------------------------------------------------------------- grids that keep their phase
+
+
+@register(
+    "resample_phase",
+    S.with_(
+        S.H
+        + """, ph_b AS (SELECT series_id, ts + CASE WHEN series_id IN ('click', 'view') THEN INTERVAL 30 MINUTE ELSE INTERVAL 7 MINUTE END AS ts, price
+  FROM h WHERE price IS NOT NULL AND idx % 5 <> 3),"""
+        + S.grid_cte("ph", "ph_b", "1 HOUR", ["price"])
+    )
+    + "SELECT series_id, ts, idx, price FROM ph",
+    doubles=("price",),
+)
+def q_resample_phase(spark, sf_dir):
+    """Hourly series stamped at :30 and at :07, with hours missing, brought to an hourly step: every stamp stays."""
+    h = fx.fixture_h(spark, sf_dir).filter(F.col(PRICE).isNotNull() & (F.col(IDX) % 5 != 3))
+    late = F.when(F.col(SERIES).isin("click", "view"), F.lit(30)).otherwise(F.lit(7))
+    moved = h.select(SERIES, F.timestamp_add("MINUTE", late, F.col(TS)).alias(TS), PRICE)
+    return resample.resample(moved, 3600, [PRICE]).select(SERIES, TS, IDX, PRICE)
+
+
 # ---------------------------------------------------------------- written dates
 
 #: How the event with this remainder of its id writes its stamp, and what is left of the stamp.
