@@ -19,10 +19,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ordered import BUCKET, bucket_rows_for, drop_halo, materialize, with_halo
+from ..plans.spans import MICROS, at_distance, with_time_halo
 from ..session import IDX, PRICE, SERIES, TS
 
 
@@ -81,11 +82,16 @@ def decompose(
         # store it once instead of re-running the bucketed window per branch
         d = materialize(d)
 
+    return _ends_and_seasons(d, F.lit(p), F.lit(h), keys, idx, col).select(*keys, ts, idx, col, "trend", "seasonal", "residual")
+
+
+def _ends_and_seasons(d: DataFrame, p: Column, h: Column, keys: Sequence[str], idx: str, col: str) -> DataFrame:
+    """Trend, seasonal and residual from ``_tmid``, the trend of the inner rows, and ``_n``, the rows of the series."""
     # straight-line ends
     i = F.col(idx)
     nn = F.col("_n")
-    left = (i >= h) & (i < F.least(F.lit(h + p), nn - h - 1))
-    right = (i >= F.greatest(F.lit(h), nn - h - 1 - p)) & (i < nn - h - 1)
+    left = (i >= h) & (i < F.least(h + p, nn - h - 1))
+    right = (i >= F.greatest(h, nn - h - 1 - p)) & (i < nn - h - 1)
     x = i.cast("double")
     lines = d.groupBy(*keys).agg(
         F.regr_slope(F.when(left, F.col("_tmid")), F.when(left, x)).alias("_bl"),
@@ -99,22 +105,48 @@ def decompose(
         .when(i < h, F.col("_al") + F.col("_bl") * x)
         .otherwise(F.col("_ar") + F.col("_br") * x)
     )
-    d = d.withColumn("trend", trend).withColumn("_phase", F.pmod(i, F.lit(p)))
+    d = d.withColumn("trend", trend).withColumn("_phase", F.pmod(i, p))
 
     # seasonal phase table, centred
     phase = d.groupBy(*keys, "_phase").agg(F.avg(F.col(col) - F.col("trend")).alias("_pm"))
     centre = phase.groupBy(*keys).agg(F.avg("_pm").alias("_pc"))
     phase = phase.join(centre, list(keys)).select(*keys, "_phase", (F.col("_pm") - F.col("_pc")).alias("seasonal"))
     d = d.join(phase, [*keys, "_phase"])
-    return d.select(
-        *keys,
-        ts,
-        idx,
-        col,
-        "trend",
-        "seasonal",
-        (F.col(col) - F.col("trend") - F.col("seasonal")).alias("residual"),
-    )
+    return d.withColumn("residual", F.col(col) - F.col("trend") - F.col("seasonal"))
+
+
+def decompose_by_step(
+    df: DataFrame,
+    step: str = "step_seconds",
+    keys: Sequence[str] = (SERIES,),
+    ts: str = TS,
+    idx: str = IDX,
+    col: str = PRICE,
+    checkpoint: bool = True,
+) -> DataFrame:
+    """:func:`decompose` of series with different steps in one plan: ``step`` is a column of seconds, one value per series.
+
+    The centred average is a frame of three and a half days either way over ``idx * step``, which holds the rows of the
+    series' own period whatever its step.  Series that have no decomposition (shorter than two periods, a step that does
+    not divide seven days) have no rows in the result.
+    """
+    half = 7 * 86400 * MICROS // 2
+    size = F.round(F.col(step).cast("double") * MICROS).cast("long")
+    base = df.select(*keys, ts, idx, col, size.alias("_step")).filter(F.col("_step") > 0)
+    base = base.filter((F.lit(2 * half) % F.col("_step") == 0) & (F.col("_step") <= half))
+    n = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    p = F.expr(f"{2 * half} div _step")
+    h = F.expr(f"{2 * half} div _step div 2")
+    d = base.join(n, list(keys)).filter(F.col("_n") >= 2 * p).withColumn("_at", F.col(idx) * F.col("_step"))
+    d = with_time_halo(d, "_at", half, half, 4 * half)
+    w = Window.partitionBy(*keys, BUCKET).orderBy("_at")
+    ends = at_distance(F.col(col), w, -half) + at_distance(F.col(col), w, half)
+    total = F.sum(col).over(w.rangeBetween(-half, half))
+    inner = (F.col(idx) >= h) & (F.col(idx) < F.col("_n") - h)
+    d = drop_halo(d.withColumn("_tmid", F.when(inner, F.when(p % 2 == 0, total - 0.5 * ends).otherwise(total) / p))).drop("_at")
+    if checkpoint:
+        d = materialize(d)
+    return _ends_and_seasons(d, p, h, keys, idx, col).select(*keys, ts, idx, col, "trend", "seasonal", "residual")
 
 
 def add_decomposition_features(

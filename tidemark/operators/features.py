@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.timefn import TWO_PI
 from ..plans.ordered import materialize
 from ..plans.rolling import Lag, Roll, ordered_features
+from ..plans.spans import MICROS, SpanLag, SpanRoll, span_features
 from ..session import DRIVERS, IDX, PRICE, SERIES, TS
-from .decompose import decompose, season_rows
+from .decompose import decompose, decompose_by_step, season_rows
 
 # The reference's lag and window lists.
 LAG_HOURS = [1, 3, 6, 12, 24]
@@ -114,25 +115,57 @@ def engineer_features(
     idx: str = IDX,
     checkpoint: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """See :func:`_engineer`.  ``step_seconds=None`` detects the modal step per
-    series; series with different steps are processed per step (the distinct
-    steps - a handful of numbers - are the only values read on the driver)."""
+    """See :func:`_engineer`.  ``step_seconds=None`` detects the modal step of each series and handles all steps in one
+    plan, by frames over time (:func:`_engineer_spans`)."""
     if step_seconds is not None:
         return _engineer(df, int(step_seconds), keys, ts, idx, checkpoint)
+    return _engineer_spans(df, keys, ts, idx, checkpoint)
+
+
+def span_specs(columns: Sequence[str], col: str = PRICE) -> tuple[list[SpanLag], list[SpanRoll]]:
+    """The lags and frames of ``col`` and of the drivers among ``columns``, by their length in time."""
+    lags = [SpanLag(f"{col}_lag_{h}h", col, h * 3600) for h in LAG_HOURS] + [SpanLag(f"{col}_lag_{d}d", col, d * 86400) for d in LAG_DAYS]
+    rolls = [SpanRoll(col, d * 86400, tuple((s, f"{col}_rolling_{s}_{d}d") for s in ("mean", "std", "min", "max"))) for d in ROLL_DAYS]
+    day = DRIVER_LAG_HOURS * 3600
+    present = [c for c in DRIVERS if c in columns]
+    lags += [SpanLag(f"{c}_lag_24h", c, day) for c in present]
+    return lags, rolls + [SpanRoll(c, day, (("mean", f"{c}_rolling_mean_1d"), ("std", f"{c}_rolling_std_1d"))) for c in present]
+
+
+def _engineer_spans(df: DataFrame, keys: Sequence[str], ts: str, idx: str, checkpoint: bool) -> tuple[DataFrame, DataFrame]:
+    """The features of :func:`_engineer` for cleaned series of any steps -> ``(features, decomposition)``.
+
+    Every series has every column.  A lag or frame that is no whole number of a series' steps is NULL there, and so is the
+    deviation of a frame of one row; rows are dropped for other NULL features only.  Series without a step (fewer
+    than two stamps) have no rows.
+    """
     from .step import detect_step
 
-    steps = materialize(detect_step(df.select(*keys, ts), keys, ts).select(*keys, "step_seconds"))
-    distinct = [int(r[0]) for r in steps.select("step_seconds").distinct().collect() if r[0]]
-    outs = []
-    for st in sorted(distinct):
-        part = df.join(steps.filter(steps.step_seconds == float(st)).select(*keys), list(keys), "left_semi")
-        outs.append(_engineer(part, st, keys, ts, idx, checkpoint))
-    feats = outs[0][0]
-    dec = outs[0][1]
-    for f, d in outs[1:]:
-        feats = feats.unionByName(f, allowMissingColumns=True)
-        dec = dec.unionByName(d)
-    return feats, dec
+    drivers = [c for c in DRIVERS if c in df.columns]
+    steps = detect_step(df.select(*keys, ts), keys, ts).filter(F.col("step_seconds") > 0).select(*keys, F.col("step_seconds").alias("_step_s"))
+    base = df.select(*keys, ts, idx, PRICE, *drivers).join(steps, list(keys))
+    if checkpoint:
+        base = materialize(base)
+    dec = decompose_by_step(base, "_step_s", keys, ts, idx, checkpoint=checkpoint)
+    dcols = ["trend", "seasonal", "residual"]
+    rows = base.join(dec.select(*keys, idx, *dcols), [*keys, idx], "left")
+    lags, rolls = span_specs(drivers)
+    feats = span_features(rows, lags, rolls, keys, ts)
+    step = F.round(F.col("_step_s") * MICROS).cast("long")
+    whole = lambda seconds: F.lit(seconds * MICROS) % step == 0
+    owed = {x.out: whole(x.seconds) for x in lags}
+    owed |= {out: whole(x.seconds) & (F.lit(stat != "std") | (step < x.seconds * MICROS)) for x in rolls for stat, out in x.outs}
+    feats = feats.select(*[F.when(owed[c], F.col(c)).alias(c) if c in owed else c for c in feats.columns])
+    for c in [PRICE, *drivers]:
+        feats = feats.filter(F.col(c).isNotNull())
+    for c, needed in owed.items():
+        feats = feats.filter(~needed | F.col(c).isNotNull())
+    feats = _with_ranges(temporal_features(feats.drop("_step_s").filter(F.col(ts).isNotNull()), ts))
+    for c in dcols:
+        share = F.coalesce(F.try_divide(F.col(c), F.col(PRICE)), F.lit(0.0))
+        feats = feats.withColumn(f"{c}_pct", F.when(F.col(c).isNotNull(), share))
+    order = [*keys, ts, idx, PRICE] + [c for c in feats.columns if c not in (*keys, ts, idx, PRICE)]
+    return feats.select(*order), dec
 
 
 def _engineer(

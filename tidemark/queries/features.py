@@ -9,6 +9,7 @@ from ..operators.decompose import add_decomposition_features, decompose
 from ..operators.fill import fill_time_linear
 from ..operators.resample import resample_interpolate
 from ..plans import sqlref as S
+from ..plans.ordered import materialize
 from ..plans.registry import register
 from ..session import IDX, PRICE, SERIES, TS
 from ..sources import fixtures as fx
@@ -264,3 +265,56 @@ def q_decompose_5min(spark, sf_dir):
     """A 5-minute series: the long period of 2,016 rows (running sums)."""
     m5 = fill_time_linear(fx.fixture_m5(spark, sf_dir))
     return decompose(m5.select(SERIES, TS, IDX, PRICE), 300).select(SERIES, TS, PRICE, "trend", "seasonal", "residual")
+
+
+# ------------------------------------------------ series of several steps in one plan
+
+_MIXED_SECONDS = {"2h": 7200, "daily": 86400, "2d": 172800}
+
+
+def _mixed_sql() -> str:
+    spans = {f"price_lag_{h}h": h * 3600 for h in fe.LAG_HOURS} | {f"price_lag_{d}d": d * 86400 for d in fe.LAG_DAYS}
+    fn = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+
+    def one(name: str, seconds: int) -> tuple[str, str]:
+        owed, cols = [], []
+        for c, span in spans.items():
+            cols.append(f"max(price) OVER (o RANGE BETWEEN INTERVAL {span} SECOND PRECEDING AND INTERVAL {span} SECOND PRECEDING) AS {c}")
+            owed += [c] if span % seconds == 0 else []
+        for d in fe.ROLL_DAYS:
+            for stat, f in fn.items():
+                c = f"price_rolling_{stat}_{d}d"
+                frame = f"{f}(price) OVER (o RANGE BETWEEN INTERVAL {d * 86400 - 1} SECOND PRECEDING AND CURRENT ROW) AS {c}"
+                cols.append(frame if d * 86400 % seconds == 0 else f"CAST(NULL AS DOUBLE) AS {c}")
+                owed += [c] if d * 86400 % seconds == 0 and (stat != "std" or seconds < d * 86400) else []
+        period = 7 * 86400 // seconds if 7 * 86400 % seconds == 0 else 0
+        dec = S.decompose_cte(f"dec_{name}", f"s_{name}", period) + "," if period else ""
+        shares = S.decomp_features_sql(f"dec_{name}") if period else ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in S.DECOMP_NAMES)
+        join = f"LEFT JOIN dec_{name} ON e.series_id = dec_{name}.series_id AND e.idx = dec_{name}.idx" if period else ""
+        ctes = f"""{dec}
+e0_{name} AS (SELECT series_id, ts, idx, price, {", ".join(cols)}, {S.temporal_sql()} FROM s_{name} WINDOW o AS (PARTITION BY series_id ORDER BY ts)),
+e_{name} AS (SELECT *, {S.ranges_sql()} FROM e0_{name} WHERE {" AND ".join(f"{c} IS NOT NULL" for c in ["price", *owed])})"""
+        rows = f"""SELECT '{name}/' || e.series_id AS series_id, e.ts, e.price, {", ".join("e." + c for c in _LAG_NAMES + _ROLL_NAMES + S.CAL_DBL + S.CAL_INT)},
+  {shares} FROM e_{name} e {join}"""
+        return ctes, rows
+
+    parts = [one(n, k) for n, k in _MIXED_SECONDS.items()]
+    grids = [_dense_d_sql(f"s_{n}", _MIXED_SECONDS[n]) for n in ("2h", "daily")]
+    grids.append("s_2d AS (SELECT series_id, ts, price, idx // 2 AS idx FROM s_daily WHERE idx % 2 = 0)")
+    return S.with_(S.D, *grids, *[c for c, _ in parts]) + " UNION ALL ".join(r for _, r in parts)
+
+
+def mixed_steps(spark, sf_dir):
+    """D on grids of two hours and of a day, and every second day of the latter, as one relation of 15 series."""
+    named = lambda name, df: df.select(F.concat(F.lit(f"{name}/"), SERIES).alias(SERIES), TS, IDX, PRICE)
+    fine, daily = (resample_interpolate(fx.fixture_d(spark, sf_dir), _MIXED_SECONDS[n]) for n in ("2h", "daily"))
+    daily = materialize(daily)
+    other = daily.filter(F.col(IDX) % 2 == 0).withColumn(IDX, F.expr(f"{IDX} div 2"))
+    return named("2h", fine).unionByName(named("daily", daily)).unionByName(named("2d", other))
+
+
+@register("engineer_features_steps", _mixed_sql(), doubles=("price", *_FEAT_NAMES), digits=2, fine=_SMALL)
+def q_engineer_features_steps(spark, sf_dir):
+    """The whole feature composition over series of three steps: one plan, frames over time."""
+    feats, _ = fe.engineer_features(mixed_steps(spark, sf_dir), None)
+    return feats.select(SERIES, TS, PRICE, *_LAG_NAMES, *_ROLL_NAMES, *S.CAL_DBL, *S.CAL_INT, *fe.DECOMP_COLS)
