@@ -71,3 +71,49 @@ def test_empty_tables(spark, make_docs):
     m = Q.measure(make_docs([]))
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert Q.apply_rules(m, Q.certify(m, labels)).count() == 0
+
+
+def test_the_bound_holds_for_all_rules_of_a_stratum_together(spark, make_docs, prose, monkeypatch):
+    """Each rule alone spares enough good documents at its strictest cutoff, together they do not."""
+    n, alpha = 1500, 0.02
+    text = [prose(80, i) for i in range(n)]
+    hit = {"symbols": range(0, 20), "capitals": range(20, 40), "word_length": range(40, 60)}
+    for i in hit["symbols"]:
+        text[i] = " ".join(w + "|" * 3 for w in text[i].split())
+    for i in hit["capitals"]:
+        text[i] = text[i].upper()
+    for i in hit["word_length"]:
+        text[i] = " ".join(w * 4 for w in text[i].split())
+    bad = [prose(80, 9_000 + i) for i in range(150)]
+    for i in range(150):
+        bad[i] = [" ".join(w + "|" * 3 for w in bad[i].split()), bad[i].upper(), " ".join(w * 4 for w in bad[i].split())][i % 3]
+    docs = make_docs([(i, t, "en") for i, t in enumerate(text + bad)])
+    labels = spark.createDataFrame([(i, int(i < n)) for i in range(n + 150)], "doc_id long, quality int")
+    m = Q.measure(docs)
+
+    def lost(rules):
+        monkeypatch.setattr(Q, "GRID", {r: g if r in rules else [10**6] for r, g in Q.GRID.items()})
+        return Q.apply_rules(m, Q.certify(m, labels, alpha=alpha)).where(f"doc_id < {n} AND NOT kept").count()
+
+    grid = dict(Q.GRID)
+    for rule in hit:
+        monkeypatch.setattr(Q, "GRID", grid)
+        assert lost({rule}) >= 20  # one rule's 20 of 1,500 are within the bound
+    monkeypatch.setattr(Q, "GRID", grid)
+    most = max(k for k in range(60) if tail(k, n, alpha) <= 0.05)
+    assert 20 <= most < 60
+    assert lost(set(hit)) <= most
+
+
+def test_kept_rows_are_the_callers_rows_with_clashing_names(spark, make_docs, prose):
+    from pyspark.sql import functions as F
+
+    docs = make_docs([(i, prose(80, i), "en") for i in range(5)] + [(7, "too short", "en"), (None, None, None)])
+    names = ["__words", "__lines", "__grams", "__again", "__k0", "__salt", "__s", "base_failed", "rejected_by", "cut_symbols", "n_lines", "a.b"]
+    docs = docs.select("*", *[F.lit(f"mine {c}").alias(c) for c in names])
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    got = Q.kept_rows(docs, labels)
+    assert got.columns == docs.columns
+    want = {tuple(r) for r in docs.where("doc_id < 5").collect()}
+    assert {tuple(r) for r in got.collect()} == want
+    assert Q.kept_rows(docs.limit(0), labels).count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +32,23 @@ def n_words_of(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD_CLASS + "+")).cast("long")
 
 
-def pre(df: DataFrame, name: str, taken: set[str] | None = None) -> str:
-    """A working column name that clashes with no column of ``df``."""
-    have = {c.lower() for c in df.columns} | (taken or set())
-    while name.lower() in have:
-        name = "_" + name
-    return name
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def shelter(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``df`` with every column but ``used`` under a name no operator works with, and the way back.
+
+    The way back takes a result that still holds those columns and returns the caller's columns by their own names and in
+    their own order, and any ``more`` columns after them; what an operator added beside them goes.
+    """
+    names = {c: f"__caller{i}" for i, c in enumerate(df.columns) if c not in used}
+
+    def back(out: DataFrame, *more: str) -> DataFrame:
+        return out.select(*[named(names.get(c, c)).alias(c) for c in df.columns if c not in more], *more)
+
+    return df.select(*[named(c).alias(names.get(c, c)) for c in df.columns]), back
 
 
 def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salt_on: Column | None = None) -> DataFrame:

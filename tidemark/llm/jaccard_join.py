@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, attach, stored
+from .common import WORD_CLASS, attach, shelter, stored
 from .components import components
 from .shingles import node_of, sets_of
 
@@ -393,9 +393,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     found = linked(docs, key, text, **options).where(F.col("root").isNotNull())
     name = lambda i, h: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), h)
     stay = found.groupBy("root").agg(F.min(F.struct(F.col(key).alias("i"), "th")).alias("k")).select(name(F.col("k.i"), F.col("k.th")).alias("__name")).distinct()
-    named = docs.where(F.col(text).rlike(WORD_CLASS)).withColumn("__name", name(F.col(key).cast("long"), F.xxhash64(text)))
-    kept = named.join(stay, "__name", "left_semi").dropDuplicates(["__name"]).select(*docs.columns)  # equal rows are copies, too
-    return kept.unionByName(docs.where(~F.coalesce(F.col(text).rlike(WORD_CLASS), F.lit(False))))
+    work, back = shelter(docs, key, text)
+    named = work.where(F.col(text).rlike(WORD_CLASS)).withColumn("__name", name(F.col(key).cast("long"), F.xxhash64(text)))
+    kept = named.join(stay, "__name", "left_semi").dropDuplicates(["__name"]).drop("__name")  # equal rows are copies, too
+    return back(kept.unionByName(work.where(~F.coalesce(F.col(text).rlike(WORD_CLASS), F.lit(False)))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ smallest, and goes everywhere else, so no content is lost.
 A line is compared without white space at its ends.  Every line with a word takes part, however short (a line of a script
 without spaces is one word); a caller who asks for more ``min_words`` spares shorter lines.  Defined cases: null text has no lines and stays null; a null site counts as one site; a null id is an
 id of its own (the smallest); repeated rows get equal results and keep what the first of them keeps; lines keep
-their order and bytes; a text without removed lines is returned unchanged.  Extra columns pass through.
+their order and bytes; a text without removed lines is returned unchanged.  Extra columns pass through whatever their names
+(``remove_boilerplate`` replaces one named ``lines_removed``, ``cleaned_rows`` returns the caller's).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD_CLASS, attach, stored, text_of
+from .common import SPACE_CLASS, WORD_CLASS, attach, shelter, stored
 
 LG_K = 12  # relative standard error 1.04 / sqrt(2 ** 12) = 1.6 %
 BAND = 0.10  # six standard errors: estimates within it of the threshold are counted exactly
@@ -53,6 +54,7 @@ def spread(lines: DataFrame, min_sites: int) -> DataFrame:
 
 def remove_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 5, min_words: int = 1) -> DataFrame:
     """``docs`` with the cleaned ``text`` and ``lines_removed`` (long)."""
+    docs, back = shelter(docs.drop("lines_removed"), key, text, site)
     lines = _lines(docs, key, text, site, min_words)
     flagged = stored(spread(lines, min_sites))
     gone = (
@@ -61,12 +63,20 @@ def remove_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text",
         .groupBy("__id", "__th")
         .agg(F.collect_set("__pos").alias("__gone"))  # at most the lines of one document
     )
-    base = docs.drop("lines_removed").withColumn("__th0", F.xxhash64(text))
+    base = docs.withColumn("__th0", F.xxhash64(text))
     out = base.join(gone, base[key].eqNullSafe(gone["__id"]) & (base["__th0"] == gone["__th"]) & base[text].isNotNull(), "left")
     parts = F.split(F.col(text), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
     kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
-    return out.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)).withColumn("lines_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long")).drop("__id", "__th", "__gone", "__th0").select(*[c for c in base.columns if c != "__th0"], "lines_removed")
+    out = out.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept))
+    return back(out.withColumn("lines_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long")), "lines_removed")
+
+
+def cleaned_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", **options) -> DataFrame:
+    """``docs`` with the cleaned ``text`` and no other change of column; a document left without a word by the removal goes."""
+    work, back = shelter(docs, key, text, site)
+    out = remove_boilerplate(work, key, text, site, **options)
+    return back(out.where((F.col("lines_removed") == 0) | F.col(text).rlike(WORD_CLASS)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

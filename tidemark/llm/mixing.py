@@ -10,7 +10,8 @@ Budgets: ``share`` times all sizes, divided by weight; a source stops at ``most`
 the others by weight, until none is above.  Weights go to the sources in code-point order, null last, repeating.
 
 Defined cases: null text has size 0; documents of size 0 and sources without words take 0; a null source is a source;
-repeated rows are separate documents; an empty table gives an empty result.  Extra columns pass through.
+repeated rows are separate documents; an empty table gives an empty result.  Extra columns pass through whatever their names
+(``mix`` replaces those it returns itself, ``mixed_rows`` returns the caller's).
 One row per source is sorted in one task; documents never are.
 """
 
@@ -19,13 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, n_words_of, stored, text_of
+from .common import attach, n_words_of, named, shelter, stored, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
 RANGE_ROWS = 20_000
 KEY_BITS = 60
+RESULTS = ["size", "source_size", "target", "taken"]
 
 
 def hash_key(key: Column, seed: int) -> Column:
@@ -55,9 +57,10 @@ def targets(by_source: DataFrame, source: str = "source", weights=WEIGHTS, share
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42, **budget) -> DataFrame:
     """``docs`` (without the text, unless it is asked for in ``keep``) with size, source_size, target and taken."""
-    keep = budget.pop("keep", [c for c in docs.columns if c != text])
-    base = docs.select(
-        *[F.col(c) for c in keep if c not in ("size", "source_size", "target", "taken")],
+    keep = [c for c in budget.pop("keep", [c for c in docs.columns if c != text]) if c.lower() not in RESULTS]
+    kept, back = shelter(docs.select(*[named(c) for c in docs.columns if c in keep or c in (key, text, source)]), key, text, source)
+    base = kept.select(
+        "*",
         F.col(source).alias("__src"),
         n_words_of(text_of(text)).alias("size"),
         hash_key(F.col(key), seed).alias("__key"),
@@ -81,14 +84,16 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rest = whole - epochs * F.col("source_size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("__before") - F.col("__in")))
     out = out.withColumn("taken", epochs * F.col("size") + part)
-    return out.drop("__src", "__src2", "__key", "__tie", "__range", "__range2", "__before", "__in")
+    return back(out, *RESULTS).select(*[named(c) for c in keep], *RESULTS)
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken (a part of half a document or more counts as one)."""
-    out = mix(docs, keep=docs.columns, **options)
+    used = [options.get(n, n if n != "key" else "doc_id") for n in ("key", "text", "source")]
+    work, back = shelter(docs, *used)
+    out = mix(work, keep=work.columns, **options)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(0).cast("int")
-    return out.withColumn("__epoch", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    return back(out.withColumn("__epoch", F.explode(F.array_repeat(F.lit(1), times))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

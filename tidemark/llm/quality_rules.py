@@ -1,28 +1,31 @@
 """Quality rules with risk-controlled cutoffs (DataFrame functions only).
 
 Each rule rejects a document whose metric lies above a cutoff.  Cutoffs are not guessed: on the labelled
-documents of each stratum (language) the number of good documents a cutoff would reject is tested against
-the allowed rate with the exact binomial tail.  A cutoff is certified when the hypothesis "it rejects more
-than ``alpha`` of the good documents" is refuted at level ``delta`` divided by the number of
-(stratum, rule) pairs (Bonferroni); within a pair the cutoffs are tested from lax to strict and testing stops
-at the first failure (fixed sequence), so no further correction is needed.  Among the certified cutoffs the
-one that separates best (share of bad rejected minus share of good rejected) is used, ties to the laxest; with
-none certified, or none that separates, the rule rejects nothing in that stratum.
+documents of each stratum (language) the number of good documents that the rules together would reject is tested
+against the allowed rate with the exact binomial tail.  The rules are tightened in step: at level j each of them stands at
+the j-th cutoff of its grid (or its last).  A level is certified when the hypothesis "its rules together reject more
+than ``alpha`` of the good documents" is refuted at level ``delta`` divided by the number of strata (Bonferroni);
+levels are tested from lax to strict up to the first failure (fixed sequence), so no further correction is
+needed.  Whatever cutoffs are then chosen at or below the last certified level, they reject a part of what that level
+rejects, so the bound holds for all rules of a stratum together.  Among them each rule takes the one that separates best
+(share of bad rejected minus share of good rejected), ties to the laxest; with none, or none that separates, it rejects
+nothing in that stratum.
 
 Defined cases: null text has no words and fails the base rules; a null stratum is a stratum of its own;
 several labels of one document count as its lowest quality; null quality is no label; repeated rows each get
 the verdict; empty tables give empty results (and without labels no rule rejects).  Extra columns pass
-through ``apply_rules``.
+through whatever their names, but for those an operator returns itself; ``kept_rows`` returns the caller's columns alone.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, attach, stored, text_of, words_of
+from .common import SPACE_CLASS, attach, scratch, shelter, stored, text_of, words_of
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -42,6 +45,7 @@ GRID: dict[str, list[int]] = {
     "repeats": [95, 90, 80, 70, 60, 50, 45, 40, 35, 30, 25, 20],
     "capitals": [90, 80, 70, 60, 50, 40, 30, 25, 20, 15],
 }
+LEVELS = max(len(grid) for grid in GRID.values())
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MEASURES = [*BASE, "n_lines", "n_capitals"]
 
@@ -63,7 +67,7 @@ def _repeated(words: str) -> tuple[Column, Column]:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the MEASURES (long) of the whole text; an input column of such a name is replaced."""
-    df = docs.drop(*MEASURES)
+    df, back = shelter(docs.drop(*MEASURES), text)
     lines = F.filter(F.split(text_of(text), "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\f\r")) != F.lit(""))
     df = df.withColumn("__words", words_of(text_of(text))).withColumn("__lines", lines)
     grams, again = _repeated("__words")
@@ -86,7 +90,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     }
     # a generator of one row: filters on the measures stay above it, where they are computed once
     row = F.inline(F.array(F.struct(*[e.alias(c) for c, e in out.items()])))
-    return df.select(*[c for c in docs.columns if c not in MEASURES], row)
+    return back(df.select("*", row), *MEASURES)
 
 
 def base_failed() -> Column:
@@ -128,24 +132,28 @@ def certify(measured: DataFrame, labels: DataFrame, stratum: str = "lang", key:
     lab = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg((F.min("quality") > 0).alias("__good"))
     hold = measured.where(~base_failed()).select(F.col(stratum).alias("__stratum"), F.col(key).alias("__key"), *MEASURES).join(lab, "__key")
     counts = [F.count_if("__good").alias("n_good"), F.count_if(~F.col("__good")).alias("n_bad")]
+    for j in range(LEVELS):
+        hits = [_above(rule, F.lit(grid[min(j, len(grid) - 1)])) for rule, grid in GRID.items()]
+        counts.append(F.count_if(F.col("__good") & F.array_contains(F.array(*hits), True)).alias(f"u_{j}"))
     for rule, grid in GRID.items():
         for i, cut in enumerate(grid):
             hit = _above(rule, F.lit(cut))
             counts += [F.count_if(hit & F.col("__good")).alias(f"g_{rule}_{i}"), F.count_if(hit & ~F.col("__good")).alias(f"b_{rule}_{i}")]
     by = hold.groupBy("__stratum").agg(*counts)  # one row per stratum, pre-aggregated where the rows are
     by = stored(by)
-    tests = max(1, by.count()) * len(RULES)
-    by = by.withColumn("__k", _allowed(F.col("n_good"), alpha, F.lit(delta / tests)))
+    by = by.withColumn("__k", _allowed(F.col("n_good"), alpha, F.lit(delta / max(1, by.count()))))
+    # rejections grow with the level, so "all laxer levels passed" is "this one passes"
+    passed = F.array_size(F.filter(F.array(*[F.col(f"u_{j}") for j in range(LEVELS)]), lambda u: u <= F.col("__k")))
+    by = by.withColumn("__levels", passed)
     cuts = []
     for rule, grid in GRID.items():
-        # rejections grow along the grid, so "all laxer cutoffs passed" is "this one passes"
         tried = F.array(
             *[
                 F.struct(
                     (F.col(f"b_{rule}_{i}").cast("double") * F.col("n_good") - F.col(f"g_{rule}_{i}").cast("double") * F.col("n_bad")).alias("gain"),
                     F.lit(-i).alias("i"),
                     F.lit(cut).alias("cut"),
-                    (F.col(f"g_{rule}_{i}") <= F.col("__k")).alias("ok"),
+                    (F.lit(i) < F.col("__levels")).alias("ok"),
                 )
                 for i, cut in enumerate(grid)
             ]
@@ -162,6 +170,20 @@ def apply_rules(measured: DataFrame, cuts: DataFrame, stratum: str = "lang") ->
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop(*[f"cut_{r}" for r in RULES])
 
 
+def kept_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", **risk) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with the columns of ``docs``.
+
+    The texts are measured once: rows and measures are written to the shared folder, the certificate reads the measures,
+    the verdict the rows.
+    """
+    spark = docs.sparkSession
+    work, back = shelter(docs, key, text, stratum)
+    path = f"{scratch(spark).rstrip('/')}/measured-{uuid.uuid4().hex}"
+    measure(work, text).write.parquet(path)
+    measured = spark.read.parquet(path)
+    return back(apply_rules(measured, certify(measured, labels, stratum, key, **risk), stratum).where("kept"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op6: every document with its measures, the base verdict and the certified verdict."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -178,6 +200,10 @@ def oracle() -> str:
         for rule, (num, den) in RULES.items()
         for i, cut in enumerate(GRID[rule])
     )
+    joint = " UNION ALL ".join(
+        f"SELECT {j} AS j, lang, good, " + " OR ".join(f"({den} > 0 AND {num} * 100 > {GRID[r][min(j, len(GRID[r]) - 1)]} * {den})" for r, (num, den) in RULES.items()) + " AS hit FROM hold"
+        for j in range(LEVELS)
+    )
     rejected = " || ".join(f"CASE WHEN coalesce({den} > 0 AND {num} * 100 > cut_{r} * {den}, false) THEN '{r},' ELSE '' END" for r, (num, den) in RULES.items())
     return f"""
 WITH d AS (
@@ -204,13 +230,16 @@ tried AS (
   SELECT lang, rule, i, cut, count(*) FILTER (good) AS n_good, count(*) FILTER (NOT good) AS n_bad,
          count(*) FILTER (hit AND good) AS g, count(*) FILTER (hit AND NOT good) AS bad
   FROM ({tries}) GROUP BY ALL),
+joint AS (SELECT lang, j, count(*) FILTER (good) AS n_good, count(*) FILTER (hit AND good) AS g FROM ({joint}) GROUP BY ALL),
 tail AS (
-  SELECT *, list_sum([exp(lgamma(n_good + 1) - lgamma(k + 1) - lgamma(n_good - k + 1) + k * ln({alpha}::DOUBLE) + (n_good - k) * ln(1 - {alpha}::DOUBLE)) for k in range(0, g + 1)])
-              <= {delta}::DOUBLE / ({len(RULES)} * (SELECT count(*) FROM (SELECT DISTINCT lang FROM hold))) AS ok
-  FROM tried),
+  SELECT lang, j, list_sum([exp(lgamma(n_good + 1) - lgamma(k + 1) - lgamma(n_good - k + 1) + k * ln({alpha}::DOUBLE) + (n_good - k) * ln(1 - {alpha}::DOUBLE)) for k in range(0, g + 1)])
+              <= {delta}::DOUBLE / (SELECT count(*) FROM (SELECT DISTINCT lang FROM hold)) AS ok
+  FROM joint),
+certified AS (SELECT lang, count(*) FILTER (ok) AS levels FROM tail GROUP BY lang),
 best AS (
-  SELECT lang, rule, cut FROM tail WHERE ok AND bad * n_good > g * n_bad
-  QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY bad::DOUBLE * n_good - g::DOUBLE * n_bad DESC, i) = 1),
+  SELECT t.lang, rule, cut FROM tried t JOIN certified c ON t.lang IS NOT DISTINCT FROM c.lang
+  WHERE i < levels AND bad * n_good > g * n_bad
+  QUALIFY row_number() OVER (PARTITION BY t.lang, rule ORDER BY bad::DOUBLE * n_good - g::DOUBLE * n_bad DESC, i) = 1),
 cuts AS (SELECT lang, {", ".join(f"max(cut) FILTER (rule = '{r}') AS cut_{r}" for r in RULES)} FROM best GROUP BY lang),
 v AS (SELECT b.*, rtrim({rejected}, ',') AS rejected_by FROM b LEFT JOIN cuts ON b.lang IS NOT DISTINCT FROM cuts.lang)
 SELECT doc_id, {", ".join(BASE)}, base_failed, NOT base_failed AND rejected_by = '' AS kept, rejected_by FROM v"""
