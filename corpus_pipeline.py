@@ -1,6 +1,11 @@
 """A corpus pipeline over ``documents``: each stage applies one operator to all rows its predecessor kept.
 
 Every stage is written as Parquet in the shared folder and read again, so a lost executor costs at most one stage.
+
+Defined cases: null text and empty text have no words and fail the quality rules; null language and null source are values
+of their own; repeated rows are separate rows until the join stage, which keeps one of them; ties go as the operators state;
+an empty table gives an empty result; all stages but the last return the columns they were given, whatever their names, with
+their values (the line stage changes ``text``).
 """
 
 from __future__ import annotations
@@ -11,21 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, jaccard_join, line_dedup, mixing, quality_rules
-from tidemark.llm.common import WORD_CLASS, scratch
+from tidemark.llm.common import scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents by the base rules and by cutoffs certified on the labelled documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    narrow = quality_rules.measure(docs.select("doc_id", "lang", "text")).drop("text")
-    cuts = quality_rules.certify(narrow, labels)
-    return quality_rules.apply_rules(quality_rules.measure(docs), cuts).where("kept").select(*docs.columns)
+    return quality_rules.kept_rows(docs, labels)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines found on many sites, whatever their length; a document left without a word by that goes."""
-    out = line_dedup.remove_boilerplate(docs, min_words=1)
-    return out.where((out["lines_removed"] == 0) | out["text"].rlike(WORD_CLASS)).select(*docs.columns)
+    return line_dedup.cleaned_rows(docs)
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
