@@ -20,12 +20,11 @@ through whatever their names, but for those an operator returns itself; ``kept_r
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, attach, scratch, shelter, stored, text_of, words_of
+from .common import SPACE_CLASS, attach, shelter, stored, text_of, words_of
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -173,15 +172,12 @@ def apply_rules(measured: DataFrame, cuts: DataFrame, stratum: str = "lang") ->
 def kept_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", **risk) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``.
 
-    The texts are measured once: rows and measures are written to the shared folder, the certificate reads the measures,
-    the verdict the rows.
+    Texts are measured twice, for the certificate and for the verdict: storing them with their measures instead costs an
+    executor more memory than a second look at them costs time.
     """
-    spark = docs.sparkSession
     work, back = shelter(docs, key, text, stratum)
-    path = f"{scratch(spark).rstrip('/')}/measured-{uuid.uuid4().hex}"
-    measure(work, text).write.parquet(path)
-    measured = spark.read.parquet(path)
-    return back(apply_rules(measured, certify(measured, labels, stratum, key, **risk), stratum).where("kept"))
+    cuts = certify(measure(work.select(key, stratum, text), text).drop(text), labels, stratum, key, **risk)
+    return back(apply_rules(measure(work, text), cuts, stratum).where("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
