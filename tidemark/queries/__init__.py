@@ -1,3 +1,3 @@
 """Registered queries (Spark) with their SQL oracles; importing fills the registry."""
 
-from . import catalog, cleaning, features, forecasting, learned, presentation, streams  # noqa: F401
+from . import catalog, cleaning, features, forecasting, learned, presentation, selecting, streams  # noqa: F401
