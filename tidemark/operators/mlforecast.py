@@ -8,7 +8,8 @@ test part is scored one step ahead from actual history; future rows take
 lags from history clamped to its last row and rolling values of the window
 that ends there (predictions are never fed back), so every row is
 independent and scoring is one ``transform``.  After ``fit``, ``skipped`` holds
-``(series_id, reason)`` of every series without a forecast.
+``(series_id, reason)`` of every series without a forecast, and ``loss_history`` has
+the loss after every iteration.
 
 With ``seq_len`` the inputs are instead the last ``seq_len`` rows of price and ``drivers`` as one vector (``sequences``:
 rows are packed once per block, the vector is cut out of the block), beside the calendar and the level; future rows
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -168,6 +169,7 @@ class MLForecaster:
             # last tenth of each series' train part validates (early stop)
             train = train.withColumn("_val", F.col(IDX) >= F.col("_m") - F.ceil((F.col("_m")) * 0.1))
         self.model = Pipeline(stages=self._stages()).fit(train)
+        self._train = train
         # a series that no complete row teaches is not forecast either; ``skipped`` names it
         self._series = series.join(self.skipped.select(*self.keys), self.keys, "left_anti")
         return self
@@ -178,9 +180,7 @@ class MLForecaster:
 
     def forecast(self) -> tuple[DataFrame, DataFrame]:
         """``(forecast table, metrics)`` as the seasonal backends return them."""
-        frame = self._split(self._history(self._series), self._series).join(self._level_table, self.keys)
-        test = frame.filter(F.col(IDX) >= F.col("_m")).dropna(subset=self._scalars())
-        scored = self.model.transform(test).select(*self.keys, TS, F.col(PRICE).alias("actual"), F.col("prediction").alias("predicted"))
+        scored = self.model.transform(self._test()).select(*self.keys, TS, F.col(PRICE).alias("actual"), F.col("prediction").alias("predicted"))
         fut = self._future(self._series).join(self._level_table, self.keys)
         fut = fut.dropna(subset=self._scalars())
         fpred = self.model.transform(fut).select(*self.keys, TS, F.col("prediction").alias("predicted"))
@@ -193,6 +193,32 @@ class MLForecaster:
         metrics = forecast_metrics(tested, self.keys).withColumn("model", F.lit(self.backend))
         return fc, metrics
 
+    def _test(self) -> DataFrame:
+        """Complete rows of the test part of every series."""
+        frame = self._split(self._history(self._series), self._series).join(self._level_table, self.keys)
+        return frame.filter(F.col(IDX) >= F.col("_m")).dropna(subset=self._scalars())
+
+    def loss_history(self) -> DataFrame:
+        """``backend, part, iteration, loss, best``: mean squared error after every iteration, from 1.
+
+        Parts: ``train`` (rows that are fitted), ``validation`` (``gbt``: rows that stop it) and ``test``.  The ``gbt`` model ends at
+        the iteration with the lowest validation loss; ``linear`` solves the normal equations in one.  ``best`` marks the lowest loss
+        of a part, ties to the earliest; a part without rows has none.  Each part is read once, whatever the number of iterations.
+        """
+        parts = {"train": self._train, "test": self._test().filter(F.col(PRICE).isNotNull())}
+        if self.backend == "gbt":
+            parts |= {"train": self._train.filter(~F.col("_val")), "validation": self._train.filter("_val")}
+        last, rows = self.model.stages[-1], []
+        for part, frame in parts.items():
+            if self.backend == "gbt":
+                ready = PipelineModel(self.model.stages[:-1]).transform(frame)
+                losses = [] if ready.isEmpty() else last.evaluateEachIteration(ready, "squared")
+            else:
+                mean = self.model.transform(frame).agg(F.avg((F.col("prediction") - F.col(PRICE)) ** 2)).first()[0]
+                losses = [] if mean is None else [mean]
+            rows += [(self.backend, part, i, float(x), i == losses.index(min(losses)) + 1) for i, x in enumerate(losses, 1)]  # a number per iteration
+        return self._series.sparkSession.createDataFrame(rows, "backend string, part string, iteration long, loss double, best boolean")
+
     def feature_importance(self) -> DataFrame:
         """``feature, importance``: GBT split importances, or |standardised coefficient| shares."""
         spark = self._series.sparkSession

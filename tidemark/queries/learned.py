@@ -197,3 +197,21 @@ def q_forecast_sequences_72(spark, sf_dir):
     m = MLForecaster("linear", 7, 3600, seq_len=72, drivers=_DRIVERS).fit(fx.fixture_hx_filled(spark, sf_dir))
     out, _ = m.forecast()
     return out.select(SERIES, TS, "actual", "predicted", "lower", "upper", "model")
+
+
+@register(
+    "loss_history_linear",
+    _FIT_SQL
+    + """SELECT 'linear' AS backend, CASE WHEN x.idx < sp.m THEN 'train' ELSE 'test' END AS part, CAST(1 AS BIGINT) AS iteration,
+  avg((price - b0 - b1 * x1 - b2 * x2) * (price - b0 - b1 * x1 - b2 * x2)) AS loss, true AS best FROM x JOIN sp USING (series_id), k WHERE x.idx >= 1 GROUP BY ALL""",
+    doubles=("loss",),
+)
+def q_loss_history_linear(spark, sf_dir):
+    """Loss of the linear backend on its train and test part."""
+    return _sequence_linear(spark, sf_dir).loss_history()
+
+
+@register("loss_history_gbt", None, notes="loss after every tree on the train, validation and test part; tested against sums of trees")
+def q_loss_history_gbt(spark, sf_dir):
+    """Loss of the tree backend after every iteration; the last is the best on the validation part."""
+    return MLForecaster("gbt", 7, 3600, max_iter=20).fit(fx.fixture_h_filled(spark, sf_dir)).loss_history()

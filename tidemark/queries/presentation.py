@@ -161,3 +161,33 @@ def q_json_round_trip(spark, sf_dir):
     path = _scratch(spark, "json")
     hx.write.json(path)
     return files.read_series_json(spark, path, layout="lines").select(SERIES, TS, PRICE, "temperature", "load")
+
+
+def _monthly(spark, sf_dir, layout: str):
+    """HX written as one JSON value per series and month, read back."""
+    hx = fx.fixture_hx(spark, sf_dir).withColumn("timestamp", F.date_format(TS, "MMM d, yyyy HH:mm:ss"))
+    columns = [SERIES, "timestamp", PRICE, "temperature", "load"]
+    by = hx.withColumns({"part_s": F.col(SERIES), "part_m": F.date_format(TS, "yyyyMM")}).groupBy("part_s", "part_m")  # at most a month's hours
+    if layout == "records":
+        value = F.to_json(F.sort_array(F.collect_list(F.struct(IDX, *columns))))
+    else:
+        cells = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(IDX).cast("string"), c))))
+        value = F.to_json(F.struct(*[cells(c).alias(c) for c in columns]))
+    path = _scratch(spark, f"json-{layout}")
+    by.agg(value.alias("value")).write.partitionBy("part_s", "part_m").text(path)
+    return files.read_series_json(spark, path, layout=layout).select(SERIES, TS, PRICE, "temperature", "load")
+
+
+_HX_SQL = S.with_(S.HX) + "SELECT series_id, ts, price, temperature, load FROM hx"
+
+
+@register("json_records", _HX_SQL, doubles=("price", "temperature", "load"))
+def q_json_records(spark, sf_dir):
+    """Arrays of records with commas in their stamps, read in pieces."""
+    return _monthly(spark, sf_dir, "records")
+
+
+@register("json_columns", _HX_SQL, doubles=("price", "temperature", "load"))
+def q_json_columns(spark, sf_dir):
+    """Objects of columns with commas in their stamps, read in pieces."""
+    return _monthly(spark, sf_dir, "columns")

@@ -1,11 +1,14 @@
-"""Queries for rank-correlation selection of inputs and for walk-forward evaluation."""
+"""Queries for rank-correlation selection of inputs, walk-forward evaluation and similar days."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import features as fe
 from ..operators.backtest import fold_metrics, walk_forward
 from ..operators.resample import resample_interpolate
 from ..operators.selection import select_features
+from ..operators.similar import cluster_days, day_vectors, similar_days
 from ..plans import sqlref as S
 from ..plans.registry import register
 from ..session import IDX, PRICE, SERIES, TS
@@ -69,3 +72,51 @@ def q_walk_forward(spark, sf_dir):
     hf = fx.fixture_h_filled(spark, sf_dir).select(SERIES, TS, IDX, PRICE)
     out = fold_metrics(walk_forward(hf, _FOLDS, "line")).unionByName(fold_metrics(walk_forward(hf, _FOLDS, "phase", 168)))
     return out.select(SERIES, "model", "fold", "n", "MAE", "RMSE", "MAPE")
+
+
+_DAYS = S.with_(
+    S.H,
+    "hours AS (SELECT series_id, CAST(ts AS DATE) AS day, hour(ts) AS slot, avg(price) AS x FROM h GROUP BY ALL)",
+    """days AS (SELECT series_id, day, count(x) AS n_present, avg(x) AS level, stddev_pop(x) AS spread FROM hours GROUP BY ALL)""",
+    """slots AS (SELECT d.series_id, d.day, CAST(j AS INTEGER) AS slot, n_present,
+  CASE WHEN x IS NULL OR spread <= 1e-9 * greatest(1.0, abs(level)) THEN 0.0 ELSE (x - level) / spread END AS z
+  FROM days d CROSS JOIN (SELECT unnest(range(24)) AS j) LEFT JOIN hours o ON o.series_id = d.series_id AND o.day = d.day AND o.slot = j)""",
+)
+
+
+@register(
+    "day_vectors",
+    _DAYS
+    + """SELECT d.series_id, CAST(d.day AS VARCHAR) AS day, any_value(d.n_present) AS n_present, any_value(level) AS level, any_value(spread) AS spread,
+  sum((slot + 1) * z) AS weighted, max(z) FILTER (slot = 7) AS hour_7 FROM days d JOIN slots s ON s.series_id = d.series_id AND s.day = d.day GROUP BY d.series_id, d.day""",
+    doubles=("level", "spread", "weighted", "hour_7"),
+)
+def q_day_vectors(spark, sf_dir):
+    """Every day of every series as 24 values: its level, spread and shape (order-sensitive sum)."""
+    days = day_vectors(fx.fixture_h(spark, sf_dir))
+    weighted = F.aggregate(F.transform("shape", lambda z, j: (j + 1) * z), F.lit(0.0), lambda acc, x: acc + x)
+    return days.select(SERIES, F.col("day").cast("string").alias("day"), "n_present", "level", "spread", weighted.alias("weighted"), F.get("shape", F.lit(7)).alias("hour_7"))
+
+
+@register(
+    "similar_days",
+    _DAYS
+    + """, t AS (SELECT series_id, max(day) AS target FROM days WHERE n_present > 0 GROUP BY series_id),
+near AS (SELECT t.series_id, t.target, b.day, round(sqrt(sum((a.z - b.z) * (a.z - b.z))), 9) AS distance
+  FROM t JOIN slots a ON a.series_id = t.series_id AND a.day = t.target
+  JOIN slots b ON b.series_id = t.series_id AND b.slot = a.slot AND b.day < t.target AND b.n_present > 0 GROUP BY ALL)
+SELECT series_id, CAST(target AS VARCHAR) AS target, CAST(day AS VARCHAR) AS day, place, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY series_id, target ORDER BY distance, day DESC) AS place FROM near) WHERE place <= 5""",
+    doubles=("distance",),
+)
+def q_similar_days(spark, sf_dir):
+    """The five earlier days whose course is most like that of a series' last day."""
+    found = similar_days(day_vectors(fx.fixture_h(spark, sf_dir)), 5)
+    return found.select(SERIES, F.col("target").cast("string").alias("target"), F.col("day").cast("string").alias("day"), "place", "distance")
+
+
+@register("day_clusters", None, notes="k-means over day shapes; tested on planted shapes and against the nearest centre")
+def q_day_clusters(spark, sf_dir):
+    """The cluster of every day of every series."""
+    days = cluster_days(day_vectors(fx.fixture_h(spark, sf_dir)))
+    return days.select(SERIES, F.col("day").cast("string").alias("day"), "n_present", "cluster")

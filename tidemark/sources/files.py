@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timefn import coerce_numeric, format_export, parse_timestamp
 from ..session import DRIVERS, PRICE, SERIES, TS
+from .jsontext import read_columns, read_records
 
 
 def _typed(raw: DataFrame, series: str | None, default_series: str) -> DataFrame:
@@ -29,22 +30,16 @@ def read_series_csv(spark: SparkSession, path: str, series: str | None = SERIES,
 def read_series_json(
     spark: SparkSession, path: str, series: str | None = SERIES, default_series: str = "series", layout: str = "records"
 ) -> DataFrame:
-    """JSON records: a JSON array of objects (``records``) or one object per line
-    (``lines``); ``columns`` = one object of ``{column: {row: value}}`` maps.
-    Numeric stamps are epoch seconds or milliseconds by magnitude."""
+    """JSON records: a JSON array of flat objects (``records``) or one object per line
+    (``lines``); ``columns`` = one object of ``{column: {row: value}}`` maps.  All three are
+    split over tasks (``jsontext``).  Numeric stamps are epoch seconds or milliseconds by magnitude."""
+    wanted = ["timestamp", PRICE, *DRIVERS, *([series.lower()] if series else [])]
     if layout == "columns":
-        obj = spark.read.option("multiLine", True).json(path)
-        fields = obj.columns
-        maps = obj.select(*[F.from_json(F.to_json(F.col(c)), "map<string,string>").alias(c) for c in fields])
-        # each column map becomes (row key, value) rows; the columns meet on the row key
-        raw = maps.select(F.explode(F.col("timestamp")).alias("_k", "timestamp"))
-        for c in fields:
-            if c != "timestamp":
-                raw = raw.join(maps.select(F.explode(F.col(c)).alias("_k", c)), "_k", "left")
-        raw = raw.select(*fields)
+        raw = read_columns(spark, path, wanted)
+    elif layout == "records":
+        raw = read_records(spark, path, wanted)
     else:
-        reader = spark.read.option("multiLine", layout == "records")
-        raw = reader.json(path)
+        raw = spark.read.json(path)
         raw = raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns])
     t = F.col("timestamp")
     num = t.try_cast("double")
