@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import defaultdict
 
 from tidemark.llm import secret_scan as S
 
@@ -89,25 +91,99 @@ def test_of_nested_claims_the_outermost_stays(spark):
     assert {tuple(r) for r in got} == {rows[0], rows[3], rows[4], rows[5]} and len(got) == 4
 
 
-def claimed(spark, values):
-    return {r["value"] for r in S.claim(S.battery(spark.createDataFrame([(v,) for v in values], "value string"))).collect()}
+def null_of(spark, texts):
+    """The shares that a corpus of these texts gives."""
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    return S.shares(S.known(spark, S.vocabulary(docs)))
+
+
+def claimed(spark, values, null):
+    return {r["value"] for r in S.claim(S.battery(spark.createDataFrame([(v,) for v in values], "value string")), null).collect()}
+
+
+def secret(rnd, n=40):
+    return "".join(rnd.choice(S.ENCODINGS["base62"][1]) for _ in range(n))
+
+
+# Words of four languages, used nowhere else.
+FOREIGN = """talo kissa koira metsa jarvi lumi kaupunki ystava samaki nyumba mtoto kitabu barabara chakula rafiki jioni
+dworzec ksiazka rzeka miasto zamek wiosna ogrod jesien biblioteka calle ventana corazon invierno puente zapato""".split()
+NAMES = ["Amber", "Basket", "Cobalt", "Dragon", "Engine", "Falcon", "Garnet", "Harbor", "Island", "Jacket", "Kettle", "Lantern"]
+
+
+def identifiers(rnd, words, n, low, high):
+    made = set()
+    while len(made) < n:
+        v = "".join(rnd.choice(words).title() for _ in range(24))
+        made.add(v[: rnd.randint(low, high)])
+    return made
+
+
+def test_the_vocabulary_follows_the_texts_and_is_bounded(spark):
+    texts = ["common word, HTTPServer seenOnce" + ("x" * 30), "common word fooBarBaz", "common fooBarBaz_bar1", "common", None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = S.vocabulary(docs, slots=1_000)
+    share = {w: got.count(w) for w in set(got)}
+    # (text, word) pairs of words in two texts: common 4, word 2, foo 2, bar 2, baz 2
+    assert set(share) == {"common", "word", "foo", "bar", "baz"} and abs(len(got) - 1_000) <= len(share)
+    assert abs(share["common"] - 4_000 / 12) <= 1 and abs(share["baz"] - 2_000 / 12) <= 1
+    assert S.vocabulary(docs, slots=1_000) == got
+    assert S.vocabulary(docs.limit(0)) == [] and S.known(spark, []).count() == 0
+
+
+def test_made_strings_have_every_class_and_length(spark):
+    rows = S.known(spark, ["alpha", "bed", "gamma"], 20).collect()
+    assert len(rows) == S.SHAPES * len(S.SIZES) * 20 and {r["shape"] for r in rows} == set(range(S.SHAPES))
+    for low, high in S.SIZES:
+        assert sum(low <= len(r["value"]) <= high for r in rows) == S.SHAPES * 20
 
 
 def test_few_secrets_among_many_identifiers_are_found(spark):
     rnd = random.Random(31)
-    names = ["Amber", "Basket", "Cobalt", "Dragon", "Engine", "Falcon", "Garnet", "Harbor", "Island", "Jacket", "Kettle", "Lantern"]
-    plain = {"".join(rnd.choice(names) for _ in range(9))[: rnd.randint(34, 44)] for _ in range(400)}
-    secrets = {"".join(rnd.choice(S.ENCODINGS["base62"][1]) for _ in range(40)) for _ in range(5)}
-    got = claimed(spark, plain | secrets)
+    plain, secrets = identifiers(rnd, NAMES, 400, 34, 44), {secret(rnd) for _ in range(5)}
+    got = claimed(spark, plain | secrets, null_of(spark, plain | secrets))
     assert len(got & secrets) >= 4 and len(got - secrets) <= 1
 
 
-def test_a_class_of_identifiers_claims_nothing_and_one_secret_is_enough(spark):
-    made = [r["value"] for r in S.known(spark).where("length(value) between 16 and 22 and value rlike '^[A-Z][a-z]+[A-Z][A-Za-z]*$'").collect()]
-    words = S.battery(spark.createDataFrame([(v,) for v in made], "value string")).where("encoding = 'base62'").collect()
-    weak = {r["value"] for r in words if r["p_value"] < 0.5} | {max(words, key=lambda r: r["p_value"])["value"]}  # one above 1/2
-    assert max(r["p_value"] for r in words) > 0.5 and not claimed(spark, weak)
+def test_identifiers_of_words_seen_nowhere_else_claim_next_to_nothing(spark):
+    rnd = random.Random(41)
+    plain = set().union(*[identifiers(rnd, FOREIGN, 1_300, low, high) for low, high in ((16, 22), (23, 31), (32, 45), (46, 63))])
+    null = null_of(spark, plain)
+    assert len(claimed(spark, plain, null)) <= 5  # of 5,200
+    for low, high in ((23, 31), (32, 45), (46, 63)):
+        secrets = {secret(rnd, rnd.randint(low, high)) for _ in range(130)}
+        got = claimed(spark, {v for v in plain if low <= len(v) <= high} | secrets, null)
+        assert len(got - secrets) <= 0.1 * len(got) + 1, (low, len(got - secrets))
+        assert len(got & secrets) >= (0.4 if low == 23 else 0.8) * len(secrets), (low, len(got & secrets))
+
+
+def test_one_secret_is_enough_and_a_corpus_without_words_claims_nothing(spark):
     rnd = random.Random(37)
-    many = ["".join(rnd.choice(S.ENCODINGS["base62"][1]) for _ in range(40)) for _ in range(60)]
-    one = next(r["value"] for r in S.battery(spark.createDataFrame([(v,) for v in many], "value string")).collect() if 0.2 < r["p_value"] < 0.4)
-    assert claimed(spark, [one]) == {one}
+    many = S.battery(spark.createDataFrame([(secret(rnd),) for _ in range(60)], "value string")).collect()
+    one = next(r["value"] for r in many if 0.2 < r["p_value"] < 0.4)
+    assert claimed(spark, [one], null_of(spark, [" ".join(FOREIGN)] * 2)) == {one}
+    assert not claimed(spark, [one], null_of(spark, [one]))
+
+
+def test_claims_equal_a_plain_count(spark):
+    """Cut, shares and claims by hand from the p-values."""
+    rnd = random.Random(43)
+    made = S.known(spark, FOREIGN)
+    null = S.shares(made)
+    values = identifiers(rnd, FOREIGN, 300, 17, 60) | {secret(rnd, rnd.randint(17, 60)) for _ in range(60)}
+    cls = lambda r: (r["encoding"], min(S.LONGEST, max(8, math.floor(2 * math.log2(r["n_symbols"])))))
+    worst = defaultdict(list)
+    for r in S.battery(made).collect():
+        worst[(*cls(r), r["shape"])].append(r["p_value"])
+    tested = S.battery(spark.createDataFrame([(v,) for v in values], "value string")).collect()
+    want = set()
+    for c in {cls(r) for r in tested}:
+        own = [r for r in tested if cls(r) == c]
+        shapes = [p for k, p in worst.items() if k[:2] == c and len(p) >= S.EACH // 10]
+        for cut in S.CUTS if shapes else []:
+            share = max((sum(x >= cut for x in p) + 1) / (len(p) + 1) for p in shapes)
+            above = [r["value"] for r in own if r["p_value"] >= cut]
+            if above and len(own) * share <= 0.1 * len(above):
+                want |= set(above)
+                break
+    assert claimed(spark, values, null) == want and want

@@ -12,11 +12,14 @@ ask whether its symbols look uniform:
 
 Fisher's method combines the three to one p-value, uniform for random strings and near 0 for words and identifiers.
 Claims are controlled per encoding and length class (half doublings), since short strings tell less.  How often a string
-that is no secret gets a p-value above a cut was counted on strings known to be none (KNOWN): ``known`` makes them from a fixed
-list of words and from numbers, in the shapes of identifiers, paths and headings.  At a cut at most (candidates of the class) times
+that is no secret gets a p-value above a cut is counted on strings made of the corpus' own words (``vocabulary``: the words of
+all texts, in proportion to the number of texts that hold them), put together in the SHAPES of identifiers, paths and headings
+(``known``).  Of the shapes of a class the one that reaches a cut most often counts, with one string more than were seen, (m + 1) / (n + 1),
+so a cut that no string reached is not taken for one that none can reach.  At a cut at most (candidates of the class) times
 that share are false; a class takes the lowest cut at which they are at most ``fdr`` of what lies above, and claims nothing
-where no cut is.  Nothing is estimated from the candidates, so one candidate is judged like one of many;
-classes of 64 symbols and more take the shares of 64 to 127.
+where no cut is.  The shares do not depend on the candidates' p-values; the number of made strings is fixed (EACH per shape and
+length class), so the rule is the same for a corpus of any size.  A class with over fdr * EACH candidates for each
+that lies above its cuts claims nothing, and so does a corpus in which no word is in two texts.
 
 Places are code points.  Spans are rows (one per match) until they are put together per document.  Defined cases: null text
 is empty; a null id is an id; repeated rows get equal results; of claimed runs that lie in one another the
@@ -57,49 +60,13 @@ ENCODINGS = {
 }
 #: Cuts of the p-value, lowest first.
 CUTS = [1e-4, 1e-3, 5e-3, 0.01, 0.02, *[i / 20 for i in range(1, 20)]]
-#: (encoding, length class) -> how many ``known`` strings there are and how many reach each cut (no more from the end of the list on).
-KNOWN = {
-    ("base32", 8): (150, [145, 138, 128, 122, 112, 90, 65, 57, 48, 37, 26, 21, 17, 14, 10, 7, 3, 3, 2, 2, 2, 2, 2, 1]),
-    ("base32", 9): (150, [140, 113, 85, 66, 55, 39, 23, 15, 9, 6, 3, 2, 1]),
-    ("base32", 10): (150, [100, 70, 37, 30, 20, 8, 3, 1]),
-    ("base32", 11): (150, [44, 14, 8, 3, 3]),
-    ("base32", 12): (150, []),
-    ("base62", 8): (600, [365, 252, 152, 125, 91, 58, 36, 24, 20, 19, 13, 11, 10, 9, 7, 5, 3, 3, 3, 2]),
-    ("base62", 9): (600, [197, 86, 40, 27, 20, 12, 7, 1, 1]),
-    ("base62", 10): (600, [24, 5, 2, 2, 1]),
-    ("base62", 11): (600, []),
-    ("base62", 12): (600, []),
-    ("base64", 8): (450, [355, 297, 225, 197, 165, 121, 90, 59, 45, 32, 26, 23, 20, 12, 6, 3]),
-    ("base64", 9): (450, [169, 110, 64, 46, 30, 15, 6]),
-    ("base64", 10): (450, [16, 3, 2]),
-    ("base64", 11): (450, []),
-    ("base64", 12): (450, []),
-    ("base64url", 8): (600, [467, 356, 269, 228, 172, 113, 61, 39, 31, 21, 14, 12, 6, 5, 4, 3, 2, 2, 2, 1]),
-    ("base64url", 9): (600, [207, 97, 40, 23, 11, 4]),
-    ("base64url", 10): (600, [1]),
-    ("base64url", 11): (600, []),
-    ("base64url", 12): (600, []),
-    ("hex", 8): (300, [146, 138, 116, 106, 91, 57, 30, 21, 12, 8, 5, 4, 3, 1, 1, 1]),
-    ("hex", 9): (300, [135, 113, 89, 68, 52, 30, 14, 5, 2, 1, 1, 1]),
-    ("hex", 10): (300, [101, 62, 25, 11, 2]),
-    ("hex", 11): (300, [27, 6]),
-    ("hex", 12): (300, [4]),
-}
 LONGEST = 12  # half doublings: the class of 64 symbols and more
-WORDS = """about account active address admin after album archive article asset author backup banner before between billing blog book border
-bottom bridge browser budget build button cache calendar camera center change channel chapter client cloud cluster color column comment company
-config contact content context counter country course create customer daily data default delete deploy design detail device digital document
-domain download editor email engine english error event example export factory feature field figure file filter final folder footer form
-forward frame garden general global group guide handler header health history home image import index info input install item journal
-kernel label language large layout letter library light limit list local login machine main manager market master media member memory menu
-message method mobile model module monitor music name network news node normal notice number object offer office online option order
-output owner package page panel parent partner password path payment people photo place player policy post price print privacy process
-product profile project public quality query random reader record region release remove report request result return review right river
-route sample school screen script search section secure select series server service session setting shadow shared shop simple single site
-size source space special sport staff standard start state station status stock storage store stream street string style subject summary
-support system table target task team template test text theme thread ticket time title token tool topic total tour track trade traffic
-travel type union unit update upload user value vector version video view wall water weather week width window winter word world yellow zone""".split()
-HEX_WORDS = "abad ace added bad bead beef cab cafe dad dead deaf decade decaf deed face facade fade fed feed ad be".split()
+#: A word, alone or as a part of an identifier.
+WORD = "(?:[A-Z]|(?<![A-Za-z])[a-z])[a-z]{2,14}+(?![a-z])"
+SLOTS = 2_000  # words that made strings draw from, a word as often as its share of the corpus asks
+EACH = 1_000  # made strings per shape and length class
+SIZES = [(16, 22), (23, 31), (32, 45), (46, 63), (64, 127)]
+SHAPES = 14
 
 
 def _found(text: Column, kind: int, pattern: str, group: int) -> Column:
@@ -192,29 +159,43 @@ def battery(rows: DataFrame, value: str = "value") -> DataFrame:
     return df.drop("__s", "__k", "__a", "__sq", "__w", "__p1", "__p2", "__p3", "__h")
 
 
-def known(spark: SparkSession, each: int = 150) -> DataFrame:
-    """(value): strings that are no secrets, ``each`` of every shape and length class; KNOWN holds what ``battery`` says of them."""
-    shapes = 14
-    classes = [(16, 22), (23, 31), (32, 45), (46, 63), (64, 127)]
-    rows = spark.range(shapes * len(classes) * each)
-    shape, nth = F.pmod(F.col("id"), F.lit(shapes)), F.floor(F.col("id") / shapes) % len(classes)
-    lows, highs = F.array(*[F.lit(a) for a, _ in classes]), F.array(*[F.lit(b) for _, b in classes])
+def vocabulary(docs: DataFrame, text: str = "text", slots: int = SLOTS) -> list[str]:
+    """About ``slots`` words: each one's place count is its share of all (text, word) pairs times ``slots``, rounded up or down by its hash.
+
+    Every text counts, whole; words of one text only do not, as random strings hold such.
+    """
+    words = F.array_distinct(F.transform(F.regexp_extract_all(text_of(text), F.lit(WORD), F.lit(0)), F.lower))
+    counts = stored(docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n >= 2"))
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
+        return []
+    luck = F.pmod(F.xxhash64(F.lit(5), "w"), F.lit(1 << 30)) / (1 << 30)
+    places = counts.select("w", F.floor(F.col("n") * slots / total + luck).alias("k")).where("k >= 1")
+    return [r["w"] for r in places.orderBy("w").collect() for _ in range(r["k"])]  # ``slots`` on average, whatever the corpus
+
+
+def known(spark: SparkSession, words: list[str], each: int = EACH) -> DataFrame:
+    """(value, shape): strings of ``words`` that are no secrets, ``each`` of every shape and length class; none without words."""
+    rows = spark.range(SHAPES * len(SIZES) * each if words else 0)
+    shape, nth = F.pmod(F.col("id"), F.lit(SHAPES)), F.floor(F.col("id") / SHAPES) % len(SIZES)
+    lows, highs = F.array(*[F.lit(a) for a, _ in SIZES]), F.array(*[F.lit(b) for _, b in SIZES])
     size = F.get(lows, nth.cast("int")) + F.pmod(F.xxhash64("id"), F.get(highs, nth.cast("int")) - F.get(lows, nth.cast("int")) + 1).cast("int")
     rows = rows.select("id", shape.cast("int").alias("shape"), size.alias("size"))
     draw = lambda i, n: F.pmod(F.xxhash64(F.lit(17), "id", i), F.lit(n)).cast("int")
-    names, hexes = F.split(F.lit(" ".join(WORDS)), " "), F.split(F.lit(" ".join(HEX_WORDS)), " ")
-    steps = F.sequence(F.lit(0), F.lit(63))
+    hexes = [w for w in words if not w.strip("abcdef")] or ["0"]
+    names, hexes_ = F.split(F.lit(" ".join(words)), " "), F.split(F.lit(" ".join(hexes)), " ")
+    steps = F.sequence(F.lit(0), F.lit(42))  # of three letters or more each
     joined = lambda fn, by="": F.array_join(F.transform(steps, fn), by)
-    lower, title = lambda i: F.get(names, draw(i, len(WORDS))), lambda i: F.initcap(F.get(names, draw(i, len(WORDS))))
+    lower, title = lambda i: F.get(names, draw(i, len(words))), lambda i: F.initcap(F.get(names, draw(i, len(words))))
     number = lambda i: draw(-i - 1, 1000).cast("string")
     made = [
         joined(lower), joined(title), joined(lambda i: F.concat(lower(i), number(i))), joined(lambda i: F.concat(title(i), number(i))),
         joined(lower, "_"), joined(lower, "-"), joined(lambda i: F.concat_ws("-", title(i), number(i)), "-"), F.upper(joined(lower, "_")),
         joined(lower, "/"), joined(title, "/"), joined(lambda i: F.concat_ws("/", lower(i), number(i)), "/"),
-        F.upper(joined(lower)), joined(lambda i: draw(i, 10).cast("string")), joined(lambda i: F.get(hexes, draw(i, len(HEX_WORDS)))),
+        F.upper(joined(lower)), F.repeat(joined(lambda i: draw(i, 10).cast("string")), F.lit(3)), joined(lambda i: F.concat(F.get(hexes_, draw(i, len(hexes))), number(i))),
     ]
     value = F.coalesce(*[F.when(F.col("shape") == k, F.substring(m, F.lit(1), F.col("size"))) for k, m in enumerate(made)])
-    return rows.select(value.alias("value"))
+    return rows.select(value.alias("value"), "shape")
 
 
 def _class() -> Column:
@@ -222,13 +203,23 @@ def _class() -> Column:
     return F.least(F.lit(LONGEST), F.floor(2 * F.log2(F.col("n_symbols").cast("double"))).cast("int"))
 
 
-def claim(tested: DataFrame, fdr: float = 0.1) -> DataFrame:
-    """The rows of ``tested`` that are claimed as secrets, by the shares of known strings per encoding and length class."""
-    above = F.array(*[F.count_if(F.col("p_value") >= c) for c in CUTS]).alias("__above")
+def _above() -> Column:
+    return F.array(*[F.count_if(F.col("p_value") >= c) for c in CUTS]).alias("__above")
+
+
+def shares(made: DataFrame, each: int = EACH) -> DataFrame:
+    """(encoding, __len, __f): per class the share of strings that are no secrets at or above every cut, by its worst shape."""
+    per = battery(made).groupBy("encoding", _class().alias("__len"), "shape").agg(F.count("*").alias("n"), _above())
+    per = per.where(F.col("n") >= each // 10)  # a shape is of the encodings that a tenth of its strings fit
+    worst = [F.max((F.get("__above", F.lit(i)) + 1) / (F.col("n") + 1)) for i in range(len(CUTS))]
+    return stored(per.groupBy("encoding", "__len").agg(F.array(*worst).alias("__f")))
+
+
+def claim(tested: DataFrame, null: DataFrame, fdr: float = 0.1) -> DataFrame:
+    """The rows of ``tested`` that are claimed as secrets, by the ``shares`` of strings that are none."""
     df = stored(tested).withColumn("__len", F.greatest(F.lit(8), _class()))  # shorter ones than the candidates' least length are judged like those
-    hist = stored(df.groupBy("encoding", "__len").agg(F.count("*").alias("n"), above))  # encodings times classes of length
-    shares = F.create_map(*[F.lit(x) for (enc, size), (n, k) in KNOWN.items() for x in (f"{enc} {size}", [m / n for m in k] + [0.0] * (len(CUTS) - len(k)))])
-    hist = hist.withColumn("__f", F.element_at(shares, F.concat_ws(" ", "encoding", "__len")))
+    hist = df.groupBy("encoding", "__len").agg(F.count("*").alias("n"), _above())  # encodings times classes of length
+    hist = hist.join(null, ["encoding", "__len"])
     passes = lambda x: (x["__above"] > 0) & (F.col("n") * x["__f"] <= fdr * x["__above"])
     cut = F.array_min(F.transform(F.arrays_zip("__above", "__f", F.lit(CUTS).alias("c")), lambda x: F.when(passes(x), x["c"])))
     cuts = stored(hist.select("encoding", "__len", cut.alias("__cut")))  # no cut is null, which no p-value reaches
@@ -245,7 +236,8 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", fdr: float =
     """(__id, __th, kind, start, end): base spans and claimed ones; __th is the hash of the text."""
     found = stored(matches(docs, key, text))  # the matches alone, not the texts
     cols = ["__id", "__th", "kind", "start", "end"]
-    claimed = outermost(claim(battery(found.where(F.col("kind") == 3)).drop("value"), fdr).select(cols))
+    null = shares(known(docs.sparkSession, vocabulary(docs, text)))
+    claimed = outermost(claim(battery(found.where(F.col("kind") == 3)).drop("value"), null, fdr).select(cols))
     return found.where(F.col("kind") < 3).select(cols).unionByName(claimed.select(cols))
 
 
