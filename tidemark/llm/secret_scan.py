@@ -195,7 +195,7 @@ def known(spark: SparkSession, words: list[str], each: int = EACH) -> DataFrame:
         F.upper(joined(lower)), F.repeat(joined(lambda i: draw(i, 10).cast("string")), F.lit(3)), joined(lambda i: F.concat(F.get(hexes_, draw(i, len(hexes))), number(i))),
     ]
     value = F.coalesce(*[F.when(F.col("shape") == k, F.substring(m, F.lit(1), F.col("size"))) for k, m in enumerate(made)])
-    return rows.select(value.alias("value"), "shape")
+    return stored(rows.select(value.alias("value"), "shape"))  # so that no later plan holds the words
 
 
 def _class() -> Column:
