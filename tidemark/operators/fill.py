@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timefn import epoch_micros
 from ..plans.ordered import DEFAULT_CARRY_ROWS, carry_present, with_time_buckets
 from ..session import DRIVERS, IDX, PRICE, SERIES, TS
 
@@ -39,12 +38,14 @@ def fill_time_linear(
         # only a bucket monotone in time is needed, not a dense position
         d = with_time_buckets(df, ts, keys, carry_rows, "_fb")
         d = carry_present(d, cols, ts, keys, "_fb", bucket_rows=1).drop("_fb")
-    t = epoch_micros(ts)
+    t = F.col(ts).cast("timestamp_ntz")
     for c in cols:
         p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
-        pt, nt = epoch_micros(p["t"]), epoch_micros(n["t"])
+        pt, nt = p["t"].cast("timestamp_ntz"), n["t"].cast("timestamp_ntz")
         pv, nv = p["v"], n["v"]
-        blend = (nv - pv) / (nt - pt).cast("double") * (t - pt).cast("double") + pv
+        # a difference of stamps costs far more than the rest: two a row
+        span, past = F.timestamp_diff("MICROSECOND", pt, nt), F.timestamp_diff("MICROSECOND", pt, t)
+        blend = (nv - pv) / span.cast("double") * past.cast("double") + pv
         filled = (
             F.when(F.col(c).isNotNull(), F.col(c))
             .when(p.isNull(), nv)

@@ -104,15 +104,20 @@ def with_halo(df: DataFrame, back: int, fwd: int, bucket_rows: int, idx: str = I
         raise ValueError("bucket_rows must be at least the frame reach")
     b = F.floor(F.col(idx) / F.lit(bucket_rows)).cast("long")
     r = F.pmod(F.col(idx), F.lit(bucket_rows))
-    cands = [F.struct(b.alias("b"), F.lit(False).alias("h"))]
-    if back > 0:
-        cands.append(F.when(r >= bucket_rows - back, F.struct((b + 1).alias("b"), F.lit(True).alias("h"))))
-    if fwd > 0:
-        cands.append(F.when(r < fwd, F.struct((b - 1).alias("b"), F.lit(True).alias("h"))))
-    if len(cands) == 1:
+    if back <= 0 and fwd <= 0:
         return df.withColumn(BUCKET, b).withColumn(HALO, F.lit(False))
-    placed = F.explode(F.filter(F.array(*cands), lambda x: x.isNotNull())).alias("_hb")
-    return df.select("*", placed).select("*", F.col("_hb.b").alias(BUCKET), F.col("_hb.h").alias(HALO)).drop("_hb")
+    # the offsets of the buckets that hold a row, as one of at most four constant arrays: none is built per row
+    offsets = lambda *more: F.array(*[F.lit(k).cast("long") for k in (0, *more)])
+    late, early = r >= bucket_rows - back, r < fwd
+    place = offsets()
+    if fwd > 0:
+        place = F.when(early, offsets(-1)).otherwise(place)
+    if back > 0:
+        place = F.when(late, offsets(1)).otherwise(place)
+    if back > 0 and fwd > 0:
+        place = F.when(late & early, offsets(1, -1)).otherwise(place)
+    placed = df.select("*", b.alias("_hb"), F.explode(place).alias("_ho"))
+    return placed.select("*", (F.col("_hb") + F.col("_ho")).alias(BUCKET), (F.col("_ho") != 0).alias(HALO)).drop("_hb", "_ho")
 
 
 def drop_halo(df: DataFrame) -> DataFrame:
@@ -142,15 +147,15 @@ def carry_present(
     """
     b = F.floor(F.col(idx) / F.lit(bucket_rows)).cast("long")
     d = df.withColumn(BUCKET, b)
-    w_up = Window.partitionBy(*keys, BUCKET).orderBy(F.col(time_col).asc()).rowsBetween(Window.unboundedPreceding, 0)
-    w_dn = Window.partitionBy(*keys, BUCKET).orderBy(F.col(time_col).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    sel = []
-    aggs = []
-    for c in cols:
-        present = F.when(F.col(c).isNotNull(), F.struct(F.col(time_col).alias("t"), F.col(c).alias("v")))
-        d = d.withColumn(f"_pin_{c}", F.last(present, True).over(w_up))
-        d = d.withColumn(f"_nin_{c}", F.last(present, True).over(w_dn))
+    order = Window.partitionBy(*keys, BUCKET).orderBy(F.col(time_col).asc())
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    aggs, found = [], []
+    for i, c in enumerate(cols):
         key_i = F.when(F.col(c).isNotNull(), F.col(time_col))
+        d = d.withColumn(f"_pt{i}", key_i).withColumn(f"_pv{i}", F.col(c))
+        # one order serves both sides, and plain columns (no struct) keep the running state small
+        found += [F.last(f"_p{x}{i}", True).over(so_far).alias(f"_in_p{x}{i}") for x in "tv"]
+        found += [F.call_function("lead", F.col(f"_p{x}{i}"), F.lit(1), F.lit(None), F.lit(True)).over(order).alias(f"_in_n{x}{i}") for x in "tv"]
         # fixed-width buffers (no struct) keep this a hash aggregation
         aggs += [
             F.max(key_i).alias(f"_blt_{c}"),
@@ -158,7 +163,7 @@ def carry_present(
             F.min(key_i).alias(f"_bft_{c}"),
             F.min_by(F.col(c), key_i).alias(f"_bfv_{c}"),
         ]
-        sel.append(c)
+    d = d.select("*", *found)
     per_bucket = df.withColumn(BUCKET, b).groupBy(*keys, BUCKET).agg(*aggs)
     for c in cols:
         per_bucket = per_bucket.select(
@@ -174,10 +179,12 @@ def carry_present(
         per_bucket = per_bucket.withColumn(f"_cn_{c}", F.last(f"_bf_{c}", True).over(wb_dn))
         carry_cols += [f"_cp_{c}", f"_cn_{c}"]
     out = d.join(per_bucket.select(*keys, BUCKET, *carry_cols), [*keys, BUCKET], "left")
-    for c in cols:
-        out = out.withColumn(f"_p_{c}", F.coalesce(F.col(f"_pin_{c}"), F.col(f"_cp_{c}")))
-        out = out.withColumn(f"_n_{c}", F.coalesce(F.col(f"_nin_{c}"), F.col(f"_cn_{c}")))
-        out = out.drop(f"_pin_{c}", f"_nin_{c}", f"_cp_{c}", f"_cn_{c}")
+    point = lambda t, v: F.struct(F.col(t).alias("t"), F.col(v).alias("v"))
+    for i, c in enumerate(cols):
+        before = F.when(F.col(f"_in_pv{i}").isNotNull(), point(f"_in_pt{i}", f"_in_pv{i}")).otherwise(F.col(f"_cp_{c}"))
+        after = F.when(F.col(f"_in_nv{i}").isNotNull(), point(f"_in_nt{i}", f"_in_nv{i}")).otherwise(F.col(f"_cn_{c}"))
+        out = out.withColumn(f"_p_{c}", before).withColumn(f"_n_{c}", F.when(F.col(c).isNotNull(), point(time_col, c)).otherwise(after))
+        out = out.drop(f"_cp_{c}", f"_cn_{c}", *[f"_{x}{i}" for x in ("pt", "pv", "in_pt", "in_pv", "in_nt", "in_nv")])
     return out.drop(BUCKET)
 
 

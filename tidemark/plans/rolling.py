@@ -9,10 +9,10 @@ Two physical methods give the same numbers:
 * ``frame``: Spark's sliding frame.  Spark re-aggregates the frame for each
   row, O(k) per row; fine for short frames.
 * ``ladder``: O(log k) per row.  A unit frame (the largest common divisor of the frame lengths up to
-  ``UNIT_MAX`` rows) is a sliding frame; each rung doubles the one below by merging a row's value with that of
-  the row one rung length before; a frame is the merge of the rungs in its length's binary form, or for min and max of
-  the two overlapping halves.  A rung holds count, mean, sum of squared deviations, min and max, merged with the
-  parallel-variance formula, so nothing is ever subtracted: precision is that of a direct frame
+  ``UNIT_MAX`` rows) is a sliding frame; each rung merges ``RADIX`` of the one below, a row's own and those of
+  the rows one and more rung lengths before; a frame is the merge of the rungs in its length's form to the base ``RADIX``.
+  A rung holds count, mean, sum of squared deviations, min and max, merged with the
+  parallel-variance formula, so no sum is ever subtracted: precision is that of a direct frame
   aggregate, whatever a series holds elsewhere.  All of it - lags too - is ``lag`` over one
   ``(series_id, bucket) order by idx``, so rows are sorted once for all columns and lengths.
 
@@ -56,7 +56,9 @@ class Roll:
 
 # ``auto``: Spark's frame where no frame of the column is longer, the ladder beyond.
 FRAME_MAX = 64
-UNIT_MAX = 32
+UNIT_MAX = 8
+# Rungs that the next one is made of.  With more, the generated method of a step outgrows the 8,000 bytes that the JVM compiles.
+RADIX = 3
 
 
 def ordered_features(
@@ -88,7 +90,9 @@ def ordered_features(
         for r in rolls if not by_ladder(r) for stat, out in r.outs
     ]
     lagged = [F.lag(lg.col, lg.k).over(w).alias(lg.out) for lg in lags]
-    d = _ladder(d, [r for r in rolls if by_ladder(r)], w, [*lagged, *frames])
+    # lags and frames come after the ladder: a window step between its merges and the caller's columns keeps the generated
+    # method of either short enough to be compiled
+    d = _ladder(d, [r for r in rolls if by_ladder(r)], w).select("*", *lagged, *frames)
     if post_lags:
         d = d.select("*", *[F.lag(lg.col, lg.k).over(w).alias(lg.out) for lg in post_lags])
     return drop_halo(d)
@@ -110,88 +114,118 @@ def _frame_stat(stat: str, c, ddof: int):
     raise ValueError(stat)
 
 
-def _ladder(d: DataFrame, rolls: Sequence[Roll], w: WindowSpec, also: Sequence[Column]) -> DataFrame:
-    """``d`` with the columns ``also`` and those of ``rolls``, the latter merged from doubled rungs.
+def _ladder(d: DataFrame, rolls: Sequence[Roll], w: WindowSpec) -> DataFrame:
+    """``d`` with the columns of ``rolls``, merged from rungs.
 
-    One window step per rung: it looks up the rung before (to double it) and the pieces of that length that frames need;
-    the merges follow at once, so an expression never holds more than one merge.
+    One window step per rung: it looks up the rungs before that make the next one and those that the frames need; the merges
+    follow at once.  The statistics lie in plain columns (``_r<column>_<part>``, ``_f<frame>_<part>``), for a lag copies a plain
+    number much faster than a struct.
     """
+    cols = list(dict.fromkeys(r.col for r in rolls))
     units: dict[str, int] = {}
-    for c in dict.fromkeys(r.col for r in rolls):
+    for c in cols:
         common = reduce(gcd, [r.k for r in rolls if r.col == c])
         units[c] = max(u for u in range(1, min(common, UNIT_MAX) + 1) if common % u == 0)
-    top = {c: max(r.k // u for r in rolls if r.col == c).bit_length() - 1 for c, u in units.items()}
-    rung = lambda c: f"_rung_{c}"
-    d = d.select("*", *also, *[_unit(c, u, w).alias(rung(c)) for c, u in units.items()])
-    given = [c for c in d.columns if c not in {rung(c) for c in units}]
-    frames = {i: f"_frame{i}" for i, r in enumerate(rolls) if any(stat not in ("min", "max") for stat, _ in r.outs)}
-    halves = {i: f"_half{i}" for i, r in enumerate(rolls) if any(stat in ("min", "max") for stat, _ in r.outs)}
-    reach = dict.fromkeys(frames, 0)  # rows that a frame holds so far, from the row itself backwards
+    parts = {c: _parts({stat for r in rolls if r.col == c for stat, _ in r.outs}) for c in cols}
+    rung = {c: f"_r{j}" for j, c in enumerate(cols)}
+    kept = d.columns
+    d = d.select("*", *[e.alias(f"{rung[c]}_{p}") for c in cols for p, e in _unit(c, units[c], w, parts[c]).items()])
+    digits = [_digits(r.k // units[r.col]) for r in rolls]
+    top = {c: max(len(digits[i]) for i, r in enumerate(rolls) if r.col == c) - 1 for c in cols}
+    reach = [0] * len(rolls)  # rows that a frame holds so far, from the row itself backwards
     for level in range(max([-1, *top.values()]) + 1):
-        seen = []
-        for c, u in units.items():
+        at = lambda c, back: f"{rung[c]}_at{back}" if back else rung[c]
+        merged: dict[str, tuple[str, list[str]]] = {}  # what the step makes: column and the pieces
+        looked: dict[tuple[str, int], None] = {}
+        for c in cols:
             if level < top[c]:
-                seen.append(F.lag(rung(c), u << level).over(w).alias(f"_before_{c}"))
+                steps = [j * units[c] * RADIX**level for j in range(RADIX)]
+                merged[f"_up_{rung[c]}"] = c, [at(c, back) for back in steps]
+                looked |= dict.fromkeys((c, back) for back in steps if back)
         for i, r in enumerate(rolls):
-            u, highest = units[r.col], (r.k // units[r.col]).bit_length() - 1
-            if i in frames and (r.k // u) >> level & 1:
-                seen.append((F.lag(rung(r.col), reach[i]).over(w) if reach[i] else F.col(rung(r.col))).alias(f"_piece{i}"))
-            if i in halves and level == highest:  # this rung, and the same rung so many rows before, cover the frame
-                over = r.k - (u << level)
-                seen.append((F.lag(rung(r.col), over).over(w) if over else F.col(rung(r.col))).alias(f"_over{i}"))
-        d = d.select("*", *seen)
-        new = {}
-        for c in units:
-            if level < top[c]:
-                new[rung(c)] = _merge(F.col(f"_before_{c}"), F.col(rung(c)))
+            own = digits[i][level] if level < len(digits[i]) else 0
+            length = units[r.col] * RADIX**level
+            steps = [reach[i] + j * length for j in range(own)]
+            if steps:
+                before = [f"_f{i}"] if reach[i] else []
+                merged[f"_new_f{i}"] = r.col, before + [at(r.col, back) for back in steps]
+                looked |= dict.fromkeys((r.col, back) for back in steps if back)
+                reach[i] += own * length
+        d = d.select("*", *[F.lag(f"{rung[c]}_{p}", back).over(w).alias(f"{at(c, back)}_{p}") for c, back in looked for p in parts[c]])
+        d = _merge(d, merged, parts)
+        stay = [x for x in d.columns if x in kept]
         for i, r in enumerate(rolls):
-            if f"_piece{i}" in d.columns:
-                new[frames[i]] = _merge(F.col(f"_piece{i}"), F.col(frames[i])) if reach[i] else F.col(f"_piece{i}")
-                reach[i] += units[r.col] << level
-            if f"_over{i}" in d.columns:
-                ends, starts = F.col(rung(r.col)), F.col(f"_over{i}")
-                new[halves[i]] = F.struct(F.least(starts["lo"], ends["lo"]).alias("lo"), F.greatest(starts["hi"], ends["hi"]).alias("hi"))
-        stay = [c for c in [*given, *[rung(c) for c in units if level < top[c]], *frames.values(), *halves.values()] if c in d.columns and c not in new]
-        d = d.select(*stay, *[e.alias(name) for name, e in new.items()])
-    results = [
-        _ladder_stat(stat, r.ddof, F.col(halves[i] if stat in ("min", "max") else frames[i])).alias(name)
-        for i, r in enumerate(rolls) for stat, name in r.outs
-    ]
-    return d.select(*given, *results)
+            name = f"_new_f{i}" if f"_new_f{i}" in merged else f"_f{i}"
+            stay += [F.col(f"{name}_{p}").alias(f"_f{i}_{p}") for p in parts[r.col] if reach[i]]
+        stay += [F.col(f"_up_{rung[c]}_{p}").alias(f"{rung[c]}_{p}") for c in cols if level < top[c] for p in parts[c]]
+        d = d.select(*stay)
+    return d.select(*kept, *[_ladder_stat(stat, r.ddof, f"_f{i}").alias(name) for i, r in enumerate(rolls) for stat, name in r.outs])
 
 
-def _unit(c: str, rows: int, w: WindowSpec) -> Column:
-    """Count, mean, sum of squared deviations, min and max of the last ``rows`` rows."""
-    fr = w.rowsBetween(-(rows - 1), 0)
-    x = F.col(c)
-    n = F.count(x).over(fr)
-    return F.struct(
-        n.alias("n"), F.coalesce(F.avg(x).over(fr), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.var_pop(x).over(fr) * n, F.lit(0.0)).alias("m2"), F.min(x).over(fr).alias("lo"), F.max(x).over(fr).alias("hi"),
-    )
+def _digits(n: int) -> list[int]:
+    """``n`` in base RADIX, the smallest place first."""
+    return [n % RADIX, *(_digits(n // RADIX) if n >= RADIX else [])]
+
 
+def _parts(stats: set[str]) -> list[str]:
+    """What a rung must hold for these statistics."""
+    moments = ["n", "mean"] if stats & {"mean", "std", "sum", "count"} else []
+    return moments + (["m2"] if "std" in stats else []) + [p for p, stat in (("lo", "min"), ("hi", "max")) if stat in stats]
 
-def _merge(a: Column, b: Column) -> Column:
-    """The statistics of two neighbouring frames as one; a NULL frame (before the series) has no rows."""
-    na, nb = F.coalesce(a["n"], F.lit(0)), F.coalesce(b["n"], F.lit(0))
-    n, delta = na + nb, b["mean"] - a["mean"]
-    both = F.struct(
-        n.alias("n"), (a["mean"] + delta * nb / n).alias("mean"), (a["m2"] + b["m2"] + delta * delta * na * nb / n).alias("m2"),
-        F.least(a["lo"], b["lo"]).alias("lo"), F.greatest(a["hi"], b["hi"]).alias("hi"),
-    )
-    return F.when(na == 0, b).when(nb == 0, a).otherwise(both)
+
+def _unit(c: str, rows: int, w: WindowSpec, parts: Sequence[str]) -> dict[str, Column]:
+    """Count, mean, sum of squared deviations, min and max of the last ``rows`` rows; all NULL where no value is present."""
+    x = F.col(c)
+    if rows == 1:
+        one = F.when(x.isNotNull(), F.lit(1.0))
+        return {p: {"n": one, "m2": one - 1.0}.get(p, x) for p in parts}
+    over = lambda e: e.over(w.rowsBetween(-(rows - 1), 0))
+    n = over(F.count(x)).cast("double")
+    made = {"n": F.when(n > 0, n), "mean": over(F.avg(x)), "m2": over(F.var_pop(x)) * n, "lo": over(F.min(x)), "hi": over(F.max(x))}
+    return {p: made[p] for p in parts}
 
 
-def _ladder_stat(stat: str, ddof: int, f: Column) -> Column:
+def _merge(d: DataFrame, merged: dict[str, tuple[str, list[str]]], parts: dict[str, list[str]]) -> DataFrame:
+    """Add the statistics of neighbouring frames as one, for each new name; a frame without values (or before the series)
+    is NULL and counts for nothing.
+
+    The mean is the first piece's plus weighted differences and the squares are taken about the new mean, so pieces of
+    equal means add no deviation.
+    """
+    total = lambda terms: reduce(lambda a, b: a + b, [F.coalesce(t, F.lit(0.0)) for t in terms])
+    first, second, third = [], [], []
+    for name, (c, pieces) in merged.items():
+        col = lambda p: [F.col(f"{x}_{p}") for x in pieces]  # noqa: E731, B023
+        alone = len(pieces) == 1
+        first += [(col(p)[0] if alone else (F.least if p == "lo" else F.greatest)(*col(p))).alias(f"{name}_{p}") for p in ("lo", "hi") if p in parts[c]]
+        if alone:
+            first += [col(p)[0].alias(f"{name}_{p}") for p in ("n", "mean", "m2") if p in parts[c]]
+        elif "n" in parts[c]:
+            n, mean = F.col(f"{name}_n"), F.col(f"{name}_mean")
+            first += [total(col("n")).alias(f"{name}_n0"), F.coalesce(*col("mean")).alias(f"{name}_base")]
+            base = F.col(f"{name}_base")
+            second += [F.when(F.col(f"{name}_n0") > 0, F.col(f"{name}_n0")).alias(f"{name}_n")]
+            shift = total([(m - base) * k for m, k in zip(col("mean"), col("n"), strict=True)])
+            second += [(base + shift / F.when(F.col(f"{name}_n0") > 0, F.col(f"{name}_n0"))).alias(f"{name}_mean")]
+            if "m2" in parts[c]:
+                squares = [m2 + k * (m - mean) * (m - mean) for m2, k, m in zip(col("m2"), col("n"), col("mean"), strict=True)]
+                third += [F.when(n.isNotNull(), total(squares)).alias(f"{name}_m2")]
+    for new in (first, second, third):
+        if new:
+            d = d.select("*", *new)
+    return d
+
+
+def _ladder_stat(stat: str, ddof: int, f: str) -> Column:
     if stat in ("min", "max"):
-        return f["lo" if stat == "min" else "hi"]
-    n = F.coalesce(f["n"], F.lit(0))
+        return F.col(f"{f}_lo" if stat == "min" else f"{f}_hi")
+    n = F.col(f"{f}_n")
     if stat == "count":
-        return n.cast("long")
+        return F.coalesce(n, F.lit(0.0)).cast("long")
     if stat == "mean":
-        return F.when(n > 0, f["mean"])
+        return F.col(f"{f}_mean")
     if stat == "sum":
-        return F.when(n > 0, f["mean"] * n)
+        return F.col(f"{f}_mean") * n
     if stat == "std":
-        return F.when(n > ddof, F.sqrt(f["m2"] / (n - ddof)))
+        return F.when(n > ddof, F.sqrt(F.col(f"{f}_m2") / (n - ddof)))
     raise ValueError(stat)
