@@ -72,3 +72,13 @@ def test_halo_copies_to_both_sides(spark):
     want = {(i, i // 4, False) for i in range(20)}
     want |= {(i, i // 4 + 1, True) for i in range(20) if i % 4 >= 1} | {(i, i // 4 - 1, True) for i in range(20) if i % 4 < 2}
     assert sorted(zip(got["idx"], got["_bucket"], got["_halo"])) == sorted(want)
+
+
+def test_fill_of_a_row_without_a_stamp(spark):
+    """It lies before the series and takes the first stamped value, not that of another row without a stamp."""
+    from tidemark.operators.fill import fill_time_linear
+
+    rows = "values (0, null, null), (1, null, 9.0D), (2, '2024-01-01 00:00:00', null), (3, '2024-01-01 01:00:00', 5.0D) as r(k, t, price)"
+    df = spark.sql(f"select 's' series_id, k, cast(t as timestamp_ntz) ts, price from {rows}").coalesce(1)
+    got = {r.k: r.price for r in fill_time_linear(df).collect()}
+    assert got[0] == got[3] == 5.0 and got[1] == 9.0

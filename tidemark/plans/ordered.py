@@ -152,10 +152,11 @@ def carry_present(
     aggs, found = [], []
     for i, c in enumerate(cols):
         key_i = F.when(F.col(c).isNotNull(), F.col(time_col))
-        d = d.withColumn(f"_pt{i}", key_i).withColumn(f"_pv{i}", F.col(c))
+        d = d.withColumn(f"_pt{i}", key_i).withColumn(f"_pv{i}", F.col(c)).withColumn(f"_nv{i}", F.when(F.col(time_col).isNotNull(), F.col(c)))
         # one order serves both sides, and plain columns (no struct) keep the running state small
         found += [F.last(f"_p{x}{i}", True).over(so_far).alias(f"_in_p{x}{i}") for x in "tv"]
-        found += [F.call_function("lead", F.col(f"_p{x}{i}"), F.lit(1), F.lit(None), F.lit(True)).over(order).alias(f"_in_n{x}{i}") for x in "tv"]
+        following = lambda x: F.call_function("lead", F.col(x), F.lit(1), F.lit(None), F.lit(True)).over(order)
+        found += [following(f"_pt{i}").alias(f"_in_nt{i}"), following(f"_nv{i}").alias(f"_in_nv{i}")]
         # fixed-width buffers (no struct) keep this a hash aggregation
         aggs += [
             F.max(key_i).alias(f"_blt_{c}"),
@@ -182,9 +183,12 @@ def carry_present(
     point = lambda t, v: F.struct(F.col(t).alias("t"), F.col(v).alias("v"))
     for i, c in enumerate(cols):
         before = F.when(F.col(f"_in_pv{i}").isNotNull(), point(f"_in_pt{i}", f"_in_pv{i}")).otherwise(F.col(f"_cp_{c}"))
+        # rows without a stamp lie before all others and have the same neighbour on both sides, or the first stamped one
+        unstamped = F.col(time_col).isNull() & F.col(f"_in_pv{i}").isNotNull()
         after = F.when(F.col(f"_in_nv{i}").isNotNull(), point(f"_in_nt{i}", f"_in_nv{i}")).otherwise(F.col(f"_cn_{c}"))
+        after = F.when(unstamped, point(f"_in_pt{i}", f"_in_pv{i}")).otherwise(after)
         out = out.withColumn(f"_p_{c}", before).withColumn(f"_n_{c}", F.when(F.col(c).isNotNull(), point(time_col, c)).otherwise(after))
-        out = out.drop(f"_cp_{c}", f"_cn_{c}", *[f"_{x}{i}" for x in ("pt", "pv", "in_pt", "in_pv", "in_nt", "in_nv")])
+        out = out.drop(f"_cp_{c}", f"_cn_{c}", *[f"_{x}{i}" for x in ("pt", "pv", "nv", "in_pt", "in_pv", "in_nt", "in_nv")])
     return out.drop(BUCKET)
 
 
