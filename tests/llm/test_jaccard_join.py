@@ -75,6 +75,35 @@ def test_join_in_blocks_with_few_known_long_lists(make_docs, rows, monkeypatch):
     assert got(J.linked(make_docs(rows), block_tokens=400, max_long=20)) == brute(rows)
 
 
+def test_join_with_wide_lists_and_a_full_bit_array(make_docs, rows, monkeypatch):
+    monkeypatch.setattr(J, "WIDE", 2)
+    monkeypatch.setattr(J, "_prefix", lambda s, size, known: J._in_order(s, *known[:2])[:size])  # as if every bit were set
+    assert got(J.linked(make_docs(rows))) == brute(rows)
+
+
+def test_chance_meetings_make_no_family(make_docs, prose, monkeypatch):
+    """Texts that share half of their shingles with the next one link with none, so none of them is searched."""
+    edges = []
+    components = J.components
+    monkeypatch.setattr(J, "components", lambda e: (edges.append(e.count()), components(e))[1])
+    parts = [prose(60, 9_000 + i) for i in range(41)]
+    chain = [(i, parts[i] + " " + parts[i + 1]) for i in range(40)]
+    near = [(100 + i, parts[0] + " one more " * i + parts[40]) for i in range(2)]
+    assert got(J.linked(make_docs(chain + near))) == brute(chain + near)
+    assert edges[0] == 1
+
+
+def test_marks_differ_in_no_more_bits_than_sets_in_shingles():
+    rnd = np.random.RandomState(3)
+    for n, m, common in ((1, 1, 0), (64, 65, 60), (120, 140, 110), (500, 520, 30), (1000, 1030, 1000)):
+        a = np.unique(rnd.randint(0, 2**62, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[:common], rnd.randint(0, 2**62, m - common).astype(np.uint64)]))
+        x, y = (np.frombuffer(J.marks_of(s), np.uint8) for s in (a, b))
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        assert len(x) * 8 >= min(len(a), 64) and np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_one_of_each_group_stays(make_docs, rows):
     docs = make_docs(rows)
     out = J.one_of_each(docs)

@@ -8,13 +8,18 @@ others are looked up in the long lists by binary search.  Everything is exact.
 
 Spreading the search over a cluster:
 
-1. ``doc_sets``: every text is read whole; equal sets become one node, so copies are never paired.
+1. ``doc_sets``: every text is read whole; equal sets become one node, so copies are never paired.  A set's marks are about one bit
+   a shingle: whether an odd number of its shingles falls on the bit.
 2. ``long_lists``: the list lengths of all shingles are counted; the longest lists (at most ``max_long``, a proven size) are
-   known to every task.  They only order the shingles, short lists first, and decide no result.
-3. ``families``: if all but the first n - T + 1 shingles of a set (in that order) are set aside as long, a linked set must
-   occur on one of the short lists left.  Sets that meet on such a list are in one candidate family; lists whose
-   sizes exclude a link are cut.  Families are the components of these meetings (each list gives a star, not pairs).
-4. ``search``: every family is searched by itself, many small families in a task.  A family beyond ``block_tokens``
+   known to every task, and a bit array of a fixed size says which shingles occur once only.  They only order the shingles, those of
+   one set first, then short lists before long ones, and decide no result.
+3. ``meetings``: if all but the first n - T + 1 shingles of a set (in that order) are set aside as long, a linked set must
+   occur on one of the short lists left (a shingle of one set alone has no list).  Sets that meet on such a list, and whose sizes
+   allow a link, are a pair; a list of more than ``WIDE`` such sets gives a star in place of its pairs.
+4. ``linkable``: marks differ in no more bits than the sets in shingles, so pairs whose marks differ in more bits than a link allows
+   go.  Without that, chance meetings, which grow with the square of the input, make one family of nearly all sets.  Families are
+   the components of the pairs and stars left.
+5. ``search``: every family is searched by itself, many small families in a task.  A family beyond ``block_tokens``
    is dealt out as pairs of blocks.  Only counts of links and union-find trees leave a task, never all pairs.
 
 Hashes have 64 bits for shingles and 63 for sets; a wrong result needs two of them to collide.  Merging is a counting merge of
@@ -42,6 +47,8 @@ BUCKET = 2_000_000  # hashes a counting group holds, about
 BLOCK_TOKENS = 1_000_000  # shingles a search block holds, about
 SHORT = np.uint64(16)  # lists are told apart by the upper 48 bits of a hash: enough to order and to find candidates
 FILTER_BITS = 1 << 25  # 4 MB
+ONCE_BITS = 27  # the bit array of shingles has 2^27 bits at most: 16 MB
+WIDE = 32  # sets on a list of which all pairs are made
 FEW_FAMILY_ROWS = 500_000  # rows of (node, family) that are broadcast, 24 bytes each
 
 
@@ -61,18 +68,26 @@ def _batches(batches, text: int, width: int):
         yield batch, sets_of(batch.column(text), width)
 
 
+def marks_of(s: np.ndarray) -> bytes:
+    """A bit for each value of the shingles' lowest bits, as many as the set has shingles or up to twice that (64 at least): the parity
+    of how many shingles have it."""
+    bits = 1 << max(6, (len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
 def doc_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """(doc_id, th, node, n): text hash, name and size of each document's set; node is null for an empty set."""
+    """(doc_id, th, node, n, marks): text hash, name, size and marks of each document's set; node is null for an empty set."""
 
     def run(batches):
         for batch, sets in _batches(batches, 2, width):
-            nodes, sizes = [], []
+            nodes, sizes, marks = [], [], []
             for s in sets:
                 sizes.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "th", "node", "n"])
+                marks.append(marks_of(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())], ["doc_id", "th", "node", "n", "marks"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, th long, node long, n long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, th long, node long, n long, marks binary")
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -91,9 +106,11 @@ def _cuts(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(tokens, edges), [len(tokens)]])
 
 
-def long_lists(docs: DataFrame, total: int, text: str = "text", width: int = 5, max_long: int = MAX_LONG) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles with the longest lists, sorted, and how long those are (log2); at most ``max_long``."""
+def long_lists(docs: DataFrame, total: int, text: str = "text", width: int = 5, max_long: int = MAX_LONG) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]:
+    """The shingles with the longest lists, sorted, and how long those are (log2), at most ``max_long``; bits by the upper part of a
+    shingle, and how far to shift for them: where a bit is 0, its shingles occur in one set each."""
     buckets = max(1, total // BUCKET)
+    shift = 48 - max(16, min(ONCE_BITS, (2 * total).bit_length()))
 
     def emit(batches):
         seen: set[int] = set()
@@ -124,11 +141,21 @@ def long_lists(docs: DataFrame, total: int, text: str = "text", width: int = 5,
         tokens = np.concatenate([_unplanes(x, np.uint64) for x in pdf["tokens"]])
         tokens, n = np.unique(tokens, return_counts=True)
         some = n >= LEAST_LONG
-        return pd.DataFrame({"token": tokens[some].view(np.int64), "level": np.log2(n[some]).astype(np.int32)})
+        lists = pd.DataFrame({"token": tokens[some].view(np.int64), "level": np.log2(n[some]).astype(np.int32), "bits": None})
+        at = tokens[n > 1].view(np.int64) >> shift
+        if not len(at):
+            return lists
+        first = int(at[0]) >> 3  # the bytes from the first to the last that has a bit
+        bits = np.zeros((int(at[-1]) >> 3) - first + 1 << 3, np.uint8)
+        bits[at - 8 * first] = 1
+        return pd.concat([lists, pd.DataFrame({"token": [first], "level": np.array([-1], np.int32), "bits": [np.packbits(bits, bitorder="little").tobytes()]})])
 
     blobs = docs.select(F.col(text).alias("text")).mapInArrow(emit, "bucket int, tokens binary")
-    counted = stored(blobs.groupBy("bucket").applyInPandas(count, "token long, level int"))
-    by_level = sorted(((r["level"], r["n"]) for r in counted.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 64 rows
+    counted = stored(blobs.groupBy("bucket").applyInPandas(count, "token long, level int, bits binary"))
+    twice = np.zeros(1 << 48 - shift - 3, np.uint8)
+    for r in counted.where("level < 0").select("token", "bits").coalesce(8).toLocalIterator():  # a row a bucket, no more bytes than ``twice`` has and one a row
+        twice[r["token"] : r["token"] + len(r["bits"])] |= np.frombuffer(r["bits"], np.uint8)
+    by_level = sorted(((r["level"], r["n"]) for r in counted.where("level >= 0").groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 64 rows
     level, room = 64, max_long
     for at, n in by_level:
         if n > room:
@@ -140,11 +167,11 @@ def long_lists(docs: DataFrame, total: int, text: str = "text", width: int = 5,
         if got:
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([g[i] for g in got]).astype(k).tobytes()], pa.binary()) for i, k in ((0, np.uint64), (1, np.uint8))], ["t", "l"])
 
-    rows = counted.where(F.col("level") >= level).coalesce(8).mapInArrow(pack, "t binary, l binary").collect()  # at most max_long entries of 9 bytes
+    rows = counted.where(F.col("level") >= level).select("token", "level").coalesce(8).mapInArrow(pack, "t binary, l binary").collect()  # at most max_long entries of 9 bytes
     tokens = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["t"], np.uint64) for r in rows]])
     levels = np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(r["l"], np.uint8) for r in rows]])
     order = np.argsort(tokens)
-    return tokens[order], levels[order]
+    return tokens[order], levels[order], twice, np.uint64(shift)
 
 
 def _in_order(s: np.ndarray, tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -157,16 +184,25 @@ def _in_order(s: np.ndarray, tokens: np.ndarray, levels: np.ndarray) -> np.ndarr
     return s[np.argsort(level, kind="stable")] if level.any() else s
 
 
+def _prefix(s: np.ndarray, size: int, known) -> np.ndarray:
+    """Those of a set's first ``size`` shingles that occur in other sets as well (or may): shingles of one set come first."""
+    tokens, levels, twice, shift = known
+    at = (s >> SHORT) >> shift
+    more = (twice[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    size -= len(s) - int(more.sum())
+    return _in_order(s[more], tokens, levels)[:size] if size > 0 else s[:0]
+
+
 def _value(x):
     return getattr(x, "value", x)
 
 
 def meetings(docs: DataFrame, total: int, known, text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(a, b) with a > b: sets that meet on a short list, as stars."""
+    """(a, b, star) with a > b: sets that meet on a short list, as pairs, or as stars where the list is wide."""
     buckets = max(1, total * (105 - percent) // 100 // (BUCKET // 4))
 
     def emit(batches):
-        tokens, levels = _value(known)
+        order = _value(known)
         seen: set[int] = set()
         held: list[tuple[int, int, np.ndarray]] = []
         size = 0
@@ -185,16 +221,17 @@ def meetings(docs: DataFrame, total: int, known, text: str = "text", width: int
             for s in sets:
                 if len(s) and (node := node_of(s)) not in seen:
                     seen.add(node)
-                    short = _in_order(s, tokens, levels)[: len(s) - needed(len(s), percent) + 1]
-                    held.append((node, len(s), short))
-                    size += len(short)
+                    short = _prefix(s, len(s) - needed(len(s), percent) + 1, order)
+                    if len(short):
+                        held.append((node, len(s), short))
+                        size += len(short)
                     if size >= 1_000_000:
                         yield flush()
                         held, size = [], 0
         if held:
             yield flush()
 
-    def star(pdf):
+    def meet(pdf):
         import pandas as pd
 
         t = np.concatenate([_unplanes(x, np.uint64) for x in pdf["t"]])
@@ -202,16 +239,65 @@ def meetings(docs: DataFrame, total: int, known, text: str = "text", width: int
         n = np.concatenate([_unplanes(x, np.int32) for x in pdf["n"]]).astype(np.int64)
         order = np.lexsort((node, n, t))
         t, node, n = t[order], node[order], n[order]
+        other = np.append(True, (t[1:] != t[:-1]) | (node[1:] != node[:-1]))[: len(t)]  # copies of a set come from several tasks
+        t, node, n = t[other], node[other], n[other]
         # a run: one list, or the part of it within which sizes allow links from one set to the next
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (100 * n[:-1] < percent * n[1:])
         first = np.flatnonzero(new)
-        low = np.repeat(np.minimum.reduceat(node, first), np.diff(np.append(first, len(t)))) if len(t) else node
-        pairs = np.unique(np.stack([node, low], 1)[node != low], axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        run = np.cumsum(new) - 1
+        lens = np.diff(np.append(first, len(t)))
+        wide = lens[run] > WIDE
+        low = np.minimum.reduceat(node, first)[run] if len(t) else node
+        some = wide & (node != low)
+        got = [(node[some], low[some], np.ones(int(some.sum()), bool))]
+        i = np.flatnonzero(~wide)
+        for step in range(1, WIDE):
+            i = i[i + step < len(t)]
+            i = i[run[i] == run[i + step]]
+            if not len(i):
+                break
+            j = i[100 * n[i] >= percent * n[i + step]]
+            got.append((np.maximum(node[j], node[j + step]), np.minimum(node[j], node[j + step]), np.zeros(len(j), bool)))
+        a, b, star = (np.concatenate(x) for x in zip(*got))
+        order = np.lexsort((~star, b, a))
+        a, b, star = a[order], b[order], star[order]
+        other = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+        return pd.DataFrame({"a": a[other], "b": b[other], "star": star[other]})
 
     blobs = docs.select(F.col(text).alias("text")).mapInArrow(emit, "bucket int, t binary, node binary, n binary")
-    return blobs.groupBy("bucket").applyInPandas(star, "a long, b long")
+    return blobs.groupBy("bucket").applyInPandas(meet, "a long, b long, star boolean")
+
+
+def linkable(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
+    """(a, b): the stars of ``pairs``, and those pairs whose marks allow a link.
+
+    Of linked sets with n and m shingles at most (n + m) * (100 - percent) / (100 + percent) shingles are in one only, and
+    each of these turns one bit of the marks.  Marks of twice the length are folded.
+    """
+
+    def run(batches):
+        for batch in batches:
+            a, b, star, n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            x, y = batch.column(5).to_pylist(), batch.column(6).to_pylist()
+            keep = star.copy()
+            sizes = np.array([(len(p), len(q)) for p, q in zip(x, y)], np.int64).reshape(-1, 2)
+            for of in np.unique(sizes[~star], axis=0):
+                at = np.flatnonzero((sizes == of).all(1) & ~star)
+                both = [np.frombuffer(b"".join([z[i] for i in at]), np.uint8).reshape(len(at), -1) for z in (x, y)]
+                while both[0].shape[1] != both[1].shape[1]:
+                    k = int(both[1].shape[1] > both[0].shape[1])
+                    half = both[k].shape[1] // 2
+                    both[k] = both[k][:, :half] ^ both[k][:, half:]
+                turned = np.bitwise_count(both[0] ^ both[1]).sum(1, dtype=np.int64)
+                keep[at] = turned * (100 + percent) <= (n[at] + m[at]) * (100 - percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], ["a", "b"])
+
+    marks = sets.where(F.col("node").isNotNull()).select("node", "n", "marks").dropDuplicates(["node"])
+    both = pairs.groupBy("a", "b").agg(F.max("star").alias("star"))
+    both = both.join(marks.select(F.col("node").alias("a"), F.col("n").alias("__n"), F.col("marks").alias("__x")), "a")
+    both = both.join(marks.select(F.col("node").alias("b"), F.col("n").alias("__m"), F.col("marks").alias("__y")), "b")
+    return both.select("a", "b", "star", "__n", "__m", "__x", "__y").mapInArrow(run, "a long, b long")
 
 
 class Forest:
@@ -331,11 +417,12 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     names the component (null for an empty set).
     """
     spark = docs.sparkSession
-    sets = stored(doc_sets(docs, key, text, width))
+    marked = stored(doc_sets(docs, key, text, width))
+    sets = marked.drop("marks")
     total = int(sets.agg(F.sum("n")).first()[0] or 0)
     known = long_lists(docs, total, text, width, max_long)
-    shared = spark.sparkContext.broadcast(known)  # at most max_long entries
-    families = components(meetings(docs, total, shared, text, width, percent))
+    shared = spark.sparkContext.broadcast(known)  # at most max_long entries, and 2^ONCE_BITS bits
+    families = components(linkable(meetings(docs, total, shared, text, width, percent), marked, percent))
     nodes = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.min("doc_id").alias("rep"))
     family = stored(families.select("node", F.col("root").alias("family")).join(nodes, "node"))
 
