@@ -169,3 +169,17 @@ def test_without_labels_only_the_base_rules_reject(spark, prose, folder):
     rows = [(1, prose(60, 1).replace(" ", "*** "), "en", "a"), (2, prose(60, 2), "en", "a"), (3, prose(49, 3), "en", "a")]
     got = corpus_pipeline.run(spark, folder(rows, [])).collect()
     assert {r["doc_id"] for r in got} <= {1, 2} and Counter(r["doc_id"] for r in got) == Counter(r[ID] for r in mix(rows[:2]))
+
+
+def test_join_stage_searches_no_chance_meetings(spark, make_docs, prose, monkeypatch):
+    """Texts that share half of their shingles with the next one all stay, and no pair of them is searched."""
+    from tidemark.llm import jaccard_join
+
+    edges = []
+    components = jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda e: (edges.append(e.count()), components(e))[1])
+    parts = [prose(60, 7_000 + i) for i in range(31)]
+    docs = make_docs([(i, parts[i] + " " + parts[i + 1]) for i in range(30)] + [(99, parts[5] + " " + parts[6])])
+    out = corpus_pipeline.join_stage(spark, docs, "")
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(30))
+    assert edges[0] == 0
